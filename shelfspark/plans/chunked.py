@@ -16,7 +16,7 @@ an executor loss gives the same rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,19 +77,27 @@ def running(
     chunk: Column,
     rank: str | None = None,
     sums: dict[str, Column] | None = None,
+    totals: dict[str, tuple[Callable[[Column], Column], Column]] | None = None,
 ) -> DataFrame:
-    """Add the 1-based rank and inclusive running sums within each key.
+    """Add the 1-based rank, inclusive running sums and whole-key totals.
 
-    ``order`` must be a total order whose first column ``chunk`` is monotone in.
+    ``order`` must be a total order, and ``chunk`` must not decrease along it.
+    ``totals`` maps a name to (F.sum | F.min | F.max, expression).
     """
-    sums = sums or {}
+    sums, totals = sums or {}, totals or {}
     columns = df.columns
     df, keys = keyed(df.withColumn(CHUNK, chunk), keys)
     named = {f"_s{i}": expr for i, expr in enumerate(sums.values())}
     summary = df.groupBy(*keys, CHUNK).agg(
-        F.count(F.lit(1)).alias("_n"), *[F.sum(e).alias(n) for n, e in named.items()]
-    )
-    before = prefix_sums(summary, keys, ["_n", *named])
+        F.count(F.lit(1)).alias("_chunk_rows"),
+        *[F.sum(e).alias(n) for n, e in named.items()],
+        *[f(e).alias(n) for n, (f, e) in totals.items()],
+    )
+    before = prefix_sums(summary, keys, ["_chunk_rows", *named])
+    if totals:
+        # Totals of totals: sums, minima and maxima all compose.
+        whole = summary.groupBy(*keys).agg(*[f(F.col(n)).alias(n) for n, (f, _) in totals.items()])
+        before = _join_back(before, whole, keys)
     local = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = df
@@ -99,10 +107,10 @@ def running(
         out = out.withColumn(name, F.sum(expr).over(upto))
     out = _join_back(out, before, [*keys, CHUNK])
     if rank:
-        out = out.withColumn(rank, F.col(rank) + F.col("_n"))
+        out = out.withColumn(rank, F.col(rank) + F.col("_chunk_rows"))
     for tmp, name in zip(named, sums):
         out = out.withColumn(name, F.col(name) + F.col(tmp))
-    added = ([rank] if rank else []) + list(sums)
+    added = ([rank] if rank else []) + list(sums) + list(totals)
     return out.select(*columns, *added)
 
 
@@ -178,7 +186,7 @@ def smoothed(
     )
     # Each chunk ends with its own smoothed value and shrinks what came before.
     ends = own.groupBy(*keys, CHUNK).agg(
-        F.max_by("_own", "_rn").alias("_end"), F.max("_rn").alias("_n")
+        F.max_by("_own", "_rn").alias("_end"), F.max("_rn").alias("_chunk_rows")
     )
     # Every chunk has a row at least, so ``depth`` chunks cover ``depth`` rows.
     ends = ends.withColumn(GROUP, F.floor(F.col(CHUNK) / F.lit(FAN)))
@@ -203,7 +211,7 @@ def _carry(ends: DataFrame, keys: Sequence[str], depth: int, keep: float) -> Dat
             ),
         )
 
-    pair = F.struct(F.col("_end").alias("e"), F.col("_n").alias("n"))
+    pair = F.struct(F.col("_end").alias("e"), F.col("_chunk_rows").alias("n"))
     inner = Window.partitionBy(*keys, GROUP).orderBy(CHUNK)
     inside = fold(F.collect_list(pair).over(inner.rowsBetween(-depth, -1)))
     tail = ends.withColumn(
@@ -214,7 +222,7 @@ def _carry(ends: DataFrame, keys: Sequence[str], depth: int, keep: float) -> Dat
             F.array_sort(
                 F.collect_list(
                     F.struct(
-                        F.col(CHUNK).alias("c"), F.col("_end").alias("e"), F.col("_n").alias("n")
+                        F.col(CHUNK).alias("c"), F.col("_end").alias("e"), F.col("_chunk_rows").alias("n")
                     )
                 )
             )

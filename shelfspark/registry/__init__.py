@@ -1,8 +1,8 @@
 """All registered queries and the SQL that checks them."""
 
-from shelfspark.registry import pages, urls
+from shelfspark.registry import pages, queues, sequence, text, urls
 
-_MODULES = (urls, pages)
+_MODULES = (urls, pages, queues, sequence, text)
 
 
 def queries():
