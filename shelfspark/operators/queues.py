@@ -441,7 +441,7 @@ def next_branch(progress: DataFrame, branch_index: str) -> DataFrame:
     return progress.filter(~F.col("finished")).agg(F.min(branch_index).alias("next_branch"))
 
 
-def queue_cursor(
+def cursor_steps(
     events: DataFrame,
     key: str,
     order: Sequence[str],
@@ -449,11 +449,12 @@ def queue_cursor(
     took: Column,
     failed: Column,
 ) -> DataFrame:
-    """Final cursor per branch: +1 per item taken, -1 (not below 0) per failed publish.
+    """Effect of events on each cursor: (taken, failures, total, lowest).
 
-    With S the running sum of steps, the clamped cursor ends at
-    S - min(0, lowest prefix of S). Chunks carry (sum, lowest prefix), which
-    compose, so no branch is walked by one task.
+    A taken item moves a cursor by +1, a failed publish by -1 but not below 0.
+    With S the running sum of steps, ``total`` is the last S and ``lowest`` the
+    least of 0 and all S; a cursor c then becomes max(c + total, total - lowest).
+    Chunks compose the same way, so no branch is walked by one task.
     """
     step = F.when(took, 1).when(failed, -1).otherwise(0)
     df, (k,) = chunked.keyed(
@@ -477,9 +478,23 @@ def queue_cursor(
     return merged.groupBy(F.col(f"{k}.{key}").alias(key)).agg(
         F.sum("taken").alias("taken"),
         F.sum("failures").alias("failures"),
-        (
-            F.sum("_sum") - F.least(F.lit(0), F.min(F.col("_before") + F.col("_low")))
-        ).cast("bigint").alias("cursor"),
+        F.sum("_sum").alias("total"),
+        F.least(F.lit(0), F.min(F.col("_before") + F.col("_low"))).alias("lowest"),
+    )
+
+
+def queue_cursor(
+    events: DataFrame,
+    key: str,
+    order: Sequence[str],
+    chunk: Column,
+    took: Column,
+    failed: Column,
+) -> DataFrame:
+    """Final cursor per branch, starting from 0."""
+    return cursor_steps(events, key, order, chunk, took, failed).select(
+        key, "taken", "failures",
+        F.greatest(F.col("total"), F.col("total") - F.col("lowest")).cast("bigint").alias("cursor"),
     )
 
 
