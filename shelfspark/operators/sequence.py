@@ -36,13 +36,20 @@ def crawl_priority(depth: Column) -> Column:
 
 
 # ---- counters and load ------------------------------------------------------------
+def _slices(df: DataFrame, ts: str, seconds: float | None) -> Column | None:
+    """Time chunk of a fixed or measured length; null for prepared rows."""
+    if chunked.CHUNK in df.columns:
+        return None
+    return chunked.by_time(ts, seconds or chunked.slice_seconds(df, ts))
+
+
 def counter_rates(
     ticks: DataFrame,
     source: str,
     order: Sequence[str],
     responses: str = "responses",
     errors: str = "errors",
-    slice_seconds: int = 86_400,
+    slice_seconds: float | None = None,
 ) -> DataFrame:
     """Responses per second and error rate between consecutive ticks of a source.
 
@@ -50,7 +57,7 @@ def counter_rates(
     """
     ts = order[0]
     df = chunked.previous(
-        ticks, [source], order, chunked.by_time(ts, slice_seconds),
+        ticks, [source], order, _slices(ticks, ts, slice_seconds),
         {"_t": ts, "_r": responses, "_e": errors},
     )
     seconds = (epoch_micros(ts) - epoch_micros("_t")) / F.lit(1e6)
@@ -76,20 +83,21 @@ def ewma(
     value: str,
     alpha: float = 0.35,
     out: str = "smoothed",
-    slice_seconds: int = 86_400,
+    slice_seconds: float | None = None,
+    base: DataFrame | None = None,
 ) -> DataFrame:
     """Exponentially smoothed value per source, starting from 0."""
-    return chunked.smoothed(
-        df, [source], order, chunked.by_time(order[0], slice_seconds), value, alpha, out
-    )
+    chunk = _slices(df, order[0], slice_seconds)
+    return chunked.smoothed(df, [source], order, chunk, value, alpha, out, base)
 
 
 def load_class(
-    metrics: DataFrame, source: str, order: Sequence[str], slice_seconds: int = 86_400
+    metrics: DataFrame, source: str, order: Sequence[str], slice_seconds: float | None = None
 ) -> DataFrame:
     """Brake factor from load and errors, and the falling-throughput flag.
 
-    Needs cpu, ram, rps, error_rate and smoothed.
+    Needs cpu, ram, rps, error_rate and smoothed; a column ``previous_rps`` is
+    used when there is one.
     """
     cpu, ram, err = (F.col(c) for c in ("cpu", "ram", "error_rate"))
     brake = (
@@ -99,17 +107,35 @@ def load_class(
         .when(err >= 0.04, 0.80)
         .otherwise(1.0)
     )
-    df = chunked.previous(
-        metrics, [source], order, chunked.by_time(order[0], slice_seconds), {"_rps": "rps"}
-    )
-    falling = (F.col("_rps") > 0) & (F.col("rps") < F.col("_rps") * 0.75) & (
-        F.col("smoothed") > 0.60
-    )
+    df = metrics
+    if "previous_rps" not in df.columns:
+        df = chunked.previous(
+            df, [source], order, _slices(df, order[0], slice_seconds), {"previous_rps": "rps"}
+        )
+    before = F.col("previous_rps")
+    falling = (before > 0) & (F.col("rps") < before * 0.75) & (F.col("smoothed") > 0.60)
     return (
         df.withColumn("brake", brake)
         .withColumn("throughput_drop", F.coalesce(falling, F.lit(False)))
-        .drop("_rps")
+        .drop("previous_rps")
+    )
+
+
+def load_metrics(
+    ticks: DataFrame, source: str, order: Sequence[str], slice_seconds: float | None = None
+) -> DataFrame:
+    """Rates, smoothed pressure and load class of counter ticks in one go.
+
+    Rows are cut and shuffled once; every step windows the same chunks.
+    """
+    x = pressure(F.col("cpu"), F.col("ram"), F.col("gpu"))
+    base = chunked.prepare(
+        ticks.withColumn("pressure", x), [source], _slices(ticks, order[0], slice_seconds)
     )
+    df = counter_rates(base, source, order)
+    df = chunked.previous(df, [source], order, None, {"previous_rps": "rps"})
+    df = ewma(df, source, order, "pressure", base=base)
+    return chunked.finish(load_class(df, source, order))
 
 
 # ---- segment timing ---------------------------------------------------------------

@@ -27,17 +27,44 @@ FAN = 1024
 CHUNK, GROUP = "_chunk", "_group"
 
 
+KEY = "_key"
+ROWS_PER_CHUNK = 1_000_000
+
+
+def _div(value: Column, width: Column | int) -> Column:
+    return F.call_function("div", value, F.lit(width) if isinstance(width, int) else width)
+
+
 def by_id(column: str, width: int = 65_536) -> Column:
-    """Chunk of a dense integer order column: at most ``width`` rows per key."""
-    return F.floor(F.col(column) / F.lit(width)).cast("bigint")
+    """Chunk of a unique integer order column: at most ``width`` rows per key."""
+    return _div(F.col(column).cast("bigint"), width)
 
 
-def by_time(column: str, seconds: int = 3_600) -> Column:
+def by_time(column: str, seconds: float) -> Column:
     """Chunk of a timestamp order column."""
-    return F.floor(epoch_micros(column) / F.lit(seconds * 1_000_000)).cast("bigint")
+    return _div(epoch_micros(column), max(1, int(seconds * 1_000_000)))
 
 
-KEY = "_key"
+def slice_seconds(df: DataFrame, ts: str, rows: int = ROWS_PER_CHUNK) -> float:
+    """Slice length that holds about ``rows`` rows even if one key had all of them.
+
+    One small aggregate over the timestamp column; three numbers reach the driver.
+    """
+    n, lo, hi = df.agg(
+        F.count(ts), F.min(epoch_micros(ts)), F.max(epoch_micros(ts))
+    ).first()
+    if not n:
+        return 1.0
+    return max(1e-3, (hi - lo + 1) / 1e6 / max(1, math.ceil(n / rows)))
+
+
+def prepare(df: DataFrame, keys: Sequence[str], chunk: Column) -> DataFrame:
+    """Attach key and chunk once, so that several steps in a row share one shuffle."""
+    return keyed(df.withColumn(CHUNK, chunk), keys)[0]
+
+
+def finish(df: DataFrame) -> DataFrame:
+    return df.drop(KEY, CHUNK)
 
 
 def keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -46,13 +73,21 @@ def keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return (df.withColumn(KEY, F.struct(*keys)), [KEY]) if keys else (df, [])
 
 
+def _ready(
+    df: DataFrame, keys: Sequence[str], chunk: Column | None
+) -> tuple[DataFrame, list[str]]:
+    if chunk is None:  # prepared by the caller
+        return df, [KEY] if KEY in df.columns else []
+    return keyed(df.withColumn(CHUNK, chunk), keys)
+
+
 def _join_back(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
     return left.join(right, list(names), "left")
 
 
 def prefix_sums(summary: DataFrame, keys: Sequence[str], sums: Sequence[str]) -> DataFrame:
     """Sum of each column over all earlier chunks of the key (two levels)."""
-    s = summary.withColumn(GROUP, F.floor(F.col(CHUNK) / F.lit(FAN)))
+    s = summary.withColumn(GROUP, _div(F.col(CHUNK), FAN))
     inner = Window.partitionBy(*keys, GROUP).orderBy(CHUNK).rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -74,7 +109,7 @@ def running(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str | Column],
-    chunk: Column,
+    chunk: Column | None,
     rank: str | None = None,
     sums: dict[str, Column] | None = None,
     totals: dict[str, tuple[Callable[[Column], Column], Column]] | None = None,
@@ -86,7 +121,7 @@ def running(
     """
     sums, totals = sums or {}, totals or {}
     columns = df.columns
-    df, keys = keyed(df.withColumn(CHUNK, chunk), keys)
+    df, keys = _ready(df, keys, chunk)
     named = {f"_s{i}": expr for i, expr in enumerate(sums.values())}
     summary = df.groupBy(*keys, CHUNK).agg(
         F.count(F.lit(1)).alias("_chunk_rows"),
@@ -118,15 +153,15 @@ def previous(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    chunk: Column,
+    chunk: Column | None,
     values: dict[str, str],
 ) -> DataFrame:
     """Add the value of each column in the row before, null for a key's first row."""
     columns = df.columns
-    df, keys = keyed(df.withColumn(CHUNK, chunk), keys)
+    df, keys = _ready(df, keys, chunk)
     payload = F.struct(*[F.col(v).alias(n) for n, v in values.items()])
     last = df.groupBy(*keys, CHUNK).agg(F.max_by(payload, F.struct(*order)).alias("_last"))
-    last = last.withColumn(GROUP, F.floor(F.col(CHUNK) / F.lit(FAN)))
+    last = last.withColumn(GROUP, _div(F.col(CHUNK), FAN))
     # The last row of the nearest earlier chunk: within the group of chunks, else
     # the last row of the nearest earlier group.
     groups = last.groupBy(*keys, GROUP).agg(F.max_by("_last", CHUNK).alias("_glast"))
@@ -156,13 +191,17 @@ def smoothed(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    chunk: Column,
+    chunk: Column | None,
     value: str,
     alpha: float,
     name: str,
+    base: DataFrame | None = None,
 ) -> DataFrame:
     """Add s = (1-alpha)*s + alpha*x per key, starting from 0.
 
+    ``base`` may name an earlier form of ``df`` (same rows, prepared alike) that
+    chunk summaries are taken from, so that later joins are not run twice.
+
     Older rows weigh (1-alpha)^k. Past ``depth`` rows that is under 1e-20 of the
     input, below what a double keeps, so a frame of ``depth`` rows (chunks) folds
     to the same number as the whole history.
@@ -170,7 +209,7 @@ def smoothed(
     keep = 1.0 - alpha
     depth = max(1, math.ceil(math.log(1e-20) / math.log(keep)))
     columns = df.columns
-    df, keys = keyed(df.withColumn(CHUNK, chunk), keys)
+    df, keys = _ready(df, keys, chunk)
     local = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     frame = local.rowsBetween(-(depth - 1), Window.currentRow)
 
@@ -179,17 +218,20 @@ def smoothed(
             values, F.lit(0.0), lambda s, x: s * F.lit(keep) + x * F.lit(alpha)
         )
 
-    own = df.select(
-        "*",
-        fold(F.collect_list(F.coalesce(F.col(value), F.lit(0.0))).over(frame)).alias("_own"),
-        F.row_number().over(local).alias("_rn"),
-    )
+    def windowed(rows: DataFrame) -> DataFrame:
+        return rows.select(
+            "*",
+            fold(F.collect_list(F.coalesce(F.col(value), F.lit(0.0))).over(frame)).alias("_own"),
+            F.row_number().over(local).alias("_rn"),
+        )
+
+    own = windowed(df)
     # Each chunk ends with its own smoothed value and shrinks what came before.
-    ends = own.groupBy(*keys, CHUNK).agg(
+    ends = (own if base is None else windowed(base)).groupBy(*keys, CHUNK).agg(
         F.max_by("_own", "_rn").alias("_end"), F.max("_rn").alias("_chunk_rows")
     )
     # Every chunk has a row at least, so ``depth`` chunks cover ``depth`` rows.
-    ends = ends.withColumn(GROUP, F.floor(F.col(CHUNK) / F.lit(FAN)))
+    ends = ends.withColumn(GROUP, _div(F.col(CHUNK), FAN))
     carry = _carry(ends, keys, depth, keep)
     out = _join_back(own, carry, [*keys, CHUNK])
     value_col = F.col("_own") + F.coalesce(F.col("_carry"), F.lit(0.0)) * F.pow(

@@ -427,7 +427,7 @@ FROM events WHERE value >= 3 GROUP BY event_type"""
 def queue_cursor(spark, sf):
     """Views take an item, errors fail its publish."""
     return Q.queue_cursor(
-        table(spark, sf, "events"), "user_id", ["ts", "event_id"], chunked.by_time("ts", 86_400),
+        table(spark, sf, "events"), "user_id", ["ts", "event_id"], chunked.by_time("ts", 3_600),
         F.col("event_type").isin("view", "click"), F.col("event_type").isin("error", "signup", "purchase"),
     )
 

@@ -64,18 +64,14 @@ def counter_rates(spark, sf):
     return out.select("event_id", F.round("rps", 6).alias("rps"), F.round("error_rate", 6).alias("error_rate"))
 
 
-def _smoothed(spark, sf):
-    df = _ticks(spark, sf).withColumn("x", S.pressure(F.col("cpu"), F.col("ram"), F.col("gpu")))
-    return S.ewma(df, "user_id", ORDER, "x")
-
-
 def ewma(spark, sf):
-    return _smoothed(spark, sf).select("event_id", F.round("smoothed", 6).alias("smoothed"))
+    df = _ticks(spark, sf).withColumn("x", S.pressure(F.col("cpu"), F.col("ram"), F.col("gpu")))
+    out = S.ewma(df, "user_id", ORDER, "x")
+    return out.select("event_id", F.round("smoothed", 6).alias("smoothed"))
 
 
 def load_class(spark, sf):
-    rated = S.counter_rates(_smoothed(spark, sf), "user_id", ORDER)
-    out = S.load_class(rated, "user_id", ORDER)
+    out = S.load_metrics(_ticks(spark, sf), "user_id", ORDER)
     return out.select("event_id", "brake", "throughput_drop")
 
 

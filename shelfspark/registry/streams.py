@@ -149,7 +149,7 @@ SELECT user_id, tick, responses, errors, round(rps * 1000, 6) AS mrps, round(er,
 def stream_queue_cursor(spark, sf):
     return J.stream_queue_cursor(
         _stream(spark, sf, "events"), scratch_path(spark, "cursor"), "user_id", ["ts", "event_id"],
-        chunked.by_time("ts", 86_400), F.col("event_type").isin("view", "click", "purchase"),
+        chunked.by_time("ts", 3_600), F.col("event_type").isin("view", "click", "purchase"),
         F.col("event_type").isin("error", "signup"),
     )
 

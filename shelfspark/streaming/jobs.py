@@ -16,6 +16,7 @@ from pyspark.sql.utils import AnalysisException
 from shelfspark.operators import pages as P
 from shelfspark.operators import queues as Q
 from shelfspark.operators import sequence as S
+from shelfspark.plans import chunked
 from shelfspark.session import checkpoint_root
 
 
@@ -111,6 +112,10 @@ def stream_ticks(ticks: DataFrame, path: str, source: str) -> DataFrame:
     return newest.select(source, "tick", "v.*")
 
 
+# A source has one row per tick, so this many rows make a chunk.
+TICKS_PER_CHUNK = 65_536
+
+
 def tick_metrics(ticks: DataFrame, source: str, seconds: float) -> DataFrame:
     """Rates, smoothed pressure and load class of a tick table.
 
@@ -121,9 +126,10 @@ def tick_metrics(ticks: DataFrame, source: str, seconds: float) -> DataFrame:
         F.col("errors") / F.greatest(F.lit(1), F.col("responses") + F.col("errors")),
     )
     df = df.withColumn("x", S.pressure(F.col("cpu"), F.col("ram"), F.col("gpu")))
-    slice_seconds = int(seconds) * 4_096
-    df = S.ewma(df, source, ["tick"], "x", slice_seconds=slice_seconds)
-    return S.load_class(df, source, ["tick"], slice_seconds=slice_seconds)
+    base = chunked.prepare(df, [source], chunked.by_time("tick", seconds * TICKS_PER_CHUNK))
+    df = chunked.previous(base, [source], ["tick"], None, {"previous_rps": "rps"})
+    df = S.ewma(df, source, ["tick"], "x", base=base)
+    return chunked.finish(S.load_class(df, source, ["tick"]))
 
 
 # ---- queue cursor ---------------------------------------------------------------------
