@@ -445,7 +445,7 @@ def cursor_steps(
     events: DataFrame,
     key: str,
     order: Sequence[str],
-    chunk: Column,
+    chunk: Column | None,
     took: Column,
     failed: Column,
 ) -> DataFrame:
@@ -454,8 +454,11 @@ def cursor_steps(
     A taken item moves a cursor by +1, a failed publish by -1 but not below 0.
     With S the running sum of steps, ``total`` is the last S and ``lowest`` the
     least of 0 and all S; a cursor c then becomes max(c + total, total - lowest).
-    Chunks compose the same way, so no branch is walked by one task.
+    Chunks compose the same way, so no branch is walked by one task; without
+    ``chunk`` the time slices are sized from the events.
     """
+    if chunk is None:
+        chunk = chunked.by_time(order[0], chunked.slice_seconds(events, order[0]))
     step = F.when(took, 1).when(failed, -1).otherwise(0)
     df, (k,) = chunked.keyed(
         events.withColumn(chunked.CHUNK, chunk).withColumn("_step", step), [key]
@@ -487,7 +490,7 @@ def queue_cursor(
     events: DataFrame,
     key: str,
     order: Sequence[str],
-    chunk: Column,
+    chunk: Column | None,
     took: Column,
     failed: Column,
 ) -> DataFrame:

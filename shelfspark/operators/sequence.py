@@ -139,7 +139,7 @@ def load_metrics(
 
 
 # ---- segment timing ---------------------------------------------------------------
-def _ordered_lines(df: DataFrame, text: str, order: str) -> Column:
+def _ordered_lines(text: str, order: str) -> Column:
     return F.array_join(
         F.transform(
             F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))),
@@ -149,6 +149,30 @@ def _ordered_lines(df: DataFrame, text: str, order: str) -> Column:
     )
 
 
+def assign_scenes(
+    lines: DataFrame, key: str, order: str, scenes: int, chunk_width: int = 8_192
+) -> DataFrame:
+    """Scene of every line: at most max(2, scenes) groups of neighbours per script.
+
+    Adds line_no, scene_index and scenes. Lines stay apart, so a script of any
+    length spreads over tasks.
+    """
+    want = max(2, scenes)
+    ranked = chunked.running(
+        lines, [key], [order], chunked.by_id(order, chunk_width),
+        rank="line_no", totals={"_lines": (F.sum, F.lit(1))},
+    )
+    size = F.when(F.col("_lines") > want, F.ceil(F.col("_lines") / want)).otherwise(1)
+    return (
+        ranked.withColumn("_size", size)
+        .withColumn(
+            "scene_index", (F.floor((F.col("line_no") - 1) / F.col("_size")) + 1).cast("bigint")
+        )
+        .withColumn("scenes", F.ceil(F.col("_lines") / F.col("_size")).cast("bigint"))
+        .drop("_lines", "_size")
+    )
+
+
 def split_even(
     lines: DataFrame,
     key: str,
@@ -158,32 +182,25 @@ def split_even(
     scenes: int,
     chunk_width: int = 8_192,
 ) -> DataFrame:
-    """Even scenes of a script: lines grouped to at most max(2, scenes) segments of
-    equal length; a lone line over six seconds gets a stock closing line.
+    """Even scenes of a script, of equal length, with the joined text of each; a
+    lone line over six seconds gets a stock closing line.
 
-    ``total`` is the script length in seconds. A segment's text is one output
-    cell, so it is the only place where lines come together.
+    ``total`` is the script length in seconds. The joined text is one output
+    value per scene; use ``assign_scenes`` where a scene must not be joined.
     """
-    want = max(2, scenes)
-    ranked = chunked.running(
-        lines.withColumn("_total", total.cast("double")),
-        [key], [order], chunked.by_id(order, chunk_width),
-        rank="_i", totals={"_lines": (F.sum, F.lit(1))},
+    df = assign_scenes(
+        lines.withColumn("_total", total.cast("double")), key, order, scenes, chunk_width
     )
-    size = F.when(F.col("_lines") > want, F.ceil(F.col("_lines") / want)).otherwise(1)
-    segments = (
-        ranked.withColumn("_size", size)
-        .withColumn("scene_index", (F.floor((F.col("_i") - 1) / F.col("_size")) + 1).cast("bigint"))
-        .groupBy(key, "scene_index")
-        .agg(
-            _ordered_lines(ranked, text, "_i").alias("line"),
-            F.max("_total").alias("_total"),
-            F.max(F.ceil(F.col("_lines") / F.col("_size"))).alias("_n"),
-        )
+    segments = df.groupBy(key, "scene_index").agg(
+        _ordered_lines(text, "line_no").alias("line"),
+        F.max("_total").alias("_total"),
+        F.max("scenes").alias("_n"),
     )
     lone = (F.col("_n") < 2) & (F.col("_total") >= 6)
     first = F.struct("scene_index", F.trim("line").alias("line"))
-    stock = F.struct(F.lit(2).cast("bigint").alias("scene_index"), F.lit(FALLBACK_CLOSE).alias("line"))
+    stock = F.struct(
+        F.lit(2).cast("bigint").alias("scene_index"), F.lit(FALLBACK_CLOSE).alias("line")
+    )
     segments = segments.select(
         key, "_total", F.when(lone, 2).otherwise(F.col("_n")).alias("_n"),
         F.inline(F.when(lone, F.array(first, stock)).otherwise(F.array(first))),

@@ -63,28 +63,42 @@ def explode_sentences(
     )
 
 
-def sentence_pairs(df: DataFrame, key: str, column: str, window: int) -> DataFrame:
-    """Every sentence with each of the ``window`` sentences before it.
+def _candidates(df: DataFrame, key: str, column: str, window: int, similar: bool) -> DataFrame:
+    """Pairs of near sentences that repeat, or may do so, with their match keys.
 
-    Pairs come from slices of the document's own array: no self-join and no
-    shuffle, and at most ``window`` pairs per sentence.
+    Each sentence is compared with the ``window`` before it inside the document's
+    own array: no self-join, no shuffle, and only pairs that pass leave the row.
     """
     parts = F.filter(
         F.transform(X.sentences(F.col(column)), X.match_key), lambda k: k != ""
     )
-    rich = F.transform(parts, X.profile)
-    with_past = lambda a: F.transform(
-        a,
-        lambda s, i: F.struct(
-            i.cast("bigint").alias("idx"),
-            s.alias("cur"),
-            F.slice(a, F.greatest(i - window, F.lit(0)) + 1, F.least(i, F.lit(window))).alias("past"),
-        ),
-    )
-    rows = df.select(key, F.inline(let(rich, with_past)))
-    pairs = rows.select(key, "idx", F.col("cur").alias("a"), F.posexplode("past").alias("_p", "b"))
-    back = F.least(F.col("idx"), F.lit(window)) - F.col("_p")
-    return pairs.withColumn("prev_idx", F.col("idx") - back).drop("_p")
+
+    def judged(cur: Column, prev: Column, prev_idx: Column) -> Column:
+        def verdict(share: Column) -> Column:
+            settled = X.settled_repeat(cur, prev, share)
+            open_ = X.may_be_similar(cur, prev, share) if similar else F.lit(False)
+            return F.struct(
+                prev_idx.cast("bigint").alias("prev_idx"), prev["k"].alias("b"),
+                share.alias("share"), settled.alias("settled"),
+                F.when(settled, F.lit(False)).otherwise(open_).alias("open"),
+            )
+
+        return let(X.overlap(cur, prev), verdict)
+
+    def compare(all_: Column) -> Column:
+        def one(cur: Column, i: Column) -> Column:
+            first = F.greatest(i - window, F.lit(0))
+            past = F.slice(all_, first + 1, F.least(i, F.lit(window)))
+            found = F.filter(
+                F.transform(past, lambda prev, j: judged(cur, prev, first + j)),
+                lambda v: v["settled"] | v["open"],
+            )
+            return F.struct(i.cast("bigint").alias("idx"), cur["k"].alias("a"), found.alias("found"))
+
+        return F.filter(F.transform(all_, one), lambda r: F.size(r["found"]) > 0)
+
+    rows = df.select(key, F.inline(let(F.transform(parts, X.profile), compare)))
+    return rows.select(key, "idx", "a", F.inline("found"))
 
 
 def repeat_pairs(
@@ -95,21 +109,13 @@ def repeat_pairs(
     Positions count sentences with a non-blank match key. ``similar=False``
     leaves out the similarity rule.
     """
-    a, b, share = F.col("a"), F.col("b"), F.col("_share")
-    pairs = sentence_pairs(df, key, column, window).withColumn("_share", X.overlap(a, b))
-    settled = X.settled_repeat(a, b, share)
-    if not similar:
-        return pairs.filter(settled).select(key, "idx", "prev_idx")
-    pairs = pairs.withColumn("_settled", settled)
-    pairs = pairs.withColumn(
-        "_open", F.when(~F.col("_settled"), X.may_be_similar(a, b, share)).otherwise(F.lit(False))
-    ).filter("_settled OR _open")
-    slim = pairs.select(
-        key, "idx", "prev_idx", "_settled", "_share",
-        X.similarity(F.col("a.k"), F.col("b.k"), F.col("_open")).alias("_ratio"),
-    )
-    alike = X.similar_enough(F.col("_ratio"), share)
-    return slim.filter(F.col("_settled") | alike).select(key, "idx", "prev_idx")
+    pairs = _candidates(df, key, column, window, similar)
+    if similar:
+        ratio = X.similarity(F.col("a"), F.col("b"), F.col("open"))
+        pairs = pairs.withColumn("ratio", ratio).filter(
+            F.col("settled") | X.similar_enough(F.col("ratio"), F.col("share"))
+        )
+    return pairs.select(key, "idx", "prev_idx")
 
 
 def drop_repeats(

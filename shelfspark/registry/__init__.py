@@ -1,8 +1,8 @@
 """All registered queries and the SQL that checks them."""
 
-from shelfspark.registry import pages, queues, sequence, streams, text, urls
+from shelfspark.registry import flows, pages, queues, sequence, streams, text, urls
 
-_MODULES = (urls, pages, queues, sequence, text, streams)
+_MODULES = (urls, pages, queues, sequence, text, streams, flows)
 
 
 def queries():

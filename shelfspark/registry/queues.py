@@ -8,7 +8,6 @@ from shelfspark.functions.urls import canonical_section
 from shelfspark.operators import aggregates as A
 from shelfspark.operators import queues as Q
 from shelfspark.operators.text import phrase_flags as flag_phrases
-from shelfspark.plans import chunked
 from shelfspark.registry.base import canonical, collapse, lit, table
 
 # ---- dedupe and order ---------------------------------------------------------
@@ -427,7 +426,7 @@ FROM events WHERE value >= 3 GROUP BY event_type"""
 def queue_cursor(spark, sf):
     """Views take an item, errors fail its publish."""
     return Q.queue_cursor(
-        table(spark, sf, "events"), "user_id", ["ts", "event_id"], chunked.by_time("ts", 3_600),
+        table(spark, sf, "events"), "user_id", ["ts", "event_id"], None,
         F.col("event_type").isin("view", "click"), F.col("event_type").isin("error", "signup", "purchase"),
     )
 

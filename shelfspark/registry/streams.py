@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from shelfspark import schemas
 from shelfspark.operators import queues as Q
-from shelfspark.plans import chunked
 from shelfspark.registry import pages as RP
 from shelfspark.registry.base import table
 from shelfspark.session import scratch_path
@@ -149,7 +148,7 @@ SELECT user_id, tick, responses, errors, round(rps * 1000, 6) AS mrps, round(er,
 def stream_queue_cursor(spark, sf):
     return J.stream_queue_cursor(
         _stream(spark, sf, "events"), scratch_path(spark, "cursor"), "user_id", ["ts", "event_id"],
-        chunked.by_time("ts", 3_600), F.col("event_type").isin("view", "click", "purchase"),
+        None, F.col("event_type").isin("view", "click", "purchase"),
         F.col("event_type").isin("error", "signup"),
     )
 

@@ -134,7 +134,7 @@ def tick_metrics(ticks: DataFrame, source: str, seconds: float) -> DataFrame:
 
 # ---- queue cursor ---------------------------------------------------------------------
 def stream_queue_cursor(
-    updates: DataFrame, path: str, key: str, order: list[str], chunk: Column,
+    updates: DataFrame, path: str, key: str, order: list[str], chunk: Column | None,
     took: Column, failed: Column,
 ) -> DataFrame:
     """Cursor per branch, brought forward batch by batch; the newest batch is the state."""
