@@ -74,5 +74,5 @@ def script_segments(spark, sf):
     )
 
 
-QUERIES = {f.__name__: f for f in (link_table, publish_plan)}
+QUERIES = {f.__name__: f for f in (link_table, publish_plan, script_segments)}
 SQL = {"link_table": LINK_TABLE_SQL, "publish_plan": PUBLISH_SQL}
