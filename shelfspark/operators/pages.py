@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions import html as H
 from shelfspark.functions import urls as U
-from shelfspark.functions.core import collapse_ws, contains_any, extract_all, first_match, let
+from shelfspark.functions.core import collapse_ws, extract_all, first_match
 from shelfspark.operators import queues as Q
 from shelfspark.operators.urls import page_url
 from shelfspark.profiles import LinkProfile, PageProfile, UrlProfile

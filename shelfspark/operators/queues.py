@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.functions import urls as U
-from shelfspark.functions.core import collapse_ws, epoch_micros, split_nonblank
+from shelfspark.functions.core import collapse_ws, split_nonblank
 from shelfspark.plans import chunked
 from shelfspark.profiles import DAILY_SLOTS, SECTION_SLUGS, UrlProfile
 
@@ -499,7 +499,3 @@ def queue_cursor(
         key, "taken", "failures",
         F.greatest(F.col("total"), F.col("total") - F.col("lowest")).cast("bigint").alias("cursor"),
     )
-
-
-def into_day_seconds(ts: str) -> Column:
-    return (epoch_micros(ts) % F.lit(86_400_000_000)) / F.lit(1_000_000.0)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions import text as X
 from shelfspark.functions.core import coalesce_fields
+from shelfspark.functions.urls import canonical_section
 from shelfspark.operators import aggregates as A
 from shelfspark.operators import pages as P
 from shelfspark.operators import queues as Q
@@ -36,7 +37,7 @@ def link_table(
     found = found.withColumn("is_seed", F.lit(None).cast("boolean"))
     # The seed is known by its canonical URL, and kept with the URL it was given.
     every = found.withColumn("_key", F.col("branch_url")).select(*seed.columns, "_key").unionByName(
-        seed.withColumn("_key", P.U.canonical_section("branch_url"))
+        seed.withColumn("_key", canonical_section("branch_url"))
     )
     return Q.top_n_per_key(every, ["_key"], ["page_id", "pos"], 1, "_rn").drop("_rn", "_key")
 
