@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shelfspark.llm import language_id, simhash, substring_dedup, url_filters
+from shelfspark.llm import language_id, simhash, substring_dedup, topk_search, url_filters
 from shelfspark.llm.url_filters import Rule
 
 #: The rules of op5.
@@ -33,6 +34,10 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
@@ -41,6 +46,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_simhash": op3_simhash,
     "op5_url_filters": op5_url_filters,
+    "op8_topk_search": op8_topk_search,
     "op10_language_id": op10_language_id,
 }
 
@@ -51,6 +57,21 @@ _RULED = "\n".join(
 _BLOCKED = ", ".join(f"'{r.name}'" for r in URL_RULES if r.verdict == "block")
 
 SQL: dict[str, str] = {
+    "op8_topk_search": """
+WITH sound AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) AS BIGINT) AS score
+  FROM sound q JOIN sound c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v)
+  WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 20
+""",
     "op5_url_filters": f"""
 WITH rests AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
