@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import language_id, simhash, substring_dedup, topk_search, url_filters
+from shelfspark.llm import language_id, packing, simhash, substring_dedup, topk_search, url_filters
 from shelfspark.llm.url_filters import Rule
 
 #: The rules of op5.
@@ -38,6 +39,10 @@ def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
@@ -47,6 +52,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op5_url_filters": op5_url_filters,
     "op8_topk_search": op8_topk_search,
+    "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
 }
 
