@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import language_id, packing, simhash, substring_dedup, topk_search, url_filters
+from shelfspark.llm import language_id, packing, simhash, substring_dedup, topk_search, toxicity, url_filters
 from shelfspark.llm.url_filters import Rule
 
 #: The rules of op5.
@@ -35,6 +35,10 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_simhash": op3_simhash,
     "op5_url_filters": op5_url_filters,
+    "op6_toxicity": op6_toxicity,
     "op8_topk_search": op8_topk_search,
     "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
