@@ -141,7 +141,8 @@ def repeated_paths(docs: DataFrame, k: int = 35) -> tuple[DataFrame, DataFrame]:
     covers ``n + k - 1`` words. ``loose`` has (did, rk, runs: array of (at, m, open)).
     """
     runs = C.stage(runs_of(docs, k), "runs")
-    twice = runs.groupBy("m").count().where("count > 1").select("m")
+    # Written, so that both sides of the join are shuffles that Spark can split where a bucket is hot.
+    twice = C.stage(runs.groupBy("m").count().where("count > 1").select("m"), "twice")
     again = C.stage(runs.join(twice, "m"), "buckets")
     link = F.col("at").bitwiseAND(F.lit(_LINK))
     kinds = C.stage(
@@ -152,7 +153,7 @@ def repeated_paths(docs: DataFrame, k: int = 35) -> tuple[DataFrame, DataFrame]:
         ),
         "kinds",
     )
-    parted = kinds.where("copies = 1").select("m").distinct()
+    parted = C.stage(kinds.where("copies = 1").select("m").distinct(), "parted")
     loose = (
         kinds.join(parted, "m")
         .groupBy(F.col("place.did").alias("did"), F.col("place.rk").alias("rk"))
@@ -228,8 +229,9 @@ def remove_repeats(docs: DataFrame, k: int = 35, digest: bool = False, more: tup
     base = _docs(docs, *more)
     edges = base.join(loose, ["did", "rk"]).select("did", "rk", "text", "runs", "doc_id", *more)
     edges = edges.mapInArrow(_edge_rows(k), "m long, h long, did long, rk int, lo long, open boolean")
-    shared = edges.groupBy("m", "h").count().where("count > 1").select("m", "h")
-    single = edges.where("open").join(shared, ["m", "h"]).select("did", "rk", "lo", F.lit(1).cast("long").alias("n"))
+    edge = F.struct("m", "h").alias("edge")  # another key than the sums': both sides are shuffled, hot ones split
+    shared = edges.groupBy("m", "h").count().where("count > 1").select(edge)
+    single = edges.where("open").select(edge, "did", "rk", "lo").join(shared, "edge").select("did", "rk", "lo", F.lit(1).cast("long").alias("n"))
     spans = (
         paths.select("did", "rk", F.col("lo").cast("long").alias("lo"), F.col("n").cast("long").alias("n"))
         .union(single)
