@@ -1,6 +1,6 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are byte 5-grams of the folded text. A chi-square test on a bounded sample of
+Terms are byte 5-grams of the folded text that stay within one word and its borders. A chi-square test on a bounded sample of
 labelled rows picks those that tell the classes apart; their document frequencies are
 counted over all documents. The examples (bounded, from the same sample) stand in blocks
 of 64 with the largest weight of each term per block. A text's bound on a block is the sum
@@ -28,6 +28,14 @@ BLOCK = 64
 LEAST_CHI = 28.0
 
 
+def _inside(raw: np.ndarray, at: np.ndarray, place: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Whether the gram at each place lies in its text and crosses no word border but at its ends."""
+    good = place + GRAM <= at[text + 1]
+    for i in range(1, GRAM - 1):
+        good &= raw[np.minimum(place + i, len(raw) - 1)] != 32
+    return good
+
+
 def _term_counts(batches):
     """(gram, texts, toxic texts) of each run of sample texts."""
     for batch in batches:
@@ -35,7 +43,7 @@ def _term_counts(batches):
         for a, b, raw, at in _chunks(batch.column("text").to_pylist()):
             grams = _grams(raw, GRAM)
             text = np.searchsorted(at, np.arange(len(grams)), "right") - 1
-            whole = np.arange(len(grams)) + GRAM <= at[text + 1]
+            whole = _inside(raw, at, np.arange(len(grams)), text)
             pair = np.unique((text[whole].astype(np.uint64) << C.U64(44)) | grams[whole])
             gram, inverse = np.unique(pair & C.U64((1 << 44) - 1), return_inverse=True)
             toxic = np.bincount(inverse, weights=marks[a:b][(pair >> C.U64(44)).astype(np.int64)], minlength=len(gram))
@@ -67,7 +75,7 @@ class Terms:
         real[real] = self.grams[term[real]] == grams[place][real]
         place, term = place[real], term[real]
         text = np.searchsorted(at, place, "right") - 1
-        inside = place + GRAM <= at[text + 1]
+        inside = _inside(raw, at, place, text)
         key, times = np.unique(text[inside] * len(self.grams) + term[inside] if len(self.grams) else text[:0], return_counts=True)
         width = max(1, len(self.grams))
         return key // width, key % width, times
