@@ -6,7 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import language_id, packing, simhash, substring_dedup, topk_search, toxicity, url_filters
+import corpus_pipeline
+from shelfspark.llm import (
+    decontamination,
+    language_id,
+    packing,
+    quality,
+    simhash,
+    substring_dedup,
+    topk_search,
+    toxicity,
+    url_filters,
+    warc_audit,
+)
 from shelfspark.llm.url_filters import Rule
 
 #: The rules of op5.
@@ -27,10 +39,23 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), k=35, digest=True)
 
 
+def op2_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as records against a replica derived from them: one in 101 altered, one in 211 lost."""
+    pages = _table(spark, sf_dir, "pages")
+    altered = F.when(F.col("page_id") % 101 == 7, F.concat(F.lit("#"), F.expr("substring(html, 2)"))).otherwise(F.col("html"))
+    replica = pages.where(~F.coalesce(F.col("page_id") % 211 == 3, F.lit(False))).withColumn("html", altered)
+    return warc_audit.audit(pages, replica)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites of documents are their source; the parts of a site are its languages."""
+    return quality.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), host="source", path="lang")
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -39,6 +64,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -53,12 +82,16 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_warc_audit": op2_warc_audit,
     "op3_simhash": op3_simhash,
+    "op4_quality": op4_quality,
     "op5_url_filters": op5_url_filters,
     "op6_toxicity": op6_toxicity,
+    "op7_decontamination": op7_decontamination,
     "op8_topk_search": op8_topk_search,
     "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
+    "pipeline": corpus_pipeline.run,
 }
 
 _RULED = "\n".join(
@@ -68,6 +101,27 @@ _RULED = "\n".join(
 _BLOCKED = ", ".join(f"'{r.name}'" for r in URL_RULES if r.verdict == "block")
 
 SQL: dict[str, str] = {
+    "op2_warc_audit": r"""
+WITH bodies AS (
+  SELECT page_id, url, coalesce(html, '') AS html,
+         CASE WHEN page_id % 101 = 7 THEN '#' || substr(html, 2) ELSE html END AS copy FROM pages WHERE page_id IS NOT NULL
+), sized AS (
+  SELECT page_id, html, coalesce(copy, '') AS copy,
+         strlen('WARC/1.1..WARC-Type: resource..WARC-Record-ID: <urn:page:' || page_id || '>..WARC-Target-URI: ' || coalesce(url, '')
+           || '..Content-Type: text/html; charset=utf-8..Content-Length: ....') + 4 AS head FROM bodies
+), lengths AS (
+  SELECT page_id, html <> copy AS altered, page_id % 211 = 3 AS lost,
+         CAST(head + strlen(CAST(strlen(html) AS VARCHAR)) + strlen(html) AS BIGINT) AS length,
+         CAST(head + strlen(CAST(strlen(copy) AS VARCHAR)) + strlen(copy) AS BIGINT) AS replica_length FROM sized
+), placed AS (
+  SELECT *, page_id >> 12 AS archive, CAST(page_id & 4095 AS INTEGER) AS slot,
+         CAST(coalesce(sum(length) OVER (PARTITION BY page_id >> 12 ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset"
+  FROM lengths
+)
+SELECT archive, slot, page_id, CASE WHEN lost THEN 'missing' ELSE 'changed' END AS kind, CAST(1 AS BIGINT) AS records, "offset", length,
+       CASE WHEN NOT lost THEN replica_length END AS replica_length
+FROM placed WHERE altered OR lost
+""",
     "op8_topk_search": """
 WITH sound AS (
   SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
