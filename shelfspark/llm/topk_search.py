@@ -3,15 +3,13 @@
 Vectors of quantised integers stand in blocks of consecutive ids; a block is a forward
 index (its ids and components) with the largest and smallest value of each component.
 The sum over a query's components of the better product bounds every score in the block.
-Queries stand in groups too, so one row of a join is a block against a group. Two waves:
+Sixteen blocks make a shelf, queries stand in groups, and one row of a join is a group
+against a shelf: each query takes the shelf's blocks from the best bound down, keeps its k
+best, and stops where the bounds fall below the k-th. A first wave meets one shelf of each
+group; its k-th scores are the bars from which the second wave, all other shelves, starts.
 
-* each query is scored on its most promising block of each shelf (up to 256 blocks), and
-  its k-th best score so far becomes its bar;
-* blocks whose bound falls below the bar are left out for that query, the rest is scored
-  and only scores that reach the bar leave the task.
-
-Bounds that equal the bar are scored, so ties are whole. Neither side is broadcast or
-gathered: shelves, blocks and groups have a fixed size and their number grows.
+Bounds that equal the k-th score are scored, so ties are whole. Neither side is broadcast
+or gathered: shelves and groups have a fixed size and their number grows.
 """
 
 from __future__ import annotations
@@ -25,8 +23,9 @@ from pyspark.sql.window import Window
 from shelfspark.llm import common as C
 
 BLOCK = 1024
+#: Blocks of a shelf.
+SHELF = 16
 GROUP = 256
-SHELF = 256
 _NONE = -(1 << 63)
 
 
@@ -44,21 +43,22 @@ def quantise(vectors: DataFrame, scale: int = 64) -> DataFrame:
     return rows.distinct()
 
 
-def _pack(size: int):
-    """Rows in order to blocks of ``size``: dim, ids, v (row after row), hi, lo."""
+def _pack(size: int, block: int):
+    """Rows in order to rows of ``size`` vectors: dim, ids, v, and hi, lo of each ``block`` of them."""
 
     def rows(batches):
         held: dict[int, tuple[list, list]] = {}
 
-        def block(dim: int):
+        def packed(dim: int):
             ids, values = held.pop(dim)
             matrix = np.array(values, dtype=np.int64).reshape(len(ids), dim)
+            starts = np.arange(0, len(ids), block)
             return pa.RecordBatch.from_pydict({
                 "dim": pa.array([dim], pa.int32()),
                 "ids": pa.array([np.array(ids, dtype=np.int64).tobytes()], pa.binary()),
                 "v": pa.array([matrix.tobytes()], pa.binary()),
-                "hi": pa.array([matrix.max(axis=0).tobytes()], pa.binary()),
-                "lo": pa.array([matrix.min(axis=0).tobytes()], pa.binary()),
+                "hi": pa.array([np.maximum.reduceat(matrix, starts, axis=0).tobytes()], pa.binary()),
+                "lo": pa.array([np.minimum.reduceat(matrix, starts, axis=0).tobytes()], pa.binary()),
             })
 
         for batch in batches:
@@ -67,26 +67,26 @@ def _pack(size: int):
                 ids.append(i)
                 values.append(v)
                 if len(ids) == size:
-                    yield block(dim)
+                    yield packed(dim)
         for dim in sorted(held):
-            yield block(dim)
+            yield packed(dim)
 
     return rows
 
 
-def blocks_of(vectors: DataFrame, size: int, name: str) -> DataFrame:
-    """(key, dim, ids, v, hi, lo): vectors in blocks of consecutive ids."""
-    packed = (
+def packed_rows(vectors: DataFrame, size: int, block: int, name: str) -> DataFrame:
+    """(``name``, dim, ids, v, hi, lo): vectors of consecutive ids, ``size`` to a row."""
+    rows = (
         vectors.repartitionByRange("vec_id").sortWithinPartitions("vec_id")
-        .mapInArrow(_pack(size), "dim int, ids binary, v binary, hi binary, lo binary")
+        .mapInArrow(_pack(size, block), "dim int, ids binary, v binary, hi binary, lo binary")
     )
-    return C.stage(packed.withColumn(name, F.monotonically_increasing_id()), name)
+    return C.stage(rows.withColumn(name, F.monotonically_increasing_id()), name)
 
 
 def _exact(*matrices: np.ndarray) -> list[np.ndarray]:
     """As doubles where every sum of products of two of them is exact in doubles, else as int64."""
     most = max(float(np.abs(m.astype(np.float64)).max(initial=0)) for m in matrices)
-    fits = 2 * most * most * matrices[0].shape[1] < 2**52
+    fits = 2 * most * most * matrices[0].shape[1] < 2**50
     return [m.astype(np.float64) if fits else m for m in matrices]
 
 
@@ -94,61 +94,57 @@ def _read(data: bytes, dim: int) -> np.ndarray:
     return np.frombuffer(data, dtype=np.int64).reshape(-1, dim)
 
 
-def _choose(first: bool):
-    """Blocks to score for each group of a (group, shelf) row: (group, block, picks: query numbers)."""
-
-    def rows(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                dim = row["dim"]
-                q = _read(row["v"], dim)
-                shelf = row["shelf"]
-                hi, lo = (np.concatenate([_read(b[c], dim) for b in shelf]) for c in ("hi", "lo"))
-                keys = np.array([b["block"] for b in shelf], dtype=np.int64)
-                order = np.argsort(keys)
-                keys = keys[order]
-                up, down, hi, lo = _exact(np.maximum(q, 0), np.minimum(q, 0), hi[order], lo[order])
-                bound = up @ hi.T + down @ lo.T
-                best = bound.argmax(axis=1)
-                if first:
-                    wanted = np.zeros(bound.shape, dtype=bool)
-                    wanted[np.arange(len(q)), best] = True
-                else:
-                    bar = np.frombuffer(row["bar"], dtype=np.int64)
-                    wanted = bound >= bar[:, None]
-                    wanted[np.arange(len(q)), best] = False
-                used = np.flatnonzero(wanted.any(axis=0))
-                if len(used):
-                    yield pa.RecordBatch.from_pydict({
-                        "group": pa.array([row["group"]] * len(used), pa.int64()),
-                        "block": pa.array(keys[used]),
-                        "picks": pa.array([np.flatnonzero(wanted[:, j]).astype(np.int32).tobytes() for j in used], pa.binary()),
-                    })
-
-    return rows
+def _top(score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best of each row; ties to the earlier place."""
+    n = score.shape[1]
+    if n <= k:
+        return np.repeat(np.arange(n)[None, :], len(score), axis=0)
+    if abs(score).max(initial=0) < 2**50:
+        return np.argpartition(score * -n + np.arange(n)[None, :], k - 1, axis=1)[:, :k]
+    return np.argsort(~score, axis=1, kind="stable")[:, :k]
 
 
-def _score(k: int, barred: bool):
-    """The k best of each picked query in a block (ties at the k-th kept), at or above its bar."""
+def _search(k: int, size: int):
+    """The k best of each query of a group on a shelf, at or above its bar: (query_id, vec_id, score)."""
 
     def rows(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 dim = row["dim"]
-                picks = np.frombuffer(row["picks"], dtype=np.int32)
-                q, v = _exact(_read(row["qv"], dim)[picks], _read(row["v"], dim))
-                own = np.frombuffer(row["qids"], dtype=np.int64)[picks]
+                q, own = _read(row["qv"], dim), np.frombuffer(row["qids"], dtype=np.int64)
                 ids = np.frombuffer(row["ids"], dtype=np.int64)
-                score = (q @ v.T).astype(np.int64)
-                other = own[:, None] != ids[None, :]
-                good = other.copy()
-                if len(ids) > k:
-                    good &= score >= np.partition(np.where(other, score, _NONE), len(ids) - k, axis=1)[:, len(ids) - k][:, None]
-                if barred:
-                    good &= score >= np.frombuffer(row["bar"], dtype=np.int64)[picks][:, None]
-                a, b = np.nonzero(good)
+                raw, hi, lo = (_read(row[c], dim) for c in ("v", "hi", "lo"))
+                up, down, hi, lo = _exact(np.maximum(q, 0), np.minimum(q, 0), hi, lo)
+                bound = up @ hi.T + down @ lo.T
+                q, v = _exact(q, raw)
+                bar = np.frombuffer(row["bar"], dtype=np.int64) if row.get("bar") else np.full(len(own), _NONE)
+                floor = bar.copy()
+                order = np.argsort(-bound, axis=1, kind="stable")
+                best = np.full((len(own), k), _NONE)
+                best_id = np.full((len(own), k), np.iinfo(np.int64).max)
+                live = np.arange(len(own))
+                for step in range(bound.shape[1]):
+                    block = order[live, step]
+                    go = bound[live, block] >= floor[live]  # bounds only fall from here on
+                    live, block = live[go], block[go]
+                    if not len(live):
+                        break
+                    for j in np.unique(block).tolist():
+                        who = live[block == j]
+                        part = slice(j * size, min(len(ids), (j + 1) * size))
+                        score = (q[who] @ v[part].T).astype(np.int64)
+                        other = own[who][:, None] != ids[part][None, :]
+                        place = _top(np.where(other, score, -(1 << 49)) if abs(score).max(initial=0) < 2**49 else np.where(other, score, _NONE), k)
+                        new = np.where(np.take_along_axis(other, place, 1), np.take_along_axis(score, place, 1), _NONE)
+                        all_s = np.concatenate([best[who], new], axis=1)
+                        all_i = np.concatenate([best_id[who], ids[part][place]], axis=1)
+                        first = np.lexsort((all_i, ~all_s), axis=1)[:, :k]
+                        best[who] = np.take_along_axis(all_s, first, 1)
+                        best_id[who] = np.take_along_axis(all_i, first, 1)
+                        floor[who] = np.maximum(bar[who], best[who, k - 1])
+                a, b = np.nonzero((best > _NONE) & (best >= bar[:, None]))
                 if len(a):
-                    yield pa.RecordBatch.from_pydict({"query_id": pa.array(own[a]), "vec_id": pa.array(ids[b]), "score": pa.array(score[a, b])})
+                    yield pa.RecordBatch.from_pydict({"query_id": pa.array(own[a]), "vec_id": pa.array(best_id[a, b]), "score": pa.array(best[a, b])})
 
     return rows
 
@@ -168,7 +164,9 @@ def _best(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64) -> DataFrame:
+def top_k(
+    vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, block: int = BLOCK, shelf: int = SHELF, group: int = GROUP
+) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of each query's ``k`` highest integer inner products.
 
     Candidates are all rows but those of the query's own vec_id and those of another
@@ -178,29 +176,22 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64) ->
     while they fit a long.
     """
     rows = C.stage(quantise(vectors, scale), "vectors")
-    blocks = blocks_of(rows, BLOCK, "block")
-    groups = blocks_of(rows.where(is_query), GROUP, "group")
-    shelves = max(1, -(-blocks.count() // SHELF))
-    shelf = F.pmod(F.xxhash64("block"), F.lit(shelves)).cast("int").alias("at")
-    stocked = blocks.groupBy("dim", shelf).agg(F.collect_list(F.struct("block", "hi", "lo")).alias("shelf"))
-    offered = groups.select("group", "dim", "v", F.explode(F.sequence(F.lit(0), F.lit(shelves - 1))).alias("at")).join(stocked, ["dim", "at"])
-    chosen = "group long, block long, picks binary"
-
-    def scored(pairs: DataFrame, bars: DataFrame | None) -> DataFrame:
-        asked = groups.select("group", F.col("ids").alias("qids"), F.col("v").alias("qv"))
-        if bars is not None:
-            asked = asked.join(bars, "group")
-        full = pairs.join(blocks.select("block", "dim", "ids", "v"), "block").join(asked, "group")
-        return full.mapInArrow(_score(k, bars is not None), "query_id long, vec_id long, score long")
-
-    first = C.stage(_best(scored(offered.mapInArrow(_choose(True), chosen), None), k), "first")
+    shelves = packed_rows(rows, block * shelf, block, "shelf")
+    groups = packed_rows(rows.where(is_query), group, group, "group")
+    places = max(1, shelves.count())
+    stocked = shelves.withColumn("at", F.pmod(F.xxhash64("shelf"), F.lit(places)).cast("int"))
+    asked = groups.select("group", "dim", F.col("ids").alias("qids"), F.col("v").alias("qv"), F.pmod(F.xxhash64("group"), F.lit(places)).cast("int").alias("home"))
+    schema = "query_id long, vec_id long, score long"
+    first = asked.withColumn("at", F.col("home")).join(stocked, ["dim", "at"]).drop("home").mapInArrow(_search(k, block), schema)
+    first = C.stage(_best(first, k), "first")
     reached = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("bar"))
     named = groups.select("group", "ids").mapInArrow(_names, "group long, query_id long")
     seen = named.join(reached, "query_id").groupBy("group").agg(F.collect_list(F.struct("query_id", "bar")).alias("seen"))
     bars = C.stage(groups.select("group", "ids").join(seen, "group", "left").mapInArrow(_bars, "group long, bar binary"), "bars")
-    rest = offered.join(bars, "group").mapInArrow(_choose(False), chosen)
-    # A query may recur in no more than one group, so its rows of both waves are distinct.
-    every = first.select("query_id", "vec_id", "score").union(scored(rest, bars))
+    others = F.explode(F.filter(F.sequence(F.lit(0), F.lit(places - 1)), lambda i: i != F.col("home"))).alias("at")
+    rest = asked.join(bars, "group").select("dim", "qids", "qv", "bar", others).join(stocked, ["dim", "at"]).mapInArrow(_search(k, block), schema)
+    # A query stands in one group, so no pair comes from both waves.
+    every = first.select("query_id", "vec_id", "score").union(rest)
     return _best(every, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
