@@ -14,6 +14,9 @@ that no length gathers in one task, and meet the plan as a bounded broadcast.
 
 from __future__ import annotations
 
+import os
+import re
+import unicodedata
 import zlib
 from itertools import repeat
 
@@ -29,6 +32,19 @@ CAPACITY = 2048
 #: Pieces in one task's row numbering, about.
 SALT_ROWS = 20_000
 
+#: Letters (or bytes of letters beyond ASCII), then ASCII marks to the end.
+_TAILED = re.compile(rb"([A-Za-z\x80-\xff]+)([!-/:-@\[-`{-~]+)")
+
+
+def _lettered(word: bytes) -> bool:
+    """Whether the tokenizer sees one run of letters: also after its own lower-casing."""
+    if word.isalpha():
+        return True
+    if word.isascii():
+        return False
+    text = unicodedata.normalize("NFC", word.decode("utf-8", "replace"))
+    return text.isalpha() and text.lower().isalpha()
+
 
 class Words:
     """Token ids of words by a tokenizer whose splits never cross ASCII white space.
@@ -38,7 +54,8 @@ class Words:
     where an id carries the tokenizer's word-end mark.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 250_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -52,46 +69,52 @@ class Words:
     def _clear(self) -> None:
         self.known: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 20, dtype=np.uint32)
-        self.start, self.size, self.filled = [], [], 0
-
-    def _put(self, word: bytes, ids: np.ndarray) -> None:
-        end = self.filled + len(ids)
-        while end > len(self.ids):
+        self.start = np.zeros(1 << 16, dtype=np.int32)
+        self.size = np.zeros(1 << 16, dtype=np.int32)
+        self.filled = 0
+
+    def _put(self, words: list[bytes], ids: np.ndarray, size: np.ndarray) -> None:
+        """Keep ``words`` with their ids, which stand one after the other."""
+        first, last = len(self.known), len(self.known) + len(words)
+        while self.filled + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.filled : end] = ids
-        self.known[word] = len(self.start)
-        self.start.append(self.filled)
-        self.size.append(len(ids))
-        self.filled = end
+        while last > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        self.ids[self.filled : self.filled + len(ids)] = ids
+        self.size[first:last] = size
+        self.start[first:last] = self.filled + np.cumsum(size) - size
+        self.known.update(zip(words, range(first, last), strict=True))
+        self.filled += len(ids)
 
-    def _of(self, word: bytes) -> np.ndarray:
-        i = self.known[word]
-        return self.ids[self.start[i] : self.start[i] + self.size[i]]
+    def _at(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
 
     def _learn(self, words: list[bytes]) -> None:
-        """Encode ``words``, none of them known."""
-        tailed = [w for w in words if len(w) > 1 and w[-1:] in b".,;:!?" and w[:-1].isalpha()]
-        tails = {w[-1:] for w in tailed} | {w[:-1] for w in tailed}
-        fresh = dict.fromkeys([w for w in tails if w not in self.known])
-        composed = set(tailed)
-        fresh |= dict.fromkeys(w for w in words if w not in composed)
-        plain = [w for w in fresh if w.isalpha()]
+        """Encode ``words``, none of them known.
+
+        Letters with marks behind them are two pieces to the tokenizer; each half is learnt
+        once. Words of letters go through it together, all others one by one.
+        """
+        halves = [(w, m[1], m[2]) for w in words if (m := _TAILED.fullmatch(w)) and _lettered(m[1])]
+        composed = {w for w, _, _ in halves}
+        fresh = dict.fromkeys(w for w in words if w not in composed)
+        fresh |= dict.fromkeys(x for _, *both in halves for x in both if x not in self.known)
+        plain = [w for w in fresh if _lettered(w)]
         if plain:
-            ids = np.array(self.tokenizer.encode(b" ".join(plain).decode(), add_special_tokens=False).ids, dtype=np.uint32)
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(plain).decode()], add_special_tokens=False)[0].ids, dtype=np.uint32)
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(plain):
-                for word, a, b in zip(plain, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                    self._put(word, ids[a:b])
-            else:
-                plain = []
-        done = set(plain)
-        rest = [w for w in fresh if w not in done]
+                self._put(plain, ids, np.diff(ends, prepend=0))
+        rest = [w for w in fresh if w not in self.known]
         if rest:
             texts = [w.decode("utf-8", "replace") for w in rest]
-            for word, e in zip(rest, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-                self._put(word, np.array(e.ids, dtype=np.uint32))
-        for word in tailed:
-            self._put(word, np.concatenate([self._of(word[:-1]), self._of(word[-1:])]))
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            self._put(rest, np.array([x for own in found for x in own], dtype=np.uint32), np.array([len(x) for x in found]))
+        if halves:
+            both = np.stack([self._at([x for _, x, _ in halves]), self._at([x for _, _, x in halves])], axis=1).ravel()
+            size = self.size[both].astype(np.int64)
+            ids = self.ids[C.ragged(self.start[both].astype(np.int64), size)]
+            self._put([w for w, _, _ in halves], ids, size.reshape(-1, 2).sum(axis=1))
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of ``words`` in order, and the number of ids of each."""
@@ -101,9 +124,8 @@ class Words:
         missing = np.flatnonzero(at < 0)
         if len(missing):
             self._learn(list(dict.fromkeys(words[i] for i in missing.tolist())))
-            at[missing] = [self.known[words[i]] for i in missing.tolist()]
-        size = np.array(self.size, dtype=np.int64)[at] if len(words) else np.zeros(0, np.int64)
-        start = np.array(self.start, dtype=np.int64)[at] if len(words) else np.zeros(0, np.int64)
+            at[missing] = self._at([words[i] for i in missing.tolist()])
+        size, start = self.size[at].astype(np.int64), self.start[at].astype(np.int64)
         return (self.ids[C.ragged(start, size)] if len(words) else np.zeros(0, np.uint32)), size
 
 
@@ -117,15 +139,16 @@ def _piece_rows(path: str, capacity: int, with_ids: bool):
     def rows(batches):
         words = Words(path)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = batch.column("text")
             first = 0
             while first < len(texts):
                 held, counts, total, last = [], [], 0, first
-                while last < len(texts) and (total < 1 << 20 or last == first):
-                    own = _words(texts[last])
+                while last < len(texts) and (total < 1 << 19 or last == first):
+                    text = texts[last].as_py()
+                    own = _words(text)
                     held += own
                     counts.append(len(own))
-                    total += len(texts[last] or "")
+                    total += len(text or "")
                     last += 1
                 ids, size = words.encode(held)
                 ends = np.concatenate(([0], np.cumsum(size)))[np.cumsum(counts)]

@@ -169,7 +169,7 @@ def repeated_paths(docs: DataFrame, k: int = 35) -> tuple[DataFrame, DataFrame]:
     )
     paths = (
         whole.select("did", "rk", "at", "copies", lo.alias("lo"), n.alias("n"), F.coalesce(goes_on, F.lit(False)).alias("goes_on"))
-        .withColumn("path", F.sum((~F.col("goes_on")).cast("int")).over(here))
+        .withColumn("path", F.sum((~F.col("goes_on")).cast("int")).over(here.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy("did", "rk", "path")
         .agg(F.min("lo").alias("lo"), F.sum("n").alias("n"), F.first("copies").alias("copies"))
         .drop("path")
