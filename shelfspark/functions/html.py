@@ -14,6 +14,9 @@ from shelfspark.functions.core import (
 )
 from shelfspark.profiles import PageProfile
 
+# Separates parts of a page while they share one string; never part of a page.
+POINT_MARK = "\x01"
+
 # Entities decoded without leaving the JVM; the ampersand comes last.
 BASIC_ENTITIES = (
     ("&lt;", "<"),
@@ -54,6 +57,13 @@ def unescape(text: Column, full: bool = True) -> Column:
     return F.coalesce(_decode_entities(F.when(hard, text)), native)
 
 
+def unescape_all(texts: Column) -> Column:
+    """Entity decoding of an array of strings without control marks: one call per row."""
+    joined = unescape(F.array_join(texts, POINT_MARK))
+    none = F.array().cast("array<string>")
+    return F.when(F.size(texts) > 0, F.split(joined, POINT_MARK)).when(texts.isNotNull(), none)
+
+
 def strip_markup(fragment: Column) -> Column:
     """Script and style bodies and tags become blanks; entities are kept."""
     out = fragment
@@ -76,9 +86,13 @@ def clean_text(fragment: Column, full: bool = True) -> Column:
 
 
 def block_after(html: Column, marker: str, size: int) -> Column:
-    """Up to ``size`` characters from the marker on, the whole page without it."""
+    """The page from the marker on (``size`` characters of it, if not 0), the whole page without it."""
     at = F.locate(marker, html)
-    return F.when(at > 0, F.substring(html, at, F.lit(size))).otherwise(html)
+    return F.when(at > 0, _from(html, at, size)).otherwise(html)
+
+
+def _from(text: Column, at: Column, size: int) -> Column:
+    return F.substring(text, at, F.lit(size) if size else F.length(text))
 
 
 def blocked(html: Column, profile: PageProfile) -> Column:
@@ -97,10 +111,6 @@ def drop_title_suffix(title: Column, from_first: Column, profile: PageProfile) -
     )
 
 
-# Separates list points while they share one string; never part of a page.
-POINT_MARK = "\x01"
-
-
 def raw_points(html: Column, profile: PageProfile) -> Column:
     """Markup of all list points joined by a mark, else '' (one string, so that
     entity decoding needs one call per page)."""
@@ -109,7 +119,7 @@ def raw_points(html: Column, profile: PageProfile) -> Column:
     for marker in reversed(profile.points_markers):
         hit = F.locate(marker.lower(), lowered)
         at = F.when(hit > 0, hit).otherwise(at)
-    block = F.substring(html, at, F.lit(profile.points_block))
+    block = _from(html, at, profile.points_block)
     return F.when(
         at > 0,
         F.array_join(
@@ -166,13 +176,13 @@ def media_candidates(source: Column, profile: PageProfile) -> Column:
 def media_urls(html: Column, decoded: Column, profile: PageProfile) -> Column:
     """Unique media URLs in order: decoded page first, then the raw one.
 
-    ``decoded`` is the entity-decoded page. A raw candidate is decoded with the
-    basic entities, the only ones that URLs in markup carry.
+    ``decoded`` is the entity-decoded page. Every candidate is decoded in full too; all
+    of a page travel as one string.
     """
     found = F.concat(
         media_candidates(decoded, profile), media_candidates(html, profile)
     )
-    plain = F.transform(found, lambda u: media_url(unescape(u, full=False)))
+    plain = F.transform(unescape_all(found), media_url)
     return F.array_distinct(
         F.filter(
             plain,

@@ -77,19 +77,22 @@ def page_links(
     out = (
         found.withColumn("href", href)
         .filter((F.col("href") != "") & F.col("href").contains(links.href_contains))
+        .withColumn("_target", H.unescape(F.col("href")))
         .select(
             "page_id",
             F.col("url").alias("source_url"),
             "pos",
             "href",
+            "_target",
             text.alias("branch_name"),
             F.greatest(F.col("list_marks") - 1, F.lit(0)).cast("bigint").alias("depth"),
             (F.col("up_marks") > 0).alias("is_up_link"),
         )
         .withColumn(
             "branch_url",
-            U.canonical_section(U.resolve("source_url", H.unescape(F.col("href"), full=False))),
+            U.canonical_section(U.resolve("source_url", "_target")),
         )
+        .drop("_target")
         .withColumn("source_page", U.canonical_section("source_url"))
         .withColumn("cluster_key", U.cluster_key("branch_url", site))
     )
@@ -167,10 +170,8 @@ def item_urls_of_page(page: PageProfile = PAGE, site: UrlProfile = SITE) -> Colu
     )
     linked = F.filter(
         F.transform(
-            cards,
-            lambda t: U.canonical_item(
-                U.resolve("url", H.unescape(H.attr(t, "href"), full=False)), site
-            ),
+            H.unescape_all(F.transform(cards, lambda t: H.attr(t, "href"))),
+            lambda h: U.canonical_item(U.resolve("url", h), site),
         ),
         lambda u: u.startswith(site.item_prefix) | u.contains("/dp/"),
     )
@@ -192,9 +193,7 @@ def item_urls_of_page(page: PageProfile = PAGE, site: UrlProfile = SITE) -> Colu
             extract_all(value, page.item_json_id),
         )
 
-    listed = F.flatten(
-        F.transform(lists, lambda v: ids_of(H.unescape(F.trim(v), full=False)))
-    )
+    listed = F.flatten(F.transform(H.unescape_all(F.transform(lists, F.trim)), ids_of))
     ids = F.filter(
         F.transform(F.concat(tagged, listed), lambda v: U.key_strict(v, site)),
         lambda v: v != "",
@@ -239,9 +238,8 @@ def extract_fields(
 
 
 def _decoded_for_media(html: Column) -> Column:
-    """Entity-decoded page; only pages that can hold a media URL are decoded in full."""
-    may = html.rlike("(?i)mp4|m3u8|&#")
-    return F.coalesce(H.unescape(F.when(may, html)), html)
+    """Entity-decoded page; pages without an ampersand are so already."""
+    return F.coalesce(H.unescape(F.when(html.contains("&"), html)), html)
 
 
 def extract_media(
@@ -273,7 +271,8 @@ def detect_presence(
     )
     staged = pages.withColumn("_decoded", _decoded_for_media(block))
     in_block = F.coalesce(H.media_urls(block, F.col("_decoded"), page), F.col("media_urls"))
-    staged = staged.withColumn("_p", H.presence(body, page, in_block))
+    staged = staged.withColumn("_in_block", in_block)
+    staged = staged.withColumn("_p", H.presence(body, page, F.col("_in_block")))
     has = F.col("_p.has") | (F.size("media_urls") > 0)
     n_media = F.size("media_urls").cast("bigint")
     n = F.when(
@@ -285,15 +284,18 @@ def detect_presence(
         .withColumn(
             "signals", F.coalesce(F.col("_p.signals"), F.array().cast("array<string>"))
         )
-        .drop("_decoded", "_p")
+        .drop("_decoded", "_in_block", "_p")
     )
 
 
-def classify_blocked(pages: DataFrame, page: PageProfile = PAGE) -> DataFrame:
-    """Adds blocked and error."""
-    flag = H.blocked(F.col("html"), page)
+def classify_blocked(
+    pages: DataFrame, page: PageProfile = PAGE, fetch_error: Column | None = None
+) -> DataFrame:
+    """Adds blocked and error; a page that could not be fetched keeps the text of that error."""
+    failed = F.coalesce(F.trim(fetch_error), F.lit("")) if fetch_error is not None else F.lit("")
+    flag = F.coalesce(H.blocked(F.col("html"), page), F.lit(False)) & (failed == "")
     return pages.withColumn("blocked", flag).withColumn(
-        "error", F.when(flag, F.lit(page.blocked_error)).otherwise(F.lit(""))
+        "error", F.when(flag, F.lit(page.blocked_error)).otherwise(failed)
     )
 
 
@@ -301,22 +303,26 @@ def page_results(
     pages: DataFrame,
     page: PageProfile = PAGE,
     site: UrlProfile = SITE,
-    max_media: int = 1,
+    max_media: int = 0,
+    fetch_error: Column | None = None,
+    downloads: DataFrame | None = None,
 ) -> DataFrame:
-    """One result row per page, narrow: blocked test, fields, media, signals.
+    """One result row per page: blocked test, fields, media, signals.
 
-    A blocked page keeps the defaults of all other fields, so its body is
-    nulled before any extraction runs. ``downloaded_videos`` lists the target
-    names of the first ``max_media`` media URLs; fetching is not done here.
+    A page that was blocked, or not fetched (``fetch_error`` has a text), keeps the
+    defaults of all other fields, so its body is nulled before any extraction runs.
+    ``planned_files`` has target names for the first ``max_media`` media URLs (0: all).
+    ``downloads`` (url, video_url, path, error) tells what became of them: without it
+    nothing was downloaded. Only this join shuffles, and it moves results, not bodies.
     """
-    body = F.when(~F.col("blocked"), F.col("html"))
-    out = classify_blocked(pages, page)
+    body = F.when(F.col("error") == "", F.col("html"))
+    out = classify_blocked(pages, page, fetch_error)
     out = extract_fields(out, page, body)
     out = extract_media(out, page, body)
     out = detect_presence(out, page, body)
     key = U.key_from_url("url", site)
     owner = F.when(key != "", key).otherwise(F.lit("unknown"))
-    chosen = F.slice("media_urls", 1, max(1, max_media))
+    chosen = F.slice("media_urls", 1, max_media) if max_media > 0 else F.col("media_urls")
     names = F.transform(
         chosen,
         lambda _, i: F.concat(
@@ -324,22 +330,49 @@ def page_results(
         ),
     )
     none = F.array().cast("array<string>")
-    return out.select(
-        *[c for c in pages.columns if c != "html"],
+    out = out.select(
+        *[c for c in pages.columns if c not in ("html", "error")],
         key.alias("item_key"),
         "title",
         "description",
         "has_video",
         "video_count",
         F.col("media_urls").alias("video_urls"),
-        (F.when(F.col("has_video"), names).otherwise(none) if max_media > 0 else none).alias(
-            "downloaded_videos"
-        ),
-        F.array().cast("array<struct<video_url:string,error:string>>").alias("download_errors"),
+        F.when(F.col("has_video"), names).otherwise(none).alias("planned_files"),
         "blocked",
         "error",
         "signals",
     )
+    return _with_downloads(out, downloads)
+
+
+_OUTCOME = "array<struct<video_url:string,error:string>>"
+
+
+def _with_downloads(results: DataFrame, downloads: DataFrame | None) -> DataFrame:
+    """Adds downloaded_videos and download_errors, in the order of the page's media."""
+    if downloads is None:
+        return results.withColumns({
+            "downloaded_videos": F.array().cast("array<string>"),
+            "download_errors": F.array().cast(_OUTCOME),
+        })
+    failed = F.coalesce(F.trim("error"), F.lit("")) != ""
+    tried = downloads.select(
+        "url", F.struct("video_url", F.when(~failed, F.col("path")).alias("path"), F.when(failed, F.trim("error")).alias("error")).alias("_try")
+    ).groupBy("url").agg(F.collect_list("_try").alias("_tries"))
+    placed = F.array_sort(F.transform(
+        F.coalesce("_tries", F.array().cast("array<struct<video_url:string,path:string,error:string>>")),
+        lambda t: F.struct(F.array_position("video_urls", t["video_url"]).alias("at"), t["video_url"].alias("video_url"),
+                           t["path"].alias("path"), t["error"].alias("error")),
+    ))
+    out = results.join(tried, "url", "left").withColumn("_tries", placed)
+    return out.withColumns({
+        "downloaded_videos": F.transform(F.filter("_tries", lambda t: t["path"].isNotNull()), lambda t: t["path"]),
+        "download_errors": F.transform(
+            F.filter("_tries", lambda t: t["error"].isNotNull()),
+            lambda t: F.struct(t["video_url"].alias("video_url"), t["error"].alias("error")),
+        ),
+    }).drop("_tries")
 
 
 # ---- pagination --------------------------------------------------------------
@@ -369,19 +402,18 @@ def next_page_edges(
     edge = lambda url, via: F.struct(
         U.page_number(url, site).alias("page_no"), url.alias("page_url"), F.lit(via).alias("via")
     )
-    plain = lambda h: H.unescape(h, full=False)
     staged = pages.select(
         "page_id",
         "url",
         U.canonical_section("url", root_slash=False).alias("branch_url"),
         U.page_number("url", site).alias("current_page"),
-        next_href.alias("_next"),
+        H.unescape(next_href).alias("_next"),
         block.alias("_block"),
         (F.size(item_urls_of_page(page, site)) > 0).alias("_items"),
     )
     numbered = F.transform(
-        extract_all(F.col("_block"), page.page_link_pattern),
-        lambda h: edge(U.resolve("url", plain(h)), "number"),
+        H.unescape_all(extract_all(F.col("_block"), page.page_link_pattern)),
+        lambda h: edge(U.resolve("url", h), "number"),
     )
     onward = F.struct(
         (F.col("current_page") + 1).alias("page_no"),
@@ -391,7 +423,7 @@ def next_page_edges(
     candidates = (
         F.when(
             F.col("_next").isNotNull(),
-            F.array(edge(U.resolve("url", plain(F.col("_next"))), "next")),
+            F.array(edge(U.resolve("url", "_next"), "next")),
         )
         .when(
             F.col("_block").isNotNull(),

@@ -17,8 +17,6 @@ from shelfspark.functions.core import collapse_ws, split_nonblank
 from shelfspark.plans import chunked
 from shelfspark.profiles import DAILY_SLOTS, SECTION_SLUGS, UrlProfile
 
-UNKNOWN_POSITION = 1_000_000_000
-
 
 # ---- order and dedupe ------------------------------------------------------
 def top_n_per_key(
@@ -62,12 +60,9 @@ def union_sources(
 def restore_order(
     df: DataFrame, order: DataFrame, key: str = "url", position: str = "ord"
 ) -> DataFrame:
-    """Attach input positions (last one per key wins) and sort; unknown keys last."""
+    """Attach input positions (last one per key wins) and sort; unknown keys have none and come last."""
     last = order.groupBy(key).agg(F.max(position).cast("bigint").alias(position))
-    out = df.join(last, key, "left").withColumn(
-        position, F.coalesce(position, F.lit(UNKNOWN_POSITION).cast("bigint"))
-    )
-    return out.orderBy(position)
+    return df.join(last, key, "left").orderBy(F.col(position).asc_nulls_last())
 
 
 def limit_first(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:

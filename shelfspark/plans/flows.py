@@ -47,10 +47,12 @@ def inspect_pages(
     order: DataFrame,
     page: PageProfile = P.PAGE,
     site: UrlProfile = P.SITE,
-    max_media: int = 1,
+    max_media: int = 0,
+    fetch_error: Column | None = None,
+    downloads: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(results in input order, one summary row)."""
-    results = P.page_results(pages, page, site, max_media)
+    results = P.page_results(pages, page, site, max_media, fetch_error, downloads)
     return Q.restore_order(results, order), A.summarize(results)
 
 

@@ -91,7 +91,7 @@ SECTION_SLUGS = {
 class PageProfile:
     """Which markup of a stored page carries which field.
 
-    The defaults are fixed values: markers, patterns, phrases and block sizes.
+    The defaults are fixed values: markers, patterns and phrases.
     Patterns use syntax that Java and RE2 read alike.
     """
 
@@ -101,7 +101,7 @@ class PageProfile:
     )
     title_suffix: str = r"(?i)\s*:\s*Amazon\.in.*$"
     points_markers: tuple[str, ...] = ('id="feature-bullets"', "id='feature-bullets'")
-    points_block: int = 150_000
+    points_block: int = 0  # characters from the marker on; 0: to the end of the page
     point_pattern: str = r"(?is)<li[^>]*>(.*?)</li>"
     point_skip_prefix: str = "make sure this fits"
     meta_pattern: str = (
@@ -113,7 +113,7 @@ class PageProfile:
     )
     media_suffixes: tuple[str, ...] = (".m3u8", ".mp4")
     presence_marker: str = 'id="altImages"'
-    presence_block: int = 300_000
+    presence_block: int = 0
     thumb_pattern: str = r"(?i)\bvideoThumbnail\b"
     action_pattern: str = r"(?i)openVideoImmersiveView|chromeful-video"
     count_pattern: str = r"""(?i)id=["']videoCount["'][^>]*>\s*([0-9]+)\s+VIDEOS?"""
@@ -143,10 +143,6 @@ class PageProfile:
     )
     pagination_pattern: str = r"""(?is)<ul[^>]*class=["'][^"']*\ba-pagination\b[^>]*>(.*?)</ul>"""
     page_link_pattern: str = r"""(?is)<li[^>]*>\s*<a[^>]*\bhref=["']([^"']*)["']"""
-    last_page_pattern: str = (
-        r"""(?is)<li[^>]*class=["'](?:[^"']*\ba-disabled\b[^"']*\ba-last\b"""
-        r"""|[^"']*\ba-last\b[^"']*\ba-disabled\b)"""
-    )
 
 
 @dataclass(frozen=True)

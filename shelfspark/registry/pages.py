@@ -28,13 +28,11 @@ MARKUP = PageProfile(
     title_patterns=(r"(?is)<h1[^>]*>(.*?)</h1>", r"(?is)<title>(.*?)</title>"),
     title_suffix=r"(?i)\s*%%%.*$",
     points_markers=("<nav>", "<ul>"),
-    points_block=400,
     point_skip_prefix="the",
     meta_pattern=r'(?is)<div class="ad">(.*?)</div>',
     media_json_pattern=r'(?i)"pageURL"\s*:\s*"([^"]+)"',
     media_url_pattern=r"(?i)free-[a-z]+|spam-[a-z]+",
     presence_marker="<article>",
-    presence_block=3000,
     thumb_pattern=r"(?i)<b>",
     action_pattern=r"(?i)\*\*\* ",
     count_pattern=r"(?i)([0-9]+)</p>",
@@ -190,8 +188,8 @@ t0 AS (
       THEN regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)
       ELSE regexp_extract(html, '(?is)<title>(.*?)</title>', 1) END AS tt,
     CASE WHEN strpos(html, '<nav>') > 0
-      THEN substr(html, strpos(html, '<nav>'), 400)
-      WHEN strpos(html, '<ul>') > 0 THEN substr(html, strpos(html, '<ul>'), 400)
+      THEN substr(html, strpos(html, '<nav>'))
+      WHEN strpos(html, '<ul>') > 0 THEN substr(html, strpos(html, '<ul>'))
       ELSE '' END AS block,
     regexp_extract(html, '(?is)<div class="ad">(.*?)</div>', 1) AS meta FROM {source}),
 p0 AS (
@@ -264,7 +262,7 @@ def presence_ctes(source: str) -> str:
     return rf"""
 b0 AS (
   SELECT page_id, CASE WHEN strpos(html, '<article>') > 0
-    THEN substr(html, strpos(html, '<article>'), 3000) ELSE html END AS b FROM {source}),
+    THEN substr(html, strpos(html, '<article>')) ELSE html END AS b FROM {source}),
 b1 AS (
   SELECT page_id, regexp_matches(b, '(?i)<b>') AS thumb, regexp_matches(b, '(?i)\*\*\* ') AS act,
     regexp_matches(b, '(?i)([0-9]+)</p>') AS lab,
@@ -342,7 +340,7 @@ FROM k WHERE rn = 1"""
 
 # ---- pagination -------------------------------------------------------------------
 def next_pages(spark, sf):
-    out = P.next_page_edges(_pages(spark, sf), MARKUP, ITEM_SITE, max_pages=900)
+    out = P.next_page_edges(_pages(spark, sf), MARKUP, ITEM_SITE)
     return out.select("page_id", "branch_url", "page_no", "page_url", "via")
 
 
@@ -370,7 +368,7 @@ e AS (
   FROM p WHERE nx = '' AND NOT paged AND items)
 SELECT page_id, branch_url, page_no, page_url, via FROM (
   SELECT *, row_number() OVER (PARTITION BY branch_url, page_no ORDER BY cur, page_id, page_url) AS rn
-  FROM e WHERE cur < 900 AND page_no <= 900) WHERE rn = 1"""
+  FROM e) WHERE rn = 1"""
 
 QUERIES = {
     "clean_html": clean_html,

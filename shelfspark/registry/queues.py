@@ -81,7 +81,7 @@ WITH o AS (
   SELECT url, page_id AS ord FROM pages WHERE starts_with(url, 'https')
   UNION ALL SELECT url, page_id + 100000000 FROM pages WHERE contains(url, '?page=')),
 m AS (SELECT url, max(ord) AS ord FROM o GROUP BY url)
-SELECT p.page_id, p.url, coalesce(m.ord, 1000000000)::BIGINT AS ord
+SELECT p.page_id, p.url, m.ord::BIGINT AS ord
 FROM pages p LEFT JOIN m ON p.url = m.url"""
 
 

@@ -25,7 +25,7 @@ def _payloads(spark, sf):
     url, alt = F.col("url"), F.concat(F.col("url"), F.lit("&b"))
     obj = lambda a, b: F.to_json(F.struct(a, b))
     shape = (
-        F.when(url.contains("utm_"), F.concat(F.lit("﻿[1, "), F.to_json(F.array(url, url, F.lit(" "))).substr(2, 9999)))
+        F.when(url.contains("utm_"), F.concat(F.lit("﻿[1, "), F.to_json(F.array(url, url, F.lit(" "))).substr(F.lit(2), F.lit(2**31 - 1))))
         .when(url.endswith(".html"), F.concat(
             F.lit("["), obj(url.alias("url"), F.lit("  ").alias("product_url")), F.lit(","),
             obj(url.alias("url"), alt.alias("product_url")), F.lit("]")))

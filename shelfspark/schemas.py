@@ -20,7 +20,7 @@ PAGES = _struct(page_id=_L, url=_S, html=_S)
 
 PAGE_RESULT = _struct(
     url=_S, asin=_S, title=_S, description=_S, has_video=_B, video_count=_I,
-    video_urls=T.ArrayType(_S), downloaded_videos=T.ArrayType(_S),
+    video_urls=T.ArrayType(_S), planned_files=T.ArrayType(_S), downloaded_videos=T.ArrayType(_S),
     download_errors=T.ArrayType(_struct(video_url=_S, error=_S)),
     http_status=_I, blocked=_B, error=_S, signals=T.ArrayType(_S), elapsed_ms=_D,
 )

@@ -12,7 +12,7 @@ from shelfspark.operators import queues as Q
 from shelfspark.operators import sequence as S
 from shelfspark.operators import text as O
 from shelfspark.operators import urls as OU
-from shelfspark.profiles import LinkProfile, UrlProfile
+from shelfspark.profiles import LinkProfile, PageProfile, UrlProfile
 
 SITE = UrlProfile()
 
@@ -151,14 +151,42 @@ def test_presence_rules(spark):
         (False, 0, []),
     ]
     assert got[2].video_urls == ["https://m.example/a.m3u8", "https://m.example/b.mp4?x=1&y=2"]
-    assert got[2].downloaded_videos == ["unknown_video_01.mp4"]
+    assert got[2].planned_files == ["unknown_video_01.mp4", "unknown_video_02.mp4"]
+    assert (got[2].downloaded_videos, got[2].download_errors) == ([], [])
 
 
 def test_media_outside_the_block_sets_the_flag(spark):
     far = "x" * 300_100
     df = pages_of(spark, f'<div id="altImages">{far} http://m.example/a.mp4"')
-    r = P.page_results(df).first()
+    r = P.page_results(df, PageProfile(presence_block=300_000)).first()
     assert (r.has_video, r.video_count, r.signals) == (True, 1, [])
+    assert P.page_results(df).first().signals == ["media-url-in-page"]
+
+
+def test_numeric_entities_in_media_and_links(spark):
+    df = pages_of(spark, '<video src="https://m.example/v.mp4?x=1&#38;y=2"><li><a href="/gp/bestsellers/x&#47;7">n</a></li>')
+    r = P.page_results(df).first()
+    assert (r.video_urls, r.video_count) == (["https://m.example/v.mp4?x=1&y=2"], 1)
+    link = P.page_links(df, LinkProfile(), UrlProfile(), in_scope_only=False).first()
+    assert link.branch_url.endswith("/gp/bestsellers/x/7")
+
+
+def test_outcomes_of_fetching_and_downloading(spark):
+    base = pages_of(spark, 'http://m.example/a.mp4 http://m.example/b.mp4', "captcha", "http://m.example/c.mp4 ")
+    base = base.withColumn("url", F.concat("url", F.lit("?p="), F.col("page_id")))
+    pages = base.withColumn("why", F.when(F.col("page_id") == 2, F.lit(" timeout "))).withColumn("error", F.lit("old"))
+    url = [r.url for r in base.orderBy("page_id").collect()]
+    done = spark.createDataFrame(
+        [(url[0], "http://m.example/b.mp4", "b", ""), (url[0], "http://m.example/a.mp4", "a", None), (url[0], "http://m.example/z.mp4", None, "404 ")],
+        "url string, video_url string, path string, error string",
+    )
+    results = P.page_results(pages, fetch_error=F.col("why"), downloads=done)
+    got = {r.page_id: r for r in results.collect()}
+    assert got[0].downloaded_videos == ["a", "b"]
+    assert [(e.video_url, e.error) for e in got[0].download_errors] == [("http://m.example/z.mp4", "404")]
+    assert (got[1].blocked, got[2].blocked, got[2].error, got[2].video_urls) == (True, False, "timeout", [])
+    s = A.summarize(results).first()
+    assert (s.page_errors, s.downloaded_products, s.downloaded_videos, s.download_errors) == (2, 1, 2, 1)
 
 
 def test_blocked_page_counts_as_error(spark):

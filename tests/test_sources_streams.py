@@ -72,7 +72,7 @@ def test_report(spark, tmp_path):
         reports.write_report(results, str(tmp_path / fmt), fmt)
         detail, summary = reports.read_report(spark, str(tmp_path / fmt), fmt)
         s = summary.first()
-        assert (detail.count(), s.total, s.with_video, s.without_video, s.downloaded_videos) == (2, 2, 1, 1, 1)
+        assert (detail.count(), s.total, s.with_video, s.without_video, s.downloaded_videos) == (2, 2, 1, 1, 0)
     reports.write_urls(results, str(tmp_path / "urls"))
     assert spark.read.text(str(tmp_path / "urls")).count() == 2
 
