@@ -357,17 +357,22 @@ def assign_slots(
     position: str,
     start: str,
     slots: Sequence[str] = DAILY_SLOTS,
-    chunk_width: int = 65_536,
+    chunk_width: int | None = None,
     keys: Sequence[str] = (),
 ) -> DataFrame:
     """i-th queue item -> i-th slot after ``start``.
 
+    Chunks of positions lie between quantiles, or have ``chunk_width`` where positions
+    are known to be dense.
+
     Ranks come from the chunked rank; since the daily slots repeat, slot i is
     arithmetic on the rank and no calendar has to be joined.
     """
     minutes = slot_minutes(slots)
     ranked = chunked.running(
-        queue, list(keys), [position], chunked.by_id(position, chunk_width), rank="slot_no"
+        queue, list(keys), [position],
+        chunked.by_id(position, chunk_width) if chunk_width else chunked.by_quantiles(queue, position),
+        rank="slot_no",
     )
     begin = F.lit(start).cast("timestamp_ntz")
     into_day = F.hour(begin) * 60 + F.minute(begin)
@@ -453,7 +458,7 @@ def cursor_steps(
     ``chunk`` the time slices are sized from the events.
     """
     if chunk is None:
-        chunk = chunked.by_time(order[0], chunked.slice_seconds(events, order[0]))
+        chunk = chunked.by_quantiles(events, order[0])
     step = F.when(took, 1).when(failed, -1).otherwise(0)
     df, (k,) = chunked.keyed(
         events.withColumn(chunked.CHUNK, chunk).withColumn("_step", step), [key]

@@ -40,7 +40,7 @@ def _slices(df: DataFrame, ts: str, seconds: float | None) -> Column | None:
     """Time chunk of a fixed or measured length; null for prepared rows."""
     if chunked.CHUNK in df.columns:
         return None
-    return chunked.by_time(ts, seconds or chunked.slice_seconds(df, ts))
+    return chunked.by_time(ts, seconds) if seconds else chunked.by_quantiles(df, ts)
 
 
 def counter_rates(
@@ -183,13 +183,15 @@ def split_even(
     chunk_width: int = 8_192,
 ) -> DataFrame:
     """Even scenes of a script, of equal length, with the joined text of each; a
-    lone line over six seconds gets a stock closing line.
+    lone line over six seconds gets a stock closing line. Blank lines do not count; a
+    script without other lines gets stock lines.
 
     ``total`` is the script length in seconds. The joined text is one output
     value per scene; use ``assign_scenes`` where a scene must not be joined.
     """
+    timed = lines.withColumn("_total", total.cast("double"))
     df = assign_scenes(
-        lines.withColumn("_total", total.cast("double")), key, order, scenes, chunk_width
+        timed.filter(F.trim(text) != ""), key, order, scenes, chunk_width
     )
     segments = df.groupBy(key, "scene_index").agg(
         _ordered_lines(text, "line_no").alias("line"),
@@ -205,14 +207,7 @@ def split_even(
         key, "_total", F.when(lone, 2).otherwise(F.col("_n")).alias("_n"),
         F.inline(F.when(lone, F.array(first, stock)).otherwise(F.array(first))),
     )
-    step = F.col("_total") / F.col("_n")
-    return _bounds(
-        segments, key,
-        start=step * (F.col("scene_index") - 1),
-        end=F.when(F.col("scene_index") == F.col("_n"), F.col("_total")).otherwise(
-            step * F.col("scene_index")
-        ),
-    )
+    return _even(segments, key).unionByName(stock_scenes(timed, key, text))
 
 
 def _bounds(df: DataFrame, key: str, start: Column, end: Column, *extra: str) -> DataFrame:
@@ -246,7 +241,8 @@ def allocate_weighted(
     weight), so one running sum replaces a walk over the script.
     """
     none = F.lit(None).cast("double")
-    df = rows.withColumn("line", coalesce_fields(*texts)).filter(F.col("line") != "")
+    every = rows.withColumn("line", coalesce_fields(*texts))
+    df = every.filter(F.col("line") != "")
     df = df.withColumn("_start", none if start is None else to_float(start)).withColumn(
         "_end", none if end is None else to_float(end)
     ).withColumn("_total", total.cast("double"))
@@ -256,13 +252,14 @@ def allocate_weighted(
         "_w",
         F.greatest(F.coalesce(given, F.lit(0.0)), F.lit(0.8), words * F.lit(0.35)),
     )
-    # Rows with a start come first, by start; the others keep the input order.
+    # Rows with a start come first, by start; the others keep the input order, and their
+    # chunks lie beyond any time slice.
+    slice_no = F.floor(F.greatest(F.lit(-1e12), F.least(F.lit(1e12), F.col("_start") / slice_seconds)))
     chunk = F.when(
-        F.col("_start").isNull(), F.lit(10**12) + chunked.by_id(order, chunk_width)
-    ).otherwise(F.floor(F.col("_start") / slice_seconds).cast("bigint"))
-    late = F.coalesce("_start", F.lit(1e9))
+        F.col("_start").isNull(), F.lit(2 * 10**12) + chunked.by_id(order, chunk_width)
+    ).otherwise(slice_no.cast("bigint"))
     df = chunked.running(
-        df, [key], [late, F.col(order)], chunk, rank="scene_index", sums={"_run": F.col("_w")},
+        df, [key], [F.col("_start").asc_nulls_last(), F.col(order)], chunk, rank="scene_index", sums={"_run": F.col("_w")},
         totals={"_n": (F.sum, F.lit(1)), "_sum": (F.sum, F.col("_w"))},
     )
     floor = F.lit(max(0.4, float(min_seconds)))
@@ -283,10 +280,36 @@ def allocate_weighted(
     out = _bounds(df.withColumn("_b", begin).withColumn("_e", finish), key, F.col("_b"), F.col("_e"),
                   "_n", "_total")
     # The last segment ends at the total; its length follows from the rounded start.
-    return out.withColumn(
+    out = out.withColumn(
         "duration_sec",
         F.when(last, F.round(F.col("_total") - F.col("start_sec"), 3)).otherwise(F.col("duration_sec")),
     ).drop("_n", "_total")
+    return out.unionByName(stock_scenes(every.withColumn("_total", total.cast("double")), key, "line"))
+
+
+def stock_scenes(rows: DataFrame, key: str, line: str) -> DataFrame:
+    """Scenes of the scripts in ``rows`` (with _total) that have no usable line: a stock
+    line, and a stock closing line from six seconds on."""
+    blank = rows.groupBy(key).agg(
+        F.max("_total").alias("_total"), F.max(F.coalesce(F.trim(line), F.lit("")) != "").alias("_any")
+    ).filter(~F.col("_any"))
+    scene = lambda i, text: F.struct(F.lit(i).cast("bigint").alias("scene_index"), F.lit(text).alias("line"))
+    first, second = scene(1, FALLBACK_LINE), scene(2, FALLBACK_CLOSE)
+    two = F.col("_total") >= 6
+    found = blank.select(key, "_total", F.when(two, 2).otherwise(1).alias("_n"), F.inline(F.when(two, F.array(first, second)).otherwise(F.array(first))))
+    return _even(found, key)
+
+
+def _even(segments: DataFrame, key: str) -> DataFrame:
+    """``_n`` scenes of equal length over ``_total``."""
+    step = F.col("_total") / F.col("_n")
+    return _bounds(
+        segments, key,
+        start=step * (F.col("scene_index") - 1),
+        end=F.when(F.col("scene_index") == F.col("_n"), F.col("_total")).otherwise(
+            step * F.col("scene_index")
+        ),
+    )
 
 
 def compress_groups(

@@ -35,7 +35,7 @@ def strip_links(
     """Text without links, with a keyword tail; the ASCII form is re-paragraphed."""
     body = X.without_links(F.col(column), ascii_only)
     if ascii_only:
-        body = let(body, X.paragraphs)
+        body = let(body, lambda b: X.paragraphs(b))
     return df.withColumn(out, X.with_tail(body, keywords))
 
 
@@ -314,7 +314,7 @@ def template_description(
         )
 
     body = let(X.sentences(F.col(column), X.PLAIN_END, weak=False), assemble)
-    body = let(X.without_links(body, ascii_only=True), X.paragraphs)
+    body = let(X.without_links(body, ascii_only=True), lambda b: X.paragraphs(b))
     text = X.with_tail(body, keywords)
     lead = prefix.strip()
     if lead:

@@ -29,6 +29,7 @@ CHUNK, GROUP = "_chunk", "_group"
 
 KEY = "_key"
 ROWS_PER_CHUNK = 1_000_000
+_STRIDE = 64
 
 
 def _div(value: Column, width: Column | int) -> Column:
@@ -45,17 +46,29 @@ def by_time(column: str, seconds: float) -> Column:
     return _div(epoch_micros(column), max(1, int(seconds * 1_000_000)))
 
 
-def slice_seconds(df: DataFrame, ts: str, rows: int = ROWS_PER_CHUNK) -> float:
-    """Slice length that holds about ``rows`` rows even if one key had all of them.
+def by_quantiles(df: DataFrame, column: str, rows: int = ROWS_PER_CHUNK) -> Column:
+    """Chunk between approximate quantiles of an order column (number or timestamp).
 
-    One small aggregate over the timestamp column; three numbers reach the driver.
+    A chunk holds about ``rows`` rows of the whole table, hence no more of any key,
+    wherever the values lie: an outlier, a burst or ids like hashes do not matter. One
+    small aggregate over one column; a bound for each ``rows`` rows reaches the driver.
     """
-    n, lo, hi = df.agg(
-        F.count(ts), F.min(epoch_micros(ts)), F.max(epoch_micros(ts))
-    ).first()
-    if not n:
-        return 1.0
-    return max(1e-3, (hi - lo + 1) / 1e6 / max(1, math.ceil(n / rows)))
+    kind = dict(df.dtypes)[column]
+    value = epoch_micros(column) if kind.startswith("timestamp") else F.col(column)
+    n = df.select(column).agg(F.count(column)).first()[0]
+    parts = math.ceil(n / rows)
+    if parts < 2:
+        return F.lit(0).cast("bigint")
+    shares = [i / parts for i in range(1, parts)]
+    bounds = sorted(set(df.select(F.percentile_approx(value, shares, max(10_000, 50 * parts))).first()[0]))
+    # Bounds below a value: whole runs of _STRIDE bounds first, then the rest of one run.
+    runs = [bounds[i : i + _STRIDE] for i in range(0, len(bounds), _STRIDE)]
+    below = lambda known, x: F.size(F.filter(known, lambda b: b < x))
+    tops = F.array(*[F.lit(r[-1]) for r in runs])
+    table = F.array(*[F.array(*[F.lit(b) for b in r]) for r in runs])
+    full = below(tops, value)
+    inner = F.coalesce(below(F.get(table, full), value), F.lit(0))
+    return F.coalesce(full * _STRIDE + F.greatest(inner, F.lit(0)), F.lit(0)).cast("bigint")
 
 
 def prepare(df: DataFrame, keys: Sequence[str], chunk: Column) -> DataFrame:

@@ -120,7 +120,7 @@ def script_segments(
     df = df.select(key, "_total", "_t2").checkpoint()
     df = O.drop_repeats(df, "_t2", 14, similar, out="_t3").select(key, "_total", "_t3").checkpoint()
     lines = df.select(
-        key, "_total", F.posexplode(X.sentences(F.col("_t3"))).alias("idx", "sentence")
+        key, "_total", F.posexplode_outer(X.sentences(F.col("_t3"))).alias("idx", "sentence")
     )
     timed = S.allocate_weighted(
         lines, key, "idx", ["sentence"], F.col("_total"), min_seconds

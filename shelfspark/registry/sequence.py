@@ -87,20 +87,37 @@ TOTAL = 24.0
 
 
 def _lines(spark, sf):
+    """One script in seven has blank lines only, one in five a blank first line."""
+    blank = (F.col("conv_id") % 7 == 3) | ((F.col("conv_id") % 5 == 1) & (F.col("turn") == 0))
     return table(spark, sf, "conversations").select(
-        "conv_id", "turn", "role", F.trim("text").alias("text")
+        "conv_id", "turn", "role", F.when(blank, F.lit(" ")).otherwise(F.trim("text")).alias("text")
     )
 
 
+_SCRIPTS = """
+conv AS (
+  SELECT conv_id, turn, role,
+    CASE WHEN conv_id % 7 = 3 OR (conv_id % 5 = 1 AND turn = 0) THEN '' ELSE trim(text) END AS text FROM conversations),
+stock AS (
+  SELECT conv_id FROM conv GROUP BY conv_id HAVING max(text) = '')"""
+
+
+def _stock(focus: str = "") -> str:
+    return f"""
+UNION ALL SELECT conv_id, 1, 0.0, {TOTAL / 2}, {TOTAL / 2}, {focus}'{FALLBACK_LINE}' FROM stock
+UNION ALL SELECT conv_id, 2, {TOTAL / 2}, {TOTAL}, {TOTAL / 2}, {focus}'{FALLBACK_CLOSE}' FROM stock"""
+
+
 def split_even(spark, sf):
     out = S.split_even(_lines(spark, sf), "conv_id", "turn", "text", F.lit(TOTAL), 3)
     return out
 
 
 SPLIT_EVEN_SQL = f"""
-WITH n AS (
-  SELECT conv_id, trim(text) AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i,
-    count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+WITH {_SCRIPTS},
+n AS (
+  SELECT conv_id, text AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i,
+    count(*) OVER (PARTITION BY conv_id) AS n FROM conv WHERE text <> ''),
 g AS (SELECT *, CASE WHEN n > 3 THEN (n + 2) // 3 ELSE 1 END AS size FROM n),
 s AS (
   SELECT conv_id, (i - 1) // size + 1 AS k, trim(string_agg(t, ' ' ORDER BY i)) AS line,
@@ -111,7 +128,7 @@ a AS (
 SELECT conv_id, k::BIGINT AS scene_index, round({TOTAL}::DOUBLE / segs * (k - 1), 3) AS start_sec,
   round(CASE WHEN k = segs THEN {TOTAL}::DOUBLE ELSE {TOTAL}::DOUBLE / segs * k END, 3) AS end_sec,
   round(CASE WHEN k = segs THEN {TOTAL}::DOUBLE ELSE {TOTAL}::DOUBLE / segs * k END
-    - {TOTAL}::DOUBLE / segs * (k - 1), 3) AS duration_sec, line FROM a"""
+    - {TOTAL}::DOUBLE / segs * (k - 1), 3) AS duration_sec, line FROM a{_stock()}"""
 
 
 def _allocated(spark, sf):
@@ -133,12 +150,12 @@ def allocate_weighted(spark, sf):
     return _allocated(spark, sf)
 
 
-_ALLOC = rf"""
+_ALLOC = rf"""{_SCRIPTS},
 c AS (
-  SELECT conv_id, turn, trim(text) AS line,
+  SELECT conv_id, turn, text AS line,
     CASE WHEN conv_id % 2 = 0 AND role <> 'user' THEN ((turn * 7) % 20)::DOUBLE END AS b,
-    CASE WHEN turn % 3 > 0 THEN ((turn * 7) % 20 + 5)::DOUBLE END AS f FROM conversations
-  WHERE trim(text) <> ''),
+    CASE WHEN turn % 3 > 0 THEN ((turn * 7) % 20 + 5)::DOUBLE END AS f FROM conv
+  WHERE text <> ''),
 w AS (
   SELECT *, greatest(CASE WHEN f > b THEN f - b ELSE 0 END, 0.8::DOUBLE,
     len(regexp_extract_all(line, '[^\s\p{{Z}}]+')) * 0.35::DOUBLE) AS w,
@@ -158,7 +175,7 @@ x AS (
 al AS (
   SELECT conv_id, i::BIGINT AS scene_index, round(s, 3) AS start_sec, round(e, 3) AS end_sec,
     CASE WHEN i = n THEN round({TOTAL}::DOUBLE - round(s, 3), 3) ELSE round(e - s, 3) END AS duration_sec,
-    line FROM x)
+    line FROM x{_stock()})
 """
 
 

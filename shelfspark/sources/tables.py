@@ -7,19 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from shelfspark import schemas
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give CPU-heavy work on a small scan enough tasks.
-
-    A table that comes as a file or two has fewer partitions than the cluster
-    has cores; only then is it redistributed by its row id. A large table has
-    partitions enough and stays as it is: no shuffle of page bodies.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def read_pages(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
     """Stored page bodies (page_id, url, html)."""
     if streaming:
         return spark.readStream.schema(schemas.PAGES).parquet(path)
-    return spread(spark.read.schema(schemas.PAGES).parquet(path), "page_id")
+    return spark.read.schema(schemas.PAGES).parquet(path)

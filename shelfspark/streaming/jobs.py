@@ -11,7 +11,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from shelfspark.operators import pages as P
 from shelfspark.operators import queues as Q
@@ -38,10 +37,15 @@ def run_to_table(
 
 
 def _earlier(spark, path: str, batch_id: int) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path).filter(F.col("batch") < batch_id)
-    except AnalysisException:
-        return None  # nothing was written yet
+    """What earlier batches wrote; None only where no folder of a batch exists yet.
+
+    Any other trouble (access, schema, a broken file) fails the batch.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder) or not any(s.getPath().getName().startswith("batch=") for s in files.listStatus(folder)):
+        return None
+    return spark.read.parquet(path).filter(F.col("batch") < batch_id)
 
 
 # ---- dedupe ----------------------------------------------------------------------

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from shelfspark import schemas
+from shelfspark.operators import sequence as S
 from shelfspark.plans import flows
 from shelfspark.profiles import UrlProfile
 
@@ -48,6 +49,16 @@ def test_script_segments(spark):
     one = sorted((r for r in got if r.id == 1), key=lambda r: r.scene_index)
     assert " ".join(r.line for r in one) == "Look here. This pan heats fast and cleans easily. It saves time. Buy it"
     assert len(one) <= 3 and one[-1].end_sec == 20.0 and one[0].start_sec == 0.0
+    assert {r.id for r in got} == {1, 2}
+
+
+def test_scripts_without_usable_lines_get_stock_lines(spark):
+    df = spark.createDataFrame([(1, "Works. Well."), (2, " "), (3, None)], "id long, text string")
+    got = flows.script_segments(df, "id", "text", F.lit(8.0), 3).collect()
+    assert {r.id: len([x for x in got if x.id == r.id]) for r in got} == {1: 2, 2: 2, 3: 2}
+    lines = spark.createDataFrame([(1, 0, ""), (2, 0, "one"), (2, 1, " ")], "id long, n long, line string")
+    even = S.split_even(lines, "id", "n", "line", F.lit(4.0), 2).collect()
+    assert sorted((r.id, r.scene_index) for r in even) == [(1, 1), (2, 1)]
 
 
 def test_choose_opening(spark):

@@ -100,3 +100,27 @@ def test_reach_over_a_hub(spark):
     got = {r.node: r.depth for r in G.reach(edges, seed, 10).collect() if r.node.startswith("s:")}
     assert len(got) == 302 and got["s:1"] == 2 and got["s:300"] == 4 and "s:302" not in got
     assert G.reach(edges, seed, 10, max_nodes=5).count() == 5
+
+
+@pytest.mark.parametrize("values", [
+    [0] + [10**12 + i for i in range(2_000)],  # one outlier
+    [i // 10 if i < 1_000 else i * 1_000_003 for i in range(2_000)],  # a burst
+    [(i * 0x9E3779B97F4A7C15) % 2**62 for i in range(2_000)],  # ids like hashes
+])
+def test_quantile_chunks_bound_the_work(spark, values):
+    rows = spark.createDataFrame([(v, "hot") for v in values], "id long, k string").repartition(4)
+    chunk = chunked.by_quantiles(rows, "id", 100)
+    sizes = [r["count"] for r in rows.groupBy(chunk.alias("c")).count().collect()]
+    assert max(sizes) <= 200 and len(sizes) >= 15
+    got = chunked.running(rows, ["k"], ["id"], chunk, rank="r")
+    w = Window.partitionBy("k").orderBy("id")
+    if len(set(values)) == len(values):
+        same(got, rows.withColumn("r", F.row_number().over(w)), "id", "r")
+
+
+def test_quantile_chunks_of_times_and_nothing(spark):
+    rows = spark.range(500).select(F.timestamp_seconds(F.col("id") * 7).alias("ts"))
+    n = [r["count"] for r in rows.groupBy(chunked.by_quantiles(rows, "ts", 50).alias("c")).count().collect()]
+    assert len(n) == 10 and max(n) <= 100
+    none = rows.where("false")
+    assert none.groupBy(chunked.by_quantiles(none, "ts", 50).alias("c")).count().count() == 0

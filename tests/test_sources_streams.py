@@ -1,3 +1,4 @@
+import pytest
 """Files in, files out, and streams that arrive in several batches."""
 
 import json
@@ -151,3 +152,14 @@ def test_page_stream_equals_batch(spark, tmp_path):
     got = J.stream_page_results(read_pages(spark, path, streaming=True), str(tmp_path / "o"))
     want = P.page_results(read_pages(spark, path))
     assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_a_broken_state_folder_fails_the_batch(spark, tmp_path):
+    from shelfspark.streaming import jobs
+
+    path = tmp_path / "state"
+    assert jobs._earlier(spark, str(path), 1) is None
+    (path / "batch=0").mkdir(parents=True)
+    (path / "batch=0" / "part-0.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception, match="(?i)parquet|schema|footer"):
+        jobs._earlier(spark, str(path), 1).count()
