@@ -18,6 +18,7 @@ import os
 import re
 import unicodedata
 import zlib
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -29,8 +30,8 @@ from pyspark.sql.window import Window
 from shelfspark.llm import common as C
 
 CAPACITY = 2048
-#: Pieces in one task's row numbering, about.
-SALT_ROWS = 20_000
+#: Pieces of one length that are numbered together, about.
+SALT_ROWS = 1_000
 
 #: Letters (or bytes of letters beyond ASCII), then ASCII marks to the end.
 _TAILED = re.compile(rb"([A-Za-z\x80-\xff]+)([!-/:-@\[-`{-~]+)")
@@ -54,7 +55,7 @@ class Words:
     where an id carries the tokenizer's word-end mark.
     """
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core already
         from tokenizers import Tokenizer
 
@@ -129,6 +130,12 @@ class Words:
         return (self.ids[C.ragged(start, size)] if len(words) else np.zeros(0, np.uint32)), size
 
 
+@lru_cache(maxsize=1)
+def words_of(path: str) -> Words:
+    """The word table of this Python process: tasks that follow each other share it."""
+    return Words(path)
+
+
 def _words(text: str | None) -> list[bytes]:
     """Words of a text; A-Z of an ASCII text lower-cased, as the tokenizer would."""
     raw = (text or "").encode("utf-8", "replace")
@@ -137,7 +144,7 @@ def _words(text: str | None) -> list[bytes]:
 
 def _piece_rows(path: str, capacity: int, with_ids: bool):
     def rows(batches):
-        words = Words(path)
+        words = words_of(path)
         for batch in batches:
             texts = batch.column("text")
             first = 0
@@ -306,8 +313,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bo
     rows = C.stage(pieces(docs, tokenizer, capacity, with_ids), "pieces")
     counts = {r[0]: r[1] for r in rows.groupBy("length").count().collect()}  # at most ``capacity`` rows
     runs = spark.sparkContext.broadcast(_runs(plan(counts, capacity), capacity))
-    salts = max(1, -(-sum(counts.values()) // SALT_ROWS))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("did", "rk", "piece"), F.lit(salts)))
+    # One row for each length: at most ``capacity``.
+    salts = spark.createDataFrame([(k, -(-n // SALT_ROWS)) for k, n in counts.items()], "length long, salts long")
+    salted = rows.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("did", "rk", "piece"), F.col("salts"))).drop("salts")
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = salted.groupBy("length", "salt").count().select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
     within = Window.partitionBy("length", "salt").orderBy("did", "rk", "piece")
