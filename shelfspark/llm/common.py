@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from shelfspark.session import scratch_path
 
@@ -49,6 +50,20 @@ def fold_in(doc_id: Column, parts: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % parts, F.lit(0))
 
 
+def hash_sample(df: DataFrame, group: str, keys: list[str], n: int) -> DataFrame:
+    """At most ``n`` rows of each ``group``, those of lowest hash of ``keys``.
+
+    Group sizes come first, so that only about 4 n + 100 rows of a group reach the task
+    that ranks them, however large the group is.
+    """
+    span = 1 << 31
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
+    hashed = df.withColumn("_h", F.pmod(F.xxhash64(*keys), F.lit(span)))
+    near = hashed.join(sizes, group).where(F.col("_h") <= F.lit(span) * ((4.0 * n + 100) / F.col("_size")))
+    order = Window.partitionBy(group).orderBy("_h", *keys)
+    return near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n", "_h", "_size")
+
+
 def powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, dtype=U64)
     if n:

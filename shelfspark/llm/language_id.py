@@ -134,11 +134,7 @@ def fit(docs: DataFrame, train: Column, per_language: int = 1500, grams: int = 3
     """
     base = docs.where(train & F.col("text").isNotNull() & (F.length("lang") > 0))
     keyed = base.select(F.col("lang").cast("string").alias("lang"), *C.row_key(), "text")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("did", "rk"), "did", "rk")
-    picked = (
-        keyed.select("lang", "did", "rk").distinct()
-        .withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language).drop("_n")
-    )
+    picked = C.hash_sample(keyed.select("lang", "did", "rk").distinct(), "lang", ["did", "rk"], per_language)
     # At most per_language rows of three small values for each language.
     sample = keyed.join(F.broadcast(picked), ["lang", "did", "rk"]).dropDuplicates(["lang", "did", "rk"])
     counts = sample.select("lang", "text").mapInArrow(_counts, "lang string, n int, gram long, times long")

@@ -16,7 +16,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from shelfspark.llm import common as C
 
@@ -124,8 +123,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, host: str, path: str, fo
         .groupBy("doc_id").agg(F.min("y").alias("y"))
     )
     told = C.stage(measured.join(known, "doc_id", "left"), "told")
-    order = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = told.where("y is not null").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_class)
+    sample = C.hash_sample(told.where("y is not null"), "y", ["doc_id"], per_class)
     rows = sample.select("x", "y").toPandas()  # at most 2 x per_class short rows
     text = _fit(np.array(rows["x"].tolist(), dtype=float).reshape(-1, len(MEASURES)), rows["y"].to_numpy(dtype=float))
     columns = [F.get("x", i) for i in range(len(MEASURES))]
@@ -156,7 +154,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, host: str, path: str, fo
     )
     lift = (_odds(F.col("path_posterior")) - float(np.log(np.clip(mean, 1e-4, 1 - 1e-4) / (1 - np.clip(mean, 1e-4, 1 - 1e-4))))).alias("lift")
     joined = C.stage(joined.select("*", lift), "joined")
-    again = joined.where("y is not null").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_class)
+    again = C.hash_sample(joined.where("y is not null"), "y", ["doc_id"], per_class)
     pairs = again.select("odds", "lift", "y").toPandas()  # at most 2 x per_class short rows
     both = _fit(np.stack([np.ones(len(pairs)), pairs["odds"], pairs["lift"]], axis=1).astype(float), pairs["y"].to_numpy(dtype=float))
     final = both.column([F.lit(1.0), F.col("odds"), F.col("lift")]) if both else F.col("odds")

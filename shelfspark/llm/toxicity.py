@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are byte 5-grams of the folded text that stay within one word and its borders. A chi-square test on a bounded sample of
-labelled rows picks those that tell the classes apart; their document frequencies are
+labelled rows picks those that tell the classes apart by a factor; their document frequencies are
 counted over all documents. The examples (bounded, from the same sample) stand in blocks
 of 64 with the largest weight of each term per block. A text's bound on a block is the sum
 of its weights times these maxima; blocks are scored from the best bound down until no
@@ -16,7 +16,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from shelfspark.llm import common as C
 from shelfspark.llm.language_id import _chunks, _grams
@@ -26,6 +25,8 @@ TERMS = 512
 BLOCK = 64
 #: Chi-square with one degree of freedom: a chance of about 1e-7.
 LEAST_CHI = 28.0
+#: A term is that many times commoner in one class than in the other.
+LEAST_RATIO = 4.0
 
 
 def _inside(raw: np.ndarray, at: np.ndarray, place: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -216,8 +217,7 @@ def _sample(labels: DataFrame, folds: int, per_class: int) -> DataFrame:
         .where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (C.fold_in(F.col("doc_id"), folds) != 0))
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     )
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    return known.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_class).drop("_n")
+    return C.hash_sample(known, "toxic", ["doc_id"], per_class)
 
 
 def _rows_scored(docs: DataFrame, labels: DataFrame, folds: int, per_class: int, examples: int, k: int) -> DataFrame:
@@ -235,9 +235,11 @@ def _rows_scored(docs: DataFrame, labels: DataFrame, folds: int, per_class: int,
     # N (ad - bc)^2 / (product of the margins), from counts of texts.
     apart = F.col("bad") * n_all - F.col("n") * n_bad
     chi = apart * apart * n_all / (F.col("n") * (n_all - F.col("n") + 1e-9) * float(max(1, n_bad)) * max(1, n_all - n_bad))
+    # How much commoner among toxic texts; the same whatever share of either class was sampled.
+    ratio = (F.col("bad") + 0.5) * (n_all - n_bad + 1) / ((F.col("n") - F.col("bad") + 0.5) * (n_bad + 1))
     least = max(3, int(n_all) // 2000)
-    best = counts.where(F.col("n") >= least).select("gram", chi.alias("chi"))
-    grams = np.array([r[0] for r in best.where(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "gram").limit(TERMS).collect()], dtype=np.int64)
+    best = counts.where(F.col("n") >= least).select("gram", chi.alias("chi"), ratio.alias("ratio"))
+    grams = np.array([r[0] for r in best.where((F.col("chi") >= LEAST_CHI) & ((F.col("ratio") >= LEAST_RATIO) | (F.col("ratio") <= 1 / LEAST_RATIO))).orderBy(F.desc("chi"), "gram").limit(TERMS).collect()], dtype=np.int64)
     terms = Terms(grams.view(np.uint64))
     kinds = "did long, rk int, doc_id long, held_out boolean, terms array<int>, times array<int>"
     vectors = C.stage(base.mapInArrow(_vectors(share(terms)), kinds), "vectors")
@@ -247,8 +249,7 @@ def _rows_scored(docs: DataFrame, labels: DataFrame, folds: int, per_class: int,
         df[r[0]] = r[1]
     labelled = C.stage(vectors.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "did", "rk", "terms", "times"), "labelled")
     seen = {(r[0], r[1]): r[2] for r in labelled.groupBy("toxic", F.size("terms") == 0).count().collect()}
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "rk")
-    chosen = labelled.where(F.size("terms") > 0).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= examples)
+    chosen = C.hash_sample(labelled.where(F.size("terms") > 0), "toxic", ["doc_id", "rk"], examples)
     held = [(r.doc_id, r.toxic, r.terms, r.times) for r in chosen.collect()]  # at most 2 x examples rows
     # Labels of the whole training set give the true class sizes that the sample's votes are corrected to.
     truth = labels.where(F.col("doc_id").isNotNull() & (C.fold_in(F.col("doc_id"), folds) != 0)).groupBy(F.col("toxic").cast("int").alias("y")).count()
