@@ -384,6 +384,45 @@ def assign_slots(
     return ranked.withColumn("slot_at", _at_minute(_midnight(begin), day, minute))
 
 
+def assign_calendar_slots(
+    queue: DataFrame, position: str, calendar: DataFrame, start: str, keys: Sequence[str] = (),
+    slot: str = "slot_at",
+) -> DataFrame:
+    """i-th queue item -> i-th slot of a calendar table after ``start``, per key.
+
+    Both sides are ranked in chunks and joined on (key, rank). Items beyond the
+    calendar's last slot have no slot.
+    """
+    later = calendar.filter(F.col(slot) > F.lit(start).cast("timestamp_ntz")).select(*keys, slot)
+    slots = chunked.running(later, list(keys), [slot], chunked.by_quantiles(later, slot), rank="slot_no")
+    ranked = chunked.running(
+        queue, list(keys), [position], chunked.by_quantiles(queue, position), rank="slot_no"
+    )
+    return ranked.join(slots, [*keys, "slot_no"], "left")
+
+
+def next_calendar_slot(
+    requests: DataFrame, at: str, calendar: DataFrame, key: str, slot: str = "slot_at", out: str = "next_slot"
+) -> DataFrame:
+    """First slot of the calendar strictly after ``at``, per key; null after the last one.
+
+    Requests meet the slots of their own day, which are few, and else the first slot of
+    the next day that has one: two equi joins on (key, day).
+    """
+    day = F.to_date(F.col(slot)).alias("_day")
+    days = calendar.select(key, day, F.col(slot).alias("_s")).groupBy(key, "_day").agg(
+        F.array_sort(F.collect_set("_s")).alias("_slots")
+    )
+    asked = requests.withColumn("_day", F.to_date(F.col(at)))
+    every = days.select(key, "_day").union(asked.select(key, "_day")).distinct().join(days, [key, "_day"], "left")
+    later = Window.partitionBy(key).orderBy("_day").rowsBetween(1, Window.unboundedFollowing)
+    every = every.withColumn("_after", F.min(F.element_at("_slots", F.lit(1))).over(later))
+    today = F.try_element_at(F.filter("_slots", lambda s: s > F.col(at)), F.lit(1))
+    return asked.join(every, [key, "_day"], "left").withColumn(out, F.coalesce(today, F.col("_after"))).drop(
+        "_day", "_slots", "_after"
+    )
+
+
 # ---- status aggregates -----------------------------------------------------
 def error_by_key(
     events: DataFrame,

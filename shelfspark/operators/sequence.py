@@ -415,6 +415,28 @@ def timing_class(
     )
 
 
+def label_by_windows(
+    df: DataFrame, t: Column, windows: DataFrame, key: str, begin: str = "begin", end: str = "end",
+    out: str = "labelled",
+) -> DataFrame:
+    """Is ``t`` inside one of the windows that ``windows`` has for the row's key?
+
+    A negative or null end is open, an end before its start is raised to it; a key
+    without windows is never labelled. The windows of one item are few and travel as one
+    array, so rows meet them by a plain join that Spark can split on hot keys.
+    """
+    span = F.struct(F.greatest(F.lit(0.0), F.col(begin).cast("double")).alias("b"), F.col(end).cast("double").alias("e"))
+    held = windows.groupBy(key).agg(F.collect_list(span).alias("_windows"))
+    moment = t.cast("double")
+    inside = F.exists("_windows", lambda w: (F.col("_t") >= w["b"]) & (
+        w["e"].isNull() | (w["e"] < 0) | (F.col("_t") <= F.greatest(w["b"], w["e"]))
+    ))
+    return (
+        df.withColumn("_t", moment).join(held, key, "left")
+        .withColumn(out, F.coalesce(inside, F.lit(False))).drop("_t", "_windows")
+    )
+
+
 def label_windows(
     df: DataFrame, t: Column, windows: Sequence[tuple[float, float]], out: str = "labelled"
 ) -> DataFrame:

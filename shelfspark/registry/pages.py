@@ -338,6 +338,41 @@ FROM k WHERE rn = 1"""
 )
 
 
+def outcomes(spark, sf):
+    """Summary of pages of which one in nine could not be fetched, with what became of
+    their media: every page's own URL was tried, one in four with an error."""
+    pages = _embedded(spark, sf)
+    n = F.col("page_id")
+    downloads = pages.select(
+        "url", F.col("url").alias("video_url"), F.concat(F.lit("f"), n).alias("path"),
+        F.when(n % 4 == 0, F.lit(" 404 ")).alias("error"),
+    )
+    unique = Q.dedupe_first(pages, F.col("url"), ["page_id"], "key")
+    first = downloads.join(unique.select("url"), "url", "left_semi").dropDuplicates(["url", "path"])
+    results = P.page_results(unique, MEDIA, ITEM_SITE, fetch_error=F.when(n % 9 == 2, F.lit("timeout")), downloads=first)
+    return A.summarize(results.withColumn("has_video", F.size("video_urls") > 0))
+
+
+OUTCOMES_SQL = f"""
+WITH k AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id) AS rn FROM pages),
+r AS (
+  SELECT url, page_id % 9 = 2 AS failed, page_id % 9 <> 2 AND ({_BLOCKED}) AS blocked,
+    contains(lower(url), '.example.com') OR contains(lower(url), '.example.net') AS media FROM k WHERE rn = 1),
+d AS (SELECT url, count(*) FILTER (page_id % 4 <> 0) AS good, count(*) FILTER (page_id % 4 = 0) AS bad FROM pages GROUP BY url)
+SELECT count(*)::BIGINT AS total, count(*) FILTER (media AND NOT blocked AND NOT failed)::BIGINT AS with_video,
+  count(*) FILTER (NOT media OR blocked OR failed)::BIGINT AS without_video, count(*) FILTER (blocked)::BIGINT AS blocked,
+  count(*) FILTER (blocked OR failed)::BIGINT AS page_errors, count(*) FILTER (good > 0)::BIGINT AS downloaded_products,
+  sum(good)::BIGINT AS downloaded_videos, sum(bad)::BIGINT AS download_errors
+FROM r JOIN d ON r.url = d.url"""
+
+
+REPORT_SQL = RESULTS_CTES + """
+SELECT count(*)::BIGINT AS total, count(*) FILTER (has_video)::BIGINT AS with_video,
+  count(*) FILTER (NOT has_video)::BIGINT AS without_video,
+  count(*) FILTER (blocked)::BIGINT AS blocked, count(*) FILTER (error <> '')::BIGINT AS page_errors,
+  0::BIGINT AS downloaded_products, 0::BIGINT AS downloaded_videos, 0::BIGINT AS download_errors FROM r"""
+
+
 # ---- pagination -------------------------------------------------------------------
 def next_pages(spark, sf):
     out = P.next_page_edges(_pages(spark, sf), MARKUP, ITEM_SITE)
@@ -383,6 +418,7 @@ QUERIES = {
     "blocked_pages": blocked_pages,
     "page_results": page_results,
     "summary": summary,
+    "outcomes": outcomes,
     "next_pages": next_pages,
 }
 SQL = {
@@ -399,5 +435,6 @@ SQL = {
     "blocked_pages": BLOCKED_SQL,
     "page_results": RESULTS_CTES + "SELECT * FROM r",
     "summary": SUMMARY_SQL,
+    "outcomes": OUTCOMES_SQL,
     "next_pages": NEXT_SQL,
 }

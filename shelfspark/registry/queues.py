@@ -338,6 +338,48 @@ FROM ok, (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-
 UNION ALL SELECT n_nationkey, NULL, true FROM nation WHERE n_nationkey NOT IN (SELECT k FROM ok)"""
 
 
+def _calendar(spark, sf):
+    return Q.slot_calendar(_schedules(spark, sf), "slots", "2024-01-01", "2024-03-31")[0].select("n_nationkey", "slot_at")
+
+
+def assign_calendar_slots(spark, sf):
+    """Suppliers of a nation in key order onto the nation's own calendar."""
+    queue = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("n_nationkey"), "s_suppkey")
+    out = Q.assign_calendar_slots(queue, "s_suppkey", _calendar(spark, sf), "2024-01-03 10:00:00", ["n_nationkey"])
+    return out.select("n_nationkey", "s_suppkey", "slot_no", "slot_at")
+
+
+def next_calendar_slot(spark, sf):
+    """Next slot of a nation after the order time of day of each of its customers' orders."""
+    orders = table(spark, sf, "orders").join(
+        table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey")), "o_custkey"
+    )
+    moment = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("o_orderkey") * 37 % 135_000).cast("int"))
+    asked = orders.select("o_orderkey", "n_nationkey", moment.alias("asked_at"))
+    return Q.next_calendar_slot(asked, "asked_at", _calendar(spark, sf), "n_nationkey")
+
+
+_CALENDAR = CALENDAR_SQL.split("\nSELECT k AS n_nationkey")[0] + """,
+cal AS (
+  SELECT k AS n_nationkey, (d + minute * INTERVAL 1 MINUTE)::TIMESTAMP AS slot_at
+  FROM ok, (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-03-31', INTERVAL 1 DAY)) AS d))"""
+ASSIGN_CALENDAR_SQL = _CALENDAR + """,
+c AS (
+  SELECT n_nationkey, slot_at, row_number() OVER (PARTITION BY n_nationkey ORDER BY slot_at) AS slot_no
+  FROM cal WHERE slot_at > TIMESTAMP '2024-01-03 10:00:00'),
+q AS (
+  SELECT s_nationkey AS n_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS slot_no
+  FROM supplier)
+SELECT q.n_nationkey, s_suppkey, q.slot_no, slot_at FROM q LEFT JOIN c ON q.n_nationkey = c.n_nationkey AND q.slot_no = c.slot_no"""
+NEXT_CALENDAR_SQL = _CALENDAR + """,
+a AS (
+  SELECT o_orderkey, c_nationkey AS n_nationkey,
+    (TIMESTAMP '2024-01-01' + (o_orderkey * 37 % 135000) * INTERVAL 1 MINUTE)::TIMESTAMP AS asked_at
+  FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT a.o_orderkey, a.n_nationkey, a.asked_at, min(slot_at) AS next_slot
+FROM a LEFT JOIN cal ON cal.n_nationkey = a.n_nationkey AND slot_at > asked_at GROUP BY 1, 2, 3"""
+
+
 def assign_slots(spark, sf):
     """Open orders in key order onto the daily slots after a start time."""
     queue = table(spark, sf, "orders").filter("o_orderstatus = 'O'").select("o_orderkey")
@@ -444,7 +486,8 @@ QUERIES = {
     for f in (
         dedupe_first, kept_counts, union_sources, restore_order, limit_first, first_valid,
         top_n_per_key, latest_per_key, phrase_flags, lookup_slug, pending_queue, recover_skipped,
-        merge_log, lookup_fallback, next_slot, deadlines, slot_calendar, assign_slots, error_by_key,
+        merge_log, lookup_fallback, next_slot, deadlines, slot_calendar, assign_slots, assign_calendar_slots,
+        next_calendar_slot, error_by_key,
         branch_progress, next_branch, gauge_stats, queue_cursor,
     )
 }
@@ -455,6 +498,7 @@ SQL = {
     "lookup_slug": LOOKUP_SLUG_SQL, "pending_queue": PENDING_SQL, "recover_skipped": RECOVER_SQL,
     "merge_log": MERGE_SQL, "lookup_fallback": LOOKUP_FALLBACK_SQL, "next_slot": NEXT_SLOT_SQL,
     "deadlines": DEADLINES_SQL, "slot_calendar": CALENDAR_SQL, "assign_slots": ASSIGN_SQL,
+    "assign_calendar_slots": ASSIGN_CALENDAR_SQL, "next_calendar_slot": NEXT_CALENDAR_SQL,
     "error_by_key": ERROR_SQL, "branch_progress": PROGRESS_SQL,
     "next_branch": _PROGRESS_CTE + "SELECT min(o_custkey) AS next_branch FROM p WHERE pending > 0",
     "gauge_stats": GAUGE_SQL, "queue_cursor": CURSOR_SQL,

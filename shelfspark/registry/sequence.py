@@ -229,6 +229,27 @@ SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_partkey, l_suppkey,
     THEN v + 0.8::DOUBLE ELSE raw END, 3) AS goal_sec FROM x"""
 
 
+def label_by_windows(spark, sf):
+    """Lines of an order against delivery windows of its part's supplier, in days of the year."""
+    lines = table(spark, sf, "lineitem").select(
+        "l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), "l_partkey", "l_suppkey",
+        F.dayofyear("l_shipdate").alias("day"),
+    )
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"))
+    no = F.col("l_suppkey")
+    windows = s.select(no, (no % 200).alias("begin"), (no % 90 * 3).alias("end")).union(
+        s.where(no % 3 == 0).select(no, F.lit(330), F.lit(-1))
+    ).where(no % 5 != 0)
+    return S.label_by_windows(lines, F.col("day"), windows, "l_suppkey").drop("day")
+
+
+LABEL_BY_SQL = """
+SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_partkey, l_suppkey,
+  l_suppkey % 5 <> 0 AND (dayofyear(l_shipdate) BETWEEN l_suppkey % 200 AND greatest(l_suppkey % 200, l_suppkey % 90 * 3)
+    OR (l_suppkey % 3 = 0 AND dayofyear(l_shipdate) >= 330)) AS labelled
+FROM lineitem"""
+
+
 def label_windows(spark, sf):
     second = (epoch_micros("ts") % 86_400_000_000) / F.lit(1e6)
     out = S.label_windows(table(spark, sf, "events"), second, [(0, 3600), (43_200, 50_000), (80_000, -1)])
@@ -272,7 +293,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         interleave, counter_rates, ewma, load_class, split_even, allocate_weighted, compress_groups,
-        timing_class, label_windows, reach,
+        timing_class, label_windows, label_by_windows, reach,
     )
 }
 SQL = {
@@ -286,5 +307,6 @@ SQL = {
     "compress_groups": COMPRESS_SQL,
     "timing_class": TIMING_SQL,
     "label_windows": LABEL_SQL,
+    "label_by_windows": LABEL_BY_SQL,
     "reach": REACH_SQL,
 }

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfspark import schemas
+from shelfspark.operators import pages as P
 from shelfspark.operators import queues as Q
 from shelfspark.registry import pages as RP
 from shelfspark.registry.base import table
 from shelfspark.session import scratch_path
+from shelfspark.sources import logs, reports, state
 from shelfspark.sources import records as R
 from shelfspark.streaming import jobs as J
 
@@ -91,6 +93,71 @@ def stream_dedupe(spark, sf):
     return J.run_to_table(J.stream_dedupe(stream, keys), scratch_path(spark, "dedupe"))
 
 
+def stream_dedupe_watermark(spark, sf):
+    """Keys are kept until the watermark passes them by 400 days, longer than the events last."""
+    stream = _stream(spark, sf, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    found = J.stream_dedupe(stream, ["user_id", "event_type"], "ts", "400 days")
+    return J.run_to_table(found.select("user_id", "event_type"), scratch_path(spark, "dedupe-watermark"))
+
+
+# ---- sinks: written, read again ----------------------------------------------------
+def report(spark, sf):
+    path = scratch_path(spark, "report")
+    reports.write_report(P.page_results(table(spark, sf, "pages"), RP.MARKUP, RP.ITEM_SITE), path)
+    return reports.read_report(spark, path)[1]
+
+
+def upload_log(spark, sf):
+    """Orders as log lines, appended in two goes; those of one priority have no key."""
+    orders = table(spark, sf, "orders")
+    named = F.when(~F.col("o_orderpriority").startswith("1"), F.concat(F.lit("https://shop.example/\"x\"/"), F.col("o_orderkey")))
+    first, second, third = (f.name for f in schemas.UPLOAD_LOG.fields[:3])
+    rows = orders.select(
+        "o_orderkey", named.alias(first), F.col("o_orderpriority").alias(second), F.col("o_orderkey").cast("string").alias(third)
+    )
+    path = scratch_path(spark, "log")
+    for part in (0, 1):
+        logs.append_log(rows.where(F.col("o_orderkey") % 2 == part).drop("o_orderkey"), path)
+    return logs.read_jsonl_log(spark, path).select(
+        F.col(first).alias("key"), F.col(second).alias("value"), F.col(third).cast("bigint").alias("o_orderkey")
+    )
+
+
+LOG_SQL = """
+SELECT 'https://shop.example/"x"/' || o_orderkey AS key, o_orderpriority AS value, o_orderkey FROM orders
+WHERE NOT starts_with(o_orderpriority, '1')"""
+
+
+def saved_state(spark, sf):
+    """Orders as the tables of a publisher's state, saved and loaded."""
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("url"), "o_orderkey", "o_orderstatus")
+    url = orders.where("o_orderstatus = 'F'").select("url")
+    tables = {
+        "scalars": orders.agg(F.count(F.lit(1)).alias("n")),
+        "queue": orders.where("o_orderstatus = 'O'").select("url", F.col("o_orderkey").alias("pos")),
+        "uploaded": url,
+        "skipped": orders.where("o_orderstatus = 'P'").select("url"),
+        "errors": url.withColumn("error", F.concat(F.lit("late "), "url")),
+    }
+    path = scratch_path(spark, "state")
+    state.save_state(tables, path)
+    back = state.load_state(spark, path)
+    return (
+        back["queue"].select(F.lit("queue").alias("kind"), "url", F.col("pos").cast("string").alias("value"))
+        .union(back["uploaded"].select(F.lit("uploaded"), "url", F.lit("")))
+        .union(back["skipped"].select(F.lit("skipped"), "url", F.lit("")))
+        .union(back["errors"].select(F.lit("errors"), "url", "error"))
+        .union(back["scalars"].select(F.lit("scalars"), F.col("n").cast("string"), F.lit("")))
+    )
+
+
+STATE_SQL = """
+SELECT CASE o_orderstatus WHEN 'O' THEN 'queue' WHEN 'F' THEN 'uploaded' ELSE 'skipped' END AS kind,
+  o_orderkey::VARCHAR AS url, CASE WHEN o_orderstatus = 'O' THEN o_orderkey::VARCHAR ELSE '' END AS value FROM orders
+UNION ALL SELECT 'errors', o_orderkey::VARCHAR, 'late ' || o_orderkey FROM orders WHERE o_orderstatus = 'F'
+UNION ALL SELECT 'scalars', count(*)::VARCHAR, '' FROM orders"""
+
+
 def stream_merge_log(spark, sf):
     path = scratch_path(spark, "merge")
     seed = table(spark, sf, "events").filter("event_type = 'signup' AND value > 40").select("user_id")
@@ -174,14 +241,18 @@ def stream_pages(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        read_url_list, read_records, stream_dedupe, stream_merge_log, tick_metrics,
-        stream_queue_cursor, stream_pages,
+        read_url_list, read_records, report, upload_log, saved_state, stream_dedupe,
+        stream_dedupe_watermark, stream_merge_log, tick_metrics, stream_queue_cursor, stream_pages,
     )
 }
 SQL = {
     "read_url_list": URL_LIST_SQL,
     "read_records": RECORDS_SQL,
+    "report": RP.REPORT_SQL,
+    "upload_log": LOG_SQL,
+    "saved_state": STATE_SQL,
     "stream_dedupe": "SELECT DISTINCT user_id, event_type FROM events",
+    "stream_dedupe_watermark": "SELECT DISTINCT user_id, event_type FROM events",
     "stream_merge_log": MERGE_SQL,
     "tick_metrics": TICK_SQL,
     "stream_queue_cursor": CURSOR_SQL,
