@@ -262,6 +262,25 @@ SELECT b.doc_id, coalesce(kept, body) AS text_kept, coalesce(removed, 0)::BIGINT
 FROM b LEFT JOIN a ON b.doc_id = a.doc_id"""
 
 
+def drop_repeats_window(spark, sf):
+    """Equal-key rule among the last three kept sentences, so that later repeats stay."""
+    out = O.drop_repeats(_docs(spark, sf), "text", 3, similar=False)
+    return out.select("doc_id", "text_kept", "removed")
+
+
+DROP_WINDOW_SQL = "WITH " + SENT + f""",
+k AS (SELECT doc_id, idx, sentence, {KEY} AS k FROM e),
+f AS (
+  SELECT doc_id, list([k || chr(1) || sentence] ORDER BY idx) AS xs FROM k WHERE k <> '' GROUP BY doc_id),
+a AS (
+  SELECT doc_id, len(xs) AS n, list_reduce(xs, lambda acc, x: CASE WHEN list_contains(
+    list_transform(acc[greatest(len(acc) - 2, 1):len(acc)], lambda y: split_part(y, chr(1), 1)), split_part(x[1], chr(1), 1))
+    THEN acc ELSE list_concat(acc, x) END) AS kept FROM f)
+SELECT b.doc_id, coalesce(array_to_string(list_transform(kept, lambda y: split_part(y, chr(1), 2)), ' '), body) AS text_kept,
+  coalesce(n - len(kept), 0)::BIGINT AS removed
+FROM b LEFT JOIN a ON b.doc_id = a.doc_id"""
+
+
 def drop_repeats_similar(spark, sf):
     out = O.drop_repeats(_docs(spark, sf), "text", 12, similar=True)
     return out.select("doc_id", "text_kept", "removed")
@@ -486,7 +505,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         sentences, cut_noise, strip_links, strip_links_ascii, suffix_title, keywords, hashtags,
-        repeat_pairs, repeat_pairs_similar, drop_repeats, drop_repeats_similar, ensure_lines,
+        repeat_pairs, repeat_pairs_similar, drop_repeats, drop_repeats_window, drop_repeats_similar,
+        ensure_lines,
         word_budget, json_from_text, jsonl_log, classify_errors, retry_decision, tokens,
         compose_description, template_description,
     )
@@ -502,6 +522,7 @@ SQL = {
     "hashtags": HASHTAGS_SQL,
     "repeat_pairs": REPEAT_SQL,
     "drop_repeats": DROP_SQL,
+    "drop_repeats_window": DROP_WINDOW_SQL,
     "ensure_lines": ENSURE_SQL,
     "word_budget": WORD_BUDGET_SQL,
     "json_from_text": JSON_SQL,
