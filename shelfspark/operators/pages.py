@@ -1,12 +1,12 @@
 """Stored pages to tables: links, item ids, fields, media, signals, page edges.
 
-All extraction is narrow (no shuffle). Only link depth and global dedupe
-shuffle, and they move tag tokens and links, never page bodies.
+All extraction is narrow (no shuffle). Only global dedupe and joined outcomes
+shuffle, and they move links and results, never page bodies.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.functions import html as H
@@ -27,20 +27,57 @@ def clean_html(df: DataFrame, html: str = "html", out: str = "clean_text") -> Da
 
 
 # ---- links -----------------------------------------------------------------
-def tag_tokens(pages: DataFrame, links: LinkProfile = LINKS) -> DataFrame:
-    """One row per list, list-item or link tag, in page order.
+def _tags(links: LinkProfile) -> Column:
+    """Array of the page's list, list-item and link tags, in page order.
 
-    A link token carries its attributes and text up to the closing tag.
+    A link carries its attributes and text up to the closing tag; one that is not
+    closed before the next link or list tag is its opening tag alone.
     """
     tags = "|".join(sorted({links.list_tag, links.up_tag}))
-    pattern = rf"(?is)<(?:a\b[^>]*>.*?</a\s*>|/?(?:{tags})\b[^>]*>)"
+    inner = rf"(?:(?!<a\b|</?(?:{tags})\b).)*?"
+    pattern = rf"(?is)<(?:a\b[^>]*>(?:{inner}</a\s*>)?|/?(?:{tags})\b[^>]*>)"
     body = F.col("html")
     if links.nav_pattern:
         body = F.coalesce(first_match(body, [links.nav_pattern], 0), body)
-    return pages.select(
-        "page_id", "url", F.posexplode(extract_all(body, pattern, 0)).alias("pos", "tag")
+    return extract_all(body, pattern, 0)
+
+
+def _open_tags(links: LinkProfile) -> Column:
+    """Array of (pos, link, list_marks, up_marks): every link with the number of marked
+    lists and list items that are open around it.
+
+    One fold over the page's own tags with a stack of marks for each kind: nothing
+    leaves the row but finished links. A closing tag without an opening one is ignored.
+    """
+    flags = "array<boolean>"
+    found = "array<struct<pos:int,link:string,list_marks:int,up_marks:int>>"
+    start = F.struct(
+        F.array().cast(flags).alias("list"), F.array().cast(flags).alias("up"), F.array().cast(found).alias("out")
     )
 
+    def stack(held: Column, name: Column, tag: str, mark: Column) -> Column:
+        return F.when(name == tag, F.concat(F.array(mark), held)).when(
+            name == f"/{tag}", F.slice(held, F.lit(2), F.greatest(F.size(held) - 1, F.lit(0)))
+        ).otherwise(held)
+
+    open_marks = lambda held: F.size(F.filter(held, lambda m: m))
+
+    def step(acc: Column, t: Column) -> Column:
+        kind, tag = t["kind"], t["tag"]
+        link = F.struct(
+            t["pos"].alias("pos"), tag.alias("link"),
+            open_marks(acc["list"]).alias("list_marks"), open_marks(acc["up"]).alias("up_marks"),
+        )
+        return F.struct(
+            stack(acc["list"], kind, links.list_tag, H.attr(tag, "class").contains(links.list_class)).alias("list"),
+            stack(acc["up"], kind, links.up_tag, H.attr(tag, "class").contains(links.up_class)).alias("up"),
+            F.when(kind == "a", F.concat(acc["out"], F.array(link))).otherwise(acc["out"]).alias("out"),
+        )
+
+    kind = lambda t: F.lower(F.regexp_extract(t, r"^<(/?[A-Za-z][A-Za-z0-9]*)", 1))
+    tags = F.transform(_tags(links), lambda t, i: F.struct(i.alias("pos"), kind(t).alias("kind"), t.alias("tag")))
+    return F.aggregate(tags, start, step)["out"]
+
 
 def page_links(
     pages: DataFrame,
@@ -50,28 +87,8 @@ def page_links(
     follow_others: bool = True,
     in_scope_only: bool = True,
 ) -> DataFrame:
-    """Every link of every page with its list depth and up-link flag.
-
-    Depth without a DOM: a running sum of list openings (+1) and closings (-1)
-    over the page's tag tokens. Page ids are unique, so a window holds one page.
-    """
-    tokens = tag_tokens(pages, links)
-    name = F.lower(F.regexp_extract("tag", r"^<(/?[A-Za-z][A-Za-z0-9]*)", 1))
-    open_list = (name == links.list_tag) & H.attr("tag", "class").contains(links.list_class)
-    open_up = (name == links.up_tag) & H.attr("tag", "class").contains(links.up_class)
-    w = Window.partitionBy("page_id").orderBy("pos")
-    marked = tokens.select(
-        "page_id",
-        "url",
-        "pos",
-        F.when(name == "a", F.col("tag")).alias("link"),
-        *_levels(name, open_list, links.list_tag, "list"),
-        *_levels(name, open_up, links.up_tag, "up"),
-    )
-    levels = marked
-    for kind in ("list", "up"):
-        levels = _open_marks(levels, kind, w)
-    found = levels.filter(F.col("link").isNotNull())
+    """Every link of every page with its list depth and up-link flag: a narrow stage."""
+    found = pages.select("page_id", "url", F.inline(_open_tags(links)))
     href = H.attr("link", "href")
     text = collapse_ws(H.unescape(H.strip_markup(F.col("link"))))
     out = (
@@ -101,38 +118,6 @@ def page_links(
     return out
 
 
-def _levels(name: Column, marked: Column, tag: str, kind: str) -> list[Column]:
-    step = F.when(name == tag, 1).when(name == f"/{tag}", -1).otherwise(0)
-    return [step.alias(f"{kind}_step"), marked.alias(f"{kind}_mark")]
-
-
-def _open_marks(df: DataFrame, kind: str, w) -> DataFrame:
-    """Number of marked tags (right class) still open at each token.
-
-    A closing tag down to level L-1 pairs with the last opening at level L; it
-    lowers the count only when that opening was a marked one.
-    """
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    level = F.sum(f"{kind}_step").over(upto)
-    df = df.withColumn("_level", level)
-    # A closing at level L-1 pairs with the last opening at level L.
-    at = F.when(F.col(f"{kind}_step") == -1, F.col("_level") + 1).when(
-        F.col(f"{kind}_step") == 1, F.col("_level")
-    )
-    df = df.withColumn("_at", at)
-    per_level = Window.partitionBy("page_id", "_at").orderBy("pos")
-    opened = F.lag(F.when(F.col(f"{kind}_step") == 1, F.col(f"{kind}_mark"))).over(per_level)
-    change = (
-        F.when((F.col(f"{kind}_step") == 1) & F.col(f"{kind}_mark"), 1)
-        .when((F.col(f"{kind}_step") == -1) & F.coalesce(opened, F.lit(False)), -1)
-        .otherwise(0)
-    )
-    df = df.withColumn("_change", change)
-    return df.withColumn(f"{kind}_marks", F.sum("_change").over(upto)).drop(
-        "_level", "_at", "_change", f"{kind}_step", f"{kind}_mark"
-    )
-
-
 def extract_links(
     pages: DataFrame,
     links: LinkProfile = LINKS,

@@ -416,3 +416,17 @@ def test_keywords(spark):
 
 def test_lrm_and_unicode_blank(spark):
     assert values(spark, ["a‎  b&nbsp;c"], H.clean_text) == ["a b c"]
+
+
+def test_links_of_untidy_lists(spark):
+    """Unclosed anchors do not swallow list tags; closing tags without opening ones count for nothing."""
+    df = pages_of(
+        spark,
+        '</ul></li><ul class="zg-browse"><li class="zg-browse-up"><a href="/gp/bestsellers/a/1">up'
+        '<li><ul class="zg-browse"><li><a href="/gp/bestsellers/b/2"> in </a></li></ul></li></li></ul>'
+        '<ul><li><a href="/gp/bestsellers/c/3">out</a></li></ul>',
+    )
+    got = P.page_links(df, LinkProfile(), UrlProfile(), in_scope_only=False).orderBy("pos").collect()
+    assert [(r.branch_url[-3:], r.branch_name, r.depth, r.is_up_link) for r in got] == [
+        ("a/1", "", 0, True), ("b/2", "in", 1, True), ("c/3", "out", 0, False),
+    ]
