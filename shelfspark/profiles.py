@@ -14,7 +14,7 @@ ITEM_ID = "[A-Za-z0-9]{10}"
 
 @dataclass(frozen=True)
 class UrlProfile:
-    """How one catalog site lays out its URLs."""
+    """How one catalog site lays out its URLs; the defaults are fixed values."""
 
     domain: str = "shop.example"
     item_prefix: str = "https://shop.example/dp/"
@@ -189,11 +189,13 @@ FALLBACK_CLOSE = "ഇത് ഇന്ന് തന്നെ ഓർഡർ ചെ
 
 # ---- fixed values: English stopwords of the keyword rule ------------------
 STOPWORDS = (
-    "a an the and or for to of in on at by with from into your you this that these those "
-    "is are was were be been being it its as about how what why when where who which will "
-    "can could should would may might than then also very more most best new now today "
-    "video short reel review product amazon india buy"
-).split()
+    "a", "an", "the", "and", "or", "for", "to", "of", "in", "on", "at", "by", "with", "from",
+    "into", "your", "you", "this", "that", "these", "those", "is", "are", "was", "were", "be",
+    "been", "being", "it", "its", "as", "about", "how", "what", "why", "when", "where", "who",
+    "which", "will", "can", "could", "should", "would", "may", "might", "than", "then", "also",
+    "very", "more", "most", "best", "new", "now", "today", "video", "short", "reel", "review",
+    "product", "amazon", "india", "buy",
+)
 
 # ---- fixed values: phrase lists -------------------------------------------
 OPENING_PHRASES = (
