@@ -126,3 +126,12 @@ def test_quality_without_labels_or_rows(spark):
     got = quality.score_documents(docs_of(spark, ODD), none, "source", "lang").collect()
     assert len(got) == len(ODD) and {r.text_score for r in got} == {0.5}
     assert quality.score_documents(docs_of(spark, []), none, "source", "lang").count() == 0
+
+
+def test_hash_sample_is_bounded_and_steady(spark):
+    from shelfspark.llm.common import hash_sample
+
+    rows = spark.range(20_000).select((F.col("id") % 3).alias("g"), "id").union(spark.createDataFrame([(7, 1), (7, 2), (None, 3)], "g long, id long"))
+    got = {(r.g, r.id) for r in hash_sample(rows.repartition(7), "g", ["id"], 50).collect()}
+    assert got == {(r.g, r.id) for r in hash_sample(rows.repartition(2), "g", ["id"], 50).collect()}
+    assert [sum(g == k for g, _ in got) for k in (0, 1, 2, 7)] == [50, 50, 50, 2]
