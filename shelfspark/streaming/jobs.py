@@ -2,7 +2,8 @@
 
 Sinks are written tables, never memory. ``foreachBatch`` writers put each
 micro-batch under its own ``batch=<id>`` folder and read only earlier ones, so a
-batch that is run again after a failure replaces its own output.
+batch that is run again after a failure replaces its own output. Keyed state stands
+in buckets, so that a batch works on the buckets of its own keys.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfspark.operators import pages as P
 from shelfspark.operators import queues as Q
@@ -23,29 +25,90 @@ def run_to_table(
     stream: DataFrame, path: str, mode: str = "append",
     batch: Callable[[DataFrame, int], None] | None = None,
 ) -> DataFrame:
-    """Process all available input into ``path`` and read it back.
+    """Process all available input into ``path`` and read it back."""
+    run_stream(stream, path, mode, batch)
+    return stream.sparkSession.read.parquet(path)
+
+
+def run_stream(
+    stream: DataFrame, path: str, mode: str = "append",
+    batch: Callable[[DataFrame, int], None] | None = None,
+) -> None:
+    """Process all available input into ``path``.
 
     The query's own checkpoint lies next to the table, in the shared folder.
     """
-    spark = stream.sparkSession
-    checkpoint_root(spark)
+    checkpoint_root(stream.sparkSession)
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-progress")
     writer = writer.foreachBatch(batch) if batch else writer.format("parquet").option("path", path)
     query = writer.trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(path)
 
 
-def _earlier(spark, path: str, batch_id: int) -> DataFrame | None:
-    """What earlier batches wrote; None only where no folder of a batch exists yet.
+# ---- state in buckets: a batch reads and writes only the buckets of its own keys -------
+BUCKETS = 64
+
+
+def _bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
+def _folders(spark, path: str) -> list[tuple[int, int, str]]:
+    """(batch, bucket, folder) of everything written under ``path``; names only are read.
+
+    Trouble with the folder (access, a broken name) fails the batch.
+    """
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(top):
+        return []
+    found = []
+    for batch in files.listStatus(top):
+        if batch.getPath().getName().startswith("batch="):
+            for held in files.listStatus(batch.getPath()):
+                name = held.getPath().getName()
+                if name.startswith("bucket="):
+                    number = int(batch.getPath().getName().removeprefix("batch="))
+                    found.append((number, int(name.removeprefix("bucket=")), held.getPath().toString()))
+    return found
+
+
+def _read(spark, path: str, folders: list[str], schema: T.StructType) -> DataFrame:
+    """Rows of the named bucket folders, with batch and bucket."""
+    full = T.StructType([*schema.fields, T.StructField("batch", T.IntegerType()), T.StructField("bucket", T.IntegerType())])
+    if not folders:
+        return spark.createDataFrame([], full)
+    return spark.read.schema(full).option("basePath", path).parquet(*folders)
+
+
+def _touched(df: DataFrame) -> list[int]:
+    return [r[0] for r in df.select("bucket").distinct().collect()]  # at most BUCKETS numbers
+
+
+def _write(df: DataFrame, path: str, batch_id: int) -> None:
+    df.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch_id}")
+
 
-    Any other trouble (access, schema, a broken file) fails the batch.
+def _newest(folders: list[tuple[int, int, str]], before: int | None = None) -> dict[int, tuple[int, str]]:
+    """bucket -> (batch, folder) of its newest version (earlier than ``before``)."""
+    out: dict[int, tuple[int, str]] = {}
+    for batch, bucket, folder in sorted(folders):
+        if before is None or batch < before:
+            out[bucket] = (batch, folder)
+    return out
+
+
+def _drop_superseded(spark, path: str, batch_id: int, touched: list[int]) -> None:
+    """Versions of the touched buckets older than the one that batch ``batch_id`` read.
+
+    That one stays, so the batch can run again.
     """
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(folder) or not any(s.getPath().getName().startswith("batch=") for s in files.listStatus(folder)):
-        return None
-    return spark.read.parquet(path).filter(F.col("batch") < batch_id)
+    folders = _folders(spark, path)
+    kept = _newest(folders, batch_id)
+    for batch, bucket, folder in folders:
+        if bucket in touched and bucket in kept and batch < kept[bucket][0]:
+            old = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
 
 # ---- dedupe ----------------------------------------------------------------------
@@ -65,22 +128,25 @@ def stream_dedupe(stream: DataFrame, keys: list[str], ts: str | None = None,
 def stream_merge_log(log: DataFrame, path: str, key: str = "url") -> DataFrame:
     """Keys of a log stream merged into the state table at ``path`` (column ``key``).
 
-    Only keys the state lacks are added; a state to start from is put there
-    with ``seed_state``.
+    Only keys the state lacks are added; a state to start from is put there with
+    ``seed_state``. Keys stand in buckets by hash: a batch reads the buckets of its own
+    keys, and adds files to those only.
     """
+    spark, schema = log.sparkSession, T.StructType([log.schema[key]])
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        new = batch.select(key).filter(F.length(F.col(key).cast("string")) > 0).distinct()
-        old = _earlier(batch.sparkSession, path, batch_id)
-        if old is not None:
-            new = new.join(old.select(key), key, "left_anti")
-        new.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        new = batch.select(key, _bucket(key)).filter(F.length(F.col(key).cast("string")) > 0).distinct()
+        wanted = set(_touched(new))
+        earlier = [f for n, b, f in _folders(batch.sparkSession, path) if n < batch_id and b in wanted]
+        old = _read(batch.sparkSession, path, earlier, schema).select(key)
+        _write(new.join(old, key, "left_anti"), path, batch_id)
 
-    return run_to_table(log, path, "append", merge)
+    run_stream(log, path, "append", merge)
+    return _read(spark, path, [f for _, _, f in _folders(spark, path)], schema).drop("bucket")
 
 
 def seed_state(state: DataFrame, path: str, key: str = "url") -> None:
-    state.select(key).distinct().write.mode("overwrite").parquet(f"{path}/batch=-1")
+    _write(state.select(key, _bucket(key)).distinct(), path, -1)
 
 
 # ---- ticks ------------------------------------------------------------------------------
@@ -141,18 +207,21 @@ def stream_queue_cursor(
     updates: DataFrame, path: str, key: str, order: list[str], chunk: Column | None,
     took: Column, failed: Column,
 ) -> DataFrame:
-    """Cursor per branch, brought forward batch by batch; the newest batch is the state."""
+    """Cursor per branch, brought forward batch by batch.
+
+    Branches stand in buckets by hash. A batch reads the newest version of the buckets of
+    its own branches, writes a new one, and drops those before the one it read.
+    """
+    spark = updates.sparkSession
+    counts = [T.StructField(c, T.LongType()) for c in ("taken", "failures", "cursor")]
+    schema = T.StructType([updates.schema[key], *counts])
 
     def advance(batch: DataFrame, batch_id: int) -> None:
+        here = batch.sparkSession
         steps = Q.cursor_steps(batch, key, order, chunk, took, failed)
-        old = _earlier(batch.sparkSession, path, batch_id)
-        if old is None:
-            old = steps.limit(0).select(
-                key, *[F.lit(0).cast("bigint").alias(c) for c in ("taken", "failures", "cursor")]
-            )
-        else:
-            last = old.agg(F.max("batch")).first()[0]  # one number, from folder names
-            old = old.filter(F.col("batch") == F.lit(last)).drop("batch")
+        touched = _touched(batch.select(_bucket(key)))
+        newest = _newest(_folders(here, path), batch_id)
+        old = _read(here, path, [newest[b][1] for b in touched if b in newest], schema).drop("batch", "bucket")
         old = old.withColumnsRenamed({"taken": "_t", "failures": "_f"})
         zero = lambda c: F.coalesce(F.col(c), F.lit(0))
         state = old.join(steps, key, "full").select(
@@ -163,11 +232,12 @@ def stream_queue_cursor(
             .cast("bigint")
             .alias("cursor"),
         )
-        state.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        _write(state.select("*", _bucket(key)), path, batch_id)
+        _drop_superseded(here, path, batch_id, touched)
 
-    written = run_to_table(updates, path, "append", advance)
-    newest = written.agg(F.max("batch")).first()[0]
-    return written.filter(F.col("batch") == F.lit(newest)).drop("batch")
+    run_stream(updates, path, "append", advance)
+    newest = _newest(_folders(spark, path))
+    return _read(spark, path, [f for _, f in newest.values()], schema).drop("batch", "bucket")
 
 
 # ---- pages --------------------------------------------------------------------------------

@@ -155,11 +155,27 @@ def test_page_stream_equals_batch(spark, tmp_path):
 
 
 def test_a_broken_state_folder_fails_the_batch(spark, tmp_path):
-    from shelfspark.streaming import jobs
-
     path = tmp_path / "state"
-    assert jobs._earlier(spark, str(path), 1) is None
-    (path / "batch=0").mkdir(parents=True)
-    (path / "batch=0" / "part-0.parquet").write_bytes(b"not parquet")
-    with pytest.raises(Exception, match="(?i)parquet|schema|footer"):
-        jobs._earlier(spark, str(path), 1).count()
+    assert J._folders(spark, str(path)) == []
+    (path / "batch=0" / "bucket=3").mkdir(parents=True)
+    (path / "batch=0" / "bucket=3" / "part-0.parquet").write_bytes(b"not parquet")
+    (folder,) = J._folders(spark, str(path))
+    schema = spark.createDataFrame([], "k string").schema
+    with pytest.raises(Exception, match="(?i)parquet|footer"):
+        J._read(spark, str(path), [folder[2]], schema).count()
+
+
+def test_a_batch_touches_the_buckets_of_its_keys_only(spark, tmp_path):
+    took, failed = F.col("kind") == "take", F.col("kind") == "fail"
+    for b, keys in enumerate((["a", "b", "c", "d"], ["a"], ["a"], ["a", "e"])):
+        rows = spark.createDataFrame([(f"{b}-{k}", k, "take", b) for k in keys], "id string, k string, kind string, n int")
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id string, k string, kind string, n int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    path = str(tmp_path / "o")
+    got = J.stream_queue_cursor(stream, path, "k", ["n", "id"], F.lit(0).cast("bigint"), took, failed)
+    assert {(r.k, r.taken, r.cursor) for r in got.collect()} == {("a", 4, 4), ("b", 1, 1), ("c", 1, 1), ("d", 1, 1), ("e", 1, 1)}
+    of_a = spark.createDataFrame([("a",)], "k string").select(J._bucket("k")).first()[0]
+    versions = [n for n, b, _ in J._folders(spark, path) if b == of_a]
+    assert len(versions) == 2  # the last one and the one it was made from
+    again = J._newest(J._folders(spark, path), 3)
+    assert of_a in again
