@@ -126,16 +126,12 @@ def lookup_slug(
 ) -> DataFrame:
     """Slug of a section name: dimension hit, slug-like value, or a guess.
 
-    The built-in dimension has a few dozen rows and is broadcast; a caller's
-    table is joined without a hint.
+    The dimension is joined without a hint: its size decides how.
     """
     if dim is None:
         dim = SECTION_SLUGS
     if isinstance(dim, dict):
-        rows = list(dim.items())
-        table = df.sparkSession.createDataFrame(rows, "_name string, _slug string")
-        if len(rows) <= 10_000:
-            table = F.broadcast(table)
+        table = df.sparkSession.createDataFrame(list(dim.items()), "_name string, _slug string")
     else:
         table = dim.select(F.col("name").alias("_name"), F.col("slug").alias("_slug"))
     wanted = F.lower(collapse_ws(name))
