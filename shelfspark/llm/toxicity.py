@@ -1,9 +1,10 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are byte 5-grams of the folded text that stay within one word and its borders. A chi-square test on a bounded sample of
-labelled rows picks those that tell the classes apart by a factor; their document frequencies are
+labelled rows picks those that tell the classes apart, all of them; their document frequencies are
 counted over all documents. The examples (bounded, from the same sample) stand in blocks
-of 64 with the largest weight of each term per block. A text's bound on a block is the sum
+of 64; the index holds for each term the blocks it occurs in, with the largest weight there and
+the postings (example, weight). A text's bound on a block is the sum
 of its weights times these maxima; blocks are scored from the best bound down until no
 bound reaches the k-th similarity, so the neighbours are exact. Their votes, weighted by
 similarity and corrected for how many of each class were sampled, are calibrated on the
@@ -21,12 +22,9 @@ from shelfspark.llm import common as C
 from shelfspark.llm.language_id import _chunks, _grams
 
 GRAM = 5
-TERMS = 512
 BLOCK = 64
 #: Chi-square with one degree of freedom: a chance of about 1e-7.
 LEAST_CHI = 28.0
-#: A term is that many times commoner in one class than in the other.
-LEAST_RATIO = 4.0
 
 
 def _inside(raw: np.ndarray, at: np.ndarray, place: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -101,8 +99,21 @@ def _vectors(model):
     return rows
 
 
+def _document_counts(width: int):
+    """(term, texts) of all rows of a task, at most one row a term."""
+
+    def rows(batches):
+        n = np.zeros(width, dtype=np.int64)
+        for batch in batches:
+            n += np.bincount(batch.column("terms").flatten().to_numpy(), minlength=width)
+        term = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(term.astype(np.int32)), pa.array(n[term])], names=["t", "n"])
+
+    return rows
+
+
 class Index:
-    """Examples as unit vectors, in blocks with term maxima."""
+    """Examples as unit vectors in posting lists, cut in blocks with their largest weights."""
 
     def __init__(self, terms: int, idf: np.ndarray, examples: list[tuple[int, int, list[int], list[int]]], weights: tuple[float, float], prior: float, empty: float, k: int):
         self.idf, self.prior, self.empty, self.k = idf, prior, empty, k
@@ -110,32 +121,62 @@ class Index:
         self.ids = np.array([e[0] for e in examples], dtype=np.int64)
         self.labels = np.array([e[1] for e in examples], dtype=np.float64)
         self.weights = np.where(self.labels > 0, weights[1], weights[0])
-        n = -(-max(1, len(examples)) // BLOCK) * BLOCK
-        self.vectors = np.zeros((n, max(1, terms)))
-        for i, (_, _, own, times) in enumerate(examples):
-            self.vectors[i, own] = self.unit(np.array(own), np.array(times))
-        self.blocks = self.vectors.reshape(-1, BLOCK, max(1, terms))
-        self.most = np.ascontiguousarray(self.blocks.max(axis=1).T)  # (terms, blocks)
+        self.width = max(1, terms)
+        own = [np.array(e[2], dtype=np.int64) for e in examples]
+        #: Terms and weights of each example, for its own vote.
+        self.rows = [(t, self.unit(t, np.array(e[3]))) for t, e in zip(own, examples, strict=True)]
+        term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in self.rows)])
+        weight = np.concatenate([np.zeros(0), *(w for _, w in self.rows)])
+        place = np.repeat(np.arange(len(own)), [len(t) for t in own])
+        order = np.lexsort((place, term))
+        term, self.post_place, self.post_weight = term[order], place[order], weight[order]
+        block = self.post_place // BLOCK
+        new = np.ones(len(term), dtype=bool)
+        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        first = np.flatnonzero(new)
+        #: An entry is a term in a block: its postings are those from post_at[e] to post_at[e + 1].
+        self.post_at = np.append(first, len(term))
+        self.entry_block = block[first]
+        self.entry_most = np.maximum.reduceat(self.post_weight, first) if len(first) else np.zeros(0)
+        self.entry_at = np.searchsorted(term[first], np.arange(self.width + 1))
         self.slope, self.shift = 1.0, 0.0
         self._calibrate()
 
+    @property
+    def vectors(self) -> np.ndarray:
+        """The examples as one dense matrix, for small indexes."""
+        out = np.zeros((len(self.rows), self.width))
+        for i, (terms, weights) in enumerate(self.rows):
+            out[i, terms] = weights
+        return out
+
     def unit(self, terms: np.ndarray, times: np.ndarray) -> np.ndarray:
         w = (1 + np.log(times)) * self.idf[terms]
         return w / max(np.sqrt((w * w).sum()), 1e-12)
 
     def neighbours(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and similarities of the ``k`` nearest examples (above 0; ties: the smaller id)."""
-        bound = weights @ self.most[terms]
-        order = np.argsort(-bound, kind="stable")
+        n = self.entry_at[terms + 1] - self.entry_at[terms]
+        entry, share = C.ragged(self.entry_at[terms], n), np.repeat(weights, n)
+        order = np.argsort(self.entry_block[entry], kind="stable")
+        entry, share = entry[order], share[order]
+        block = self.entry_block[entry]
+        begin = np.flatnonzero(np.diff(block, prepend=-1))
+        end = np.append(begin[1:], len(block))
+        bound = np.add.reduceat(share * self.entry_most[entry], begin) if len(begin) else np.zeros(0)
         places, sims = np.zeros(0, np.int64), np.zeros(0)
-        for j in order.tolist():
+        for j in np.argsort(-bound, kind="stable").tolist():
             # A hair of slack, so that rounding of the bound cannot hide an equal similarity.
-            if bound[j] <= 0 or (len(sims) == k and bound[j] < sims[-1] - 1e-12):
+            if len(sims) == k and bound[j] < sims[-1] - 1e-12:
                 break
-            sim = self.blocks[j][:, terms] @ weights
-            own = np.flatnonzero(sim > 0)
-            places = np.concatenate([places, own + j * BLOCK])
-            sims = np.concatenate([sims, sim[own]])
+            own = entry[begin[j] : end[j]]
+            count = self.post_at[own + 1] - self.post_at[own]
+            post = C.ragged(self.post_at[own], count)
+            low = block[begin[j]] * BLOCK
+            sim = np.bincount(self.post_place[post] - low, self.post_weight[post] * np.repeat(share[begin[j] : end[j]], count), BLOCK)
+            hit = np.flatnonzero(sim > 0)
+            places = np.concatenate([places, hit + low])
+            sims = np.concatenate([sims, sim[hit]])
             best = np.lexsort((places, -sims))[:k]
             places, sims = places[best], sims[best]
         return places, sims
@@ -159,8 +200,7 @@ class Index:
             return
         votes = []
         for i in range(len(self.ids)):
-            terms = np.flatnonzero(self.vectors[i])
-            places, sims = self.neighbours(terms, self.vectors[i, terms], self.k + 1)
+            places, sims = self.neighbours(*self.rows[i], self.k + 1)
             other = places != i
             votes.append(self.vote(places[other][: self.k], sims[other][: self.k]))
         x = np.stack([_logit(np.array(votes)), np.ones(len(votes))], axis=1)
@@ -235,17 +275,16 @@ def _rows_scored(docs: DataFrame, labels: DataFrame, folds: int, per_class: int,
     # N (ad - bc)^2 / (product of the margins), from counts of texts.
     apart = F.col("bad") * n_all - F.col("n") * n_bad
     chi = apart * apart * n_all / (F.col("n") * (n_all - F.col("n") + 1e-9) * float(max(1, n_bad)) * max(1, n_all - n_bad))
-    # How much commoner among toxic texts; the same whatever share of either class was sampled.
-    ratio = (F.col("bad") + 0.5) * (n_all - n_bad + 1) / ((F.col("n") - F.col("bad") + 0.5) * (n_bad + 1))
     least = max(3, int(n_all) // 2000)
-    best = counts.where(F.col("n") >= least).select("gram", chi.alias("chi"), ratio.alias("ratio"))
-    grams = np.array([r[0] for r in best.where((F.col("chi") >= LEAST_CHI) & ((F.col("ratio") >= LEAST_RATIO) | (F.col("ratio") <= 1 / LEAST_RATIO))).orderBy(F.desc("chi"), "gram").limit(TERMS).collect()], dtype=np.int64)
+    best = counts.where(F.col("n") >= least).select("gram", chi.alias("chi"))
+    # As many as differ in a sample of 2 x per_class texts, whatever the table's size.
+    grams = np.array([r[0] for r in best.where(F.col("chi") >= LEAST_CHI).orderBy("gram").collect()], dtype=np.int64)
     terms = Terms(grams.view(np.uint64))
     kinds = "did long, rk int, doc_id long, held_out boolean, terms array<int>, times array<int>"
     vectors = C.stage(base.mapInArrow(_vectors(share(terms)), kinds), "vectors")
     total = vectors.count()
     df = np.zeros(max(1, len(grams)))
-    for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # at most TERMS rows
+    for r in vectors.select("terms").mapInArrow(_document_counts(len(df)), "t int, n long").groupBy("t").agg(F.sum("n")).collect():  # one row a term
         df[r[0]] = r[1]
     labelled = C.stage(vectors.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "did", "rk", "terms", "times"), "labelled")
     seen = {(r[0], r[1]): r[2] for r in labelled.groupBy("toxic", F.size("terms") == 0).count().collect()}
@@ -261,7 +300,7 @@ def _rows_scored(docs: DataFrame, labels: DataFrame, folds: int, per_class: int,
     weights = tuple(full[y] / max(1, picked[y]) / max(1e-9, max(full.values())) * max(1, max(picked.values())) for y in (0, 1))
     prior = (full[1] + 0.5) / (full[0] + full[1] + 1)
     empty = (bare[1] + 0.5) / (bare[0] + bare[1] + 2)
-    index = Index(len(grams), np.log((total + 1) / (df + 1)) + 1, held, weights, prior, min(empty, 0.49), k)
+    index = Index(len(grams), np.log((total + 1) / (df + 1)) + 1, held, weights, prior, empty, k)
     return vectors.mapInArrow(
         _score(share(index)), "did long, rk int, doc_id long, held_out boolean, score double, predicted int, nearest array<long>, similarity array<double>"
     )
@@ -274,7 +313,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 5, per_clas
     ``per_class`` labelled texts of each class (lowest hash) for the choice of terms and
     ``examples`` of each as neighbours. A doc_id labelled twice is toxic if any label says
     so; labels that are null or neither 0 nor 1 teach nothing. Texts without any chosen
-    term, null and empty ones too, get the rate of such texts in the sample, under 0.5.
+    term, null and empty ones too, get the rate of toxic ones among such labelled texts.
     Rows without doc_id count as held out; repeated rows are scored each; other columns are
     ignored.
     """

@@ -135,3 +135,27 @@ def test_hash_sample_is_bounded_and_steady(spark):
     got = {(r.g, r.id) for r in hash_sample(rows.repartition(7), "g", ["id"], 50).collect()}
     assert got == {(r.g, r.id) for r in hash_sample(rows.repartition(2), "g", ["id"], 50).collect()}
     assert [sum(g == k for g, _ in got) for k in (0, 1, 2, 7)] == [50, 50, 50, 2]
+
+
+def test_toxicity_keeps_all_terms_that_tell_and_judges_texts_without_any(spark):
+    # Toxic texts share no word, so no term is chosen: their labels still say what such texts are.
+    rows = [(i, f"q{i * 7919:09d}x", "en", "s") for i in range(400)]
+    told = spark.createDataFrame([(i, int(i % 10 != 0)) for i in range(300)], "doc_id long, toxic int")
+    got = toxicity.score_documents(docs_of(spark, rows), told).where("size(nearest) = 0").collect()
+    assert got and all(x.predicted == 1 and 0.8 < x.score < 1 for x in got)
+    # Over 512 grams tell the classes apart; a text with words of the rarer ones alone still has neighbours.
+    r = random.Random(5)
+    evil = ["".join(r.choice("abcdefghijklmnop") for _ in range(12)) for _ in range(120)]
+    rows = [(i, worded(r, 20, r.sample(evil, 25) if i % 2 else ()), "en", "s") for i in range(600)] + [(1000 + i, w, "en", "s") for i, w in enumerate(evil)]
+    told = spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id long, toxic int")
+    got = [x for x in toxicity.score_documents(docs_of(spark, rows), told).collect() if x.doc_id >= 1000]
+    assert len(got) == 120 and all(x.predicted == 1 and x.nearest for x in got)
+
+
+def test_toxicity_posting_lists_have_the_blocks_of_each_term():
+    made = [(i, i % 2, [0, 1 + i // 64], [1, 1]) for i in range(200)]
+    index = toxicity.Index(9, np.ones(9), made, (1.0, 1.0), 0.3, 0.1, 5)
+    assert index.entry_block[index.entry_at[0] : index.entry_at[1]].tolist() == [0, 1, 2, 3]
+    assert index.entry_block[index.entry_at[2] : index.entry_at[3]].tolist() == [1]
+    places, _ = index.neighbours(np.array([2]), np.array([1.0]), 5)
+    assert places.tolist() == [64, 65, 66, 67, 68]
