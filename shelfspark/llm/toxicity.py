@@ -165,17 +165,21 @@ class Index:
         end = np.append(begin[1:], len(block))
         bound = np.add.reduceat(share * self.entry_most[entry], begin) if len(begin) else np.zeros(0)
         places, sims = np.zeros(0, np.int64), np.zeros(0)
-        for j in np.argsort(-bound, kind="stable").tolist():
+        rank, at, wave = np.argsort(-bound, kind="stable"), 0, 2
+        while at < len(rank):
+            blocks = rank[at : at + wave]
             # A hair of slack, so that rounding of the bound cannot hide an equal similarity.
-            if len(sims) == k and bound[j] < sims[-1] - 1e-12:
+            if len(sims) == k:
+                blocks = blocks[bound[blocks] >= sims[-1] - 1e-12]
+            if not len(blocks):
                 break
-            own = entry[begin[j] : end[j]]
-            count = self.post_at[own + 1] - self.post_at[own]
-            post = C.ragged(self.post_at[own], count)
-            low = block[begin[j]] * BLOCK
-            sim = np.bincount(self.post_place[post] - low, self.post_weight[post] * np.repeat(share[begin[j] : end[j]], count), BLOCK)
+            at, wave = at + len(blocks), 2 * wave
+            own = C.ragged(begin[blocks], end[blocks] - begin[blocks])
+            count = self.post_at[entry[own] + 1] - self.post_at[entry[own]]
+            post = C.ragged(self.post_at[entry[own]], count)
+            sim = np.bincount(self.post_place[post], self.post_weight[post] * np.repeat(share[own], count), len(self.ids))
             hit = np.flatnonzero(sim > 0)
-            places = np.concatenate([places, hit + low])
+            places = np.concatenate([places, hit])
             sims = np.concatenate([sims, sim[hit]])
             best = np.lexsort((places, -sims))[:k]
             places, sims = places[best], sims[best]
