@@ -20,6 +20,9 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+#: Bytes of terms (letters and digits of ASCII, and all others than ASCII) with A-Z lower-cased; the rest is white space.
+TERMS = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256)], dtype=np.uint8)
+
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back: cuts the lineage."""
