@@ -14,8 +14,9 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     Alternates two star steps: each node is linked to the smallest of its neighbours and
     itself, first from its larger neighbours, then from its smaller ones. Depth falls
     by a factor each time, so the number of rounds follows the logarithm of the longest
-    chain. Minima are summed before the shuffle; a hub with a third of all links is a
-    plain join key. Each round is a written table.
+    chain. Each round is a written table, and so are the minima of the larger step: the hub
+    of a settled star has all its links under one key, and Spark splits a skewed join only
+    where both sides are plain shuffles.
     """
     edges = stage(
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links"
@@ -24,7 +25,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         # Large star: larger neighbours of u (and u's smaller ones through the other direction) go to u's minimum.
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: smaller neighbours of u, and u itself, go to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
