@@ -327,7 +327,8 @@ def search(index: Index, items: DataFrame, k: int = 10, first: int = FIRST, grou
     questions = C.stage(weights.groupBy(block).agg(F.collect_list(F.struct("item_id", "term", "w")).alias("asked")), "questions")
 
     def visit(visits: DataFrame) -> DataFrame:
-        callers = visits.groupBy("m", block).agg(F.collect_list(F.struct("item_id", "bar")).alias("bars"))
+        # As a written table its size is known: while it is small, the index stays where it is.
+        callers = C.stage(visits.groupBy("m", block).agg(F.collect_list(F.struct("item_id", "bar")).alias("bars")), "callers")
         met = index.cells.join(callers, "m").join(questions, "block")
         return met.mapInArrow(_score(k), "item_id long, doc_id long, score long")
 
