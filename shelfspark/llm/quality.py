@@ -4,8 +4,10 @@ A logistic classifier over text measures gives each document its own evidence. H
 their paths gather the evidence of their documents by grouped sums (a known label counts as
 itself); a host's posterior is shrunk to the global mean and a path's to its host's, each
 with a strength taken from the spread between groups, so sparse sites lean on their
-parents. A document does not speak for itself: its own evidence is taken out of its path's
-posterior. A second fit weighs text against site.
+parents. A document does not speak for itself, at either level: documents fall into
+``PARTS`` parts by hash, and a document's posteriors are those of the other parts. (Taking
+out the document alone would still tell its label: what is left of its site's sum would be
+lower for a good document than for a bad one.) A second fit weighs text against site.
 """
 
 from __future__ import annotations
@@ -23,6 +25,9 @@ MEASURES = (
     "bias", "log_words", "word_length", "distinct", "top_word", "repeated_lines", "upper", "digits", "stops", "marks", "bars", "high", "line_length", "long_words",
 )
 
+#: Parts of the documents, each judged by the sites' sums of the others.
+PARTS = 5
+
 #: Marks that running text uses little.
 _MARKS = list(b"!#$%&*+<=>?@^_`~")
 
@@ -105,7 +110,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, host: str, path: str, fo
     ``host`` and ``path`` name the columns of ``docs`` that tell the site and its part; null
     is a site (or part) of its own. Learns from labels whose crc32(doc_id) modulo ``folds``
     is not 0: the two fits from at most ``per_class`` labelled rows of each class (lowest
-    hash), the site sums from all rows. A doc_id labelled twice is good only if every label
+    hash), the site sums from all rows but those of the row's own part. A doc_id labelled twice is good only if every label
     says so; other labels than 0 and 1 teach nothing. Without labels of both classes the
     text score is 0.5. Null and empty texts are scored by their measures like others; rows
     without doc_id count as held out; repeated rows are scored each; other columns are
@@ -131,26 +136,32 @@ def score_documents(docs: DataFrame, labels: DataFrame, host: str, path: str, fo
     site = [F.coalesce("host", F.lit("")).alias("h"), F.col("host").isNull().alias("hn"), F.coalesce("path", F.lit("")).alias("p"), F.col("path").isNull().alias("pn")]
     at_host, at_path = ["h", "hn"], ["h", "hn", "p", "pn"]
     p = 1 / (1 + F.exp(-odds))
-    spoken = told.select("doc_id", "held_out", "host", "path", *site, odds.alias("odds"), p.alias("text_score"), "y")
+    part = F.coalesce(F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit("/part"))) % PARTS, F.lit(0)).cast("int").alias("part")
+    spoken = told.select("doc_id", "held_out", "host", "path", *site, part, odds.alias("odds"), p.alias("text_score"), "y")
     spoken = C.stage(spoken.withColumn("e", F.coalesce(F.col("y").cast("double"), "text_score")), "spoken")
 
-    def sums(df: DataFrame, by: list[str]) -> DataFrame:
-        return df.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("e").alias("s"), F.sum(F.col("e") * F.col("e")).alias("q"))
+    cells = C.stage(spoken.groupBy(*at_path, "part").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("e").alias("s"), F.sum(F.col("e") * F.col("e")).alias("q")), "cells")
+
+    def sums(*by: str) -> DataFrame:
+        return cells.groupBy(*by).agg(*(F.sum(c).alias(c) for c in "nsq"))
 
-    paths = C.stage(sums(spoken, at_path), "paths")
-    hosts = paths.groupBy(*at_host).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    paths, hosts = sums(*at_path), sums(*at_host)
     total = hosts.agg(F.sum("n"), F.sum("s")).first()
     mean = float(total[1] / total[0]) if total[0] else 0.5
     k_host = _strength(hosts.withColumn("m", F.lit(mean)))
-    hosts = C.stage(
-        hosts.select(*at_host, F.col("n").alias("hn_"), F.col("s").alias("hs_"), ((F.col("s") + k_host * mean) / (F.col("n") + k_host)).alias("host_posterior")), "hosts"
+    whole = hosts.select(*at_host, F.col("n").alias("host_n"), F.col("s").alias("host_s"))
+    k_path = _strength(paths.join(whole, at_host).withColumn("m", F.col("host_s") / F.col("host_n")))
+    own_host = sums(*at_host, "part").join(whole, at_host).select(
+        *at_host, "part", ((F.col("host_s") - F.col("s") + k_host * mean) / (F.col("host_n") - F.col("n") + k_host)).alias("host_posterior")
+    )
+    all_path = paths.select(*at_path, F.col("n").alias("path_n"), F.col("s").alias("path_s"))
+    sites = cells.join(all_path, at_path).join(own_host, [*at_host, "part"]).select(
+        *at_path, "part", "host_posterior",
+        ((F.col("path_s") - F.col("s") + k_path * F.col("host_posterior")) / (F.col("path_n") - F.col("n") + k_path)).alias("path_posterior"),
     )
-    k_path = _strength(paths.join(hosts, at_host).withColumn("m", F.col("hs_") / F.col("hn_")))
-    sites = C.stage(paths.join(hosts, at_host).select(*at_path, "n", "s", "host_posterior"), "sites")
     # Both sides of this join are plain shuffles, so Spark splits a site with a third of all rows.
-    joined = spoken.join(sites, at_path).select(
-        "doc_id", "held_out", "host", "path", "odds", "text_score", "y", "host_posterior",
-        ((F.col("s") - F.col("e") + k_path * F.col("host_posterior")) / (F.col("n") - 1 + k_path)).alias("path_posterior"),
+    joined = spoken.join(C.stage(sites, "sites"), [*at_path, "part"]).select(
+        "doc_id", "held_out", "host", "path", "odds", "text_score", "y", "host_posterior", "path_posterior"
     )
     lift = (_odds(F.col("path_posterior")) - float(np.log(np.clip(mean, 1e-4, 1 - 1e-4) / (1 - np.clip(mean, 1e-4, 1 - 1e-4))))).alias("lift")
     joined = C.stage(joined.select("*", lift), "joined")

@@ -45,6 +45,48 @@ def test_language_edge_cases(spark):
     assert language_id.identify(docs_of(spark, [])).count() == 0
 
 
+def plain_languages(train, texts, grams=30_000):
+    """(language, share) by exact sets of the kept n-grams instead of filters."""
+    seen = {}
+    for text, lang in train:
+        for n in (3, 5):
+            raw = language_id._folded(text)
+            for i in range(len(raw) - n + 1):
+                own = seen.setdefault((lang, n), {})
+                own[raw[i : i + n]] = own.get(raw[i : i + n], 0) + 1
+    share = {(lang, n): {g: t / sum(own.values()) for g, t in own.items() if t > 1} for (lang, n), own in seen.items()}
+    known = {}
+    for (lang, n), own in share.items():
+        most = {g: max(share[x][g] for x in share if x[1] == n and g in share[x]) for g in own}
+        known.setdefault(lang, set()).update(g for g, s in own.items() if s >= 0.2 * most[g])
+    out = []
+    for text in texts:
+        raw = language_id._folded(text)
+        found = [(lang, sum(raw[i : i + n] in known[lang] for n in (3, 5) for i in range(len(raw) - n + 1))) for lang in sorted(known)]
+        lang, most = max(found, key=lambda x: x[1])
+        out.append((lang, most / max(1, sum(c for _, c in found))))
+    return out
+
+
+def test_languages_match_exact_sets(spark):
+    """Every prediction, texts of mixed languages and texts alike in two languages (tie: first by name) too."""
+    r = random.Random(6)
+    pools = {x: ["".join(r.choice(letters) for _ in range(r.randrange(2, 9))) for _ in range(150)] for x, letters in
+             {"aa": "abcdefgh", "bb": "efghijkl", "cc": "äöüabc", "dd": "mnopqr"}.items()}
+    line = lambda *langs: " ".join(r.choice(pools[r.choice(langs)]) for _ in range(r.randrange(3, 60)))
+    rows = [(i, line(x), x, "s") for i, x in enumerate(r.choice(sorted(pools)) for _ in range(400))]
+    rows += [(500 + i, rows[i][1], "ee", "s") for i in range(0, 400) if rows[i][2] == "dd"]
+    rows += [(1000 + i, line(*r.sample(sorted(pools), 2)), None, "s") for i in range(200)]
+    got = {x.doc_id: x for x in language_id.identify(docs_of(spark, rows)).collect()}
+    want = plain_languages([(t, x) for i, t, x, _ in rows if x and fold(i, 3) != 1], [t for _, t, _, _ in rows])
+    near = 0
+    for (i, *_), (lang, share) in zip(rows, want, strict=True):
+        assert abs(got[i].score - share) < 0.01
+        near += got[i].lang_pred != lang
+    # Only where two languages are level up to the filter's rate of false positives.
+    assert near <= 4
+
+
 def test_filter_returns_all_languages_of_a_gram():
     grams = {x: np.arange(i, 4000 + i, dtype=np.uint64) for i, x in enumerate(f"l{n:02d}" for n in range(70))}
     held = language_id.Filter(sorted(grams), grams)
@@ -121,6 +163,56 @@ def test_sparse_sites_lean_on_their_parents(spark):
     assert all(0 <= x.score <= 1 for x in got.values())
 
 
+def test_a_label_does_not_reach_its_own_score(spark):
+    """Hosts of one document each, the same text everywhere, labels that alternate: nothing can be told."""
+    rows = [(i, "the same words everywhere", "en", f"host{i}") for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    got = quality.score_documents(docs_of(spark, rows), labels, "source", "lang").collect()
+    assert max(x.score for x in got) - min(x.score for x in got) < 1e-6
+    # One host for all, where leaving out the row alone would tell its label.
+    got = quality.score_documents(docs_of(spark, [(i, t, x, "host") for i, t, x, _ in rows]), labels, "source", "lang").collect()
+    by_label = [np.mean([x.score for x in got if not x.held_out and x.doc_id % 2 == y]) for y in (0, 1)]
+    assert abs(by_label[1] - by_label[0]) < 0.05
+
+
+def test_quality_posteriors_match_sums_by_hand(spark):
+    r = random.Random(12)
+    rows = []
+    for i in range(600):
+        host, path = f"h{int(r.random() ** 3 * 30)}", r.choice(["en", "de", None])
+        good = r.random() < (0.9 if host < "h2" else 0.3)
+        rows.append((i, worded(r, 30) if good else "!! $$ " * 10 + worded(r, 3), path, host if i % 50 else None))
+    labels = {i: int(rows[i][1][0] != "!") for i in range(0, 600, 2)}
+    made = spark.createDataFrame(sorted(labels.items()), "doc_id long, quality int")
+    got = quality.score_documents(docs_of(spark, rows), made, "source", "lang").collect()
+    e = {x.doc_id: labels[x.doc_id] if x.doc_id in labels and not x.held_out else x.text_score for x in got}
+    site = {x.doc_id: (x.host, x.path) for x in got}
+    part = {i: zlib.crc32(f"{i}/part".encode()) % 5 for i in e}
+    mean = sum(e.values()) / len(e)
+
+    def strength(groups, parent):
+        n = np.array([len(g) for g in groups], float)
+        s = np.array([sum(g) for g in groups])
+        q = sum(x * x for g in groups for x in g)
+        noise = max(1e-9, (q - (s * s / n).sum()) / (n.sum() - len(n)))
+        between = (n * (s / n - parent) ** 2).sum()
+        spread = (between - (len(n) - 1) * noise) / max(1e-9, n.sum() - (n * n).sum() / n.sum())
+        return float(np.clip(noise / max(spread, 1e-9), 0.5, 1e6))
+
+    hosts, paths = sorted({s[0] for s in site.values()}, key=str), sorted(set(site.values()), key=str)
+    of_host = {h: [e[i] for i in e if site[i][0] == h] for h in hosts}
+    of_path = {p: [e[i] for i in e if site[i] == p] for p in paths}
+    k_host = strength([of_host[h] for h in hosts], np.full(len(hosts), mean))
+    k_path = strength([of_path[p] for p in paths], np.array([np.mean(of_host[p[0]]) for p in paths]))
+    for x in got:
+        others = [i for i in e if part[i] != part[x.doc_id]]
+        at_host = [e[i] for i in others if site[i][0] == x.host]
+        at_path = [e[i] for i in others if site[i] == (x.host, x.path)]
+        host = (sum(at_host) + k_host * mean) / (len(at_host) + k_host)
+        assert x.host_posterior == pytest.approx(host, rel=1e-9)
+        assert x.path_posterior == pytest.approx((sum(at_path) + k_path * host) / (len(at_path) + k_path), rel=1e-9)
+
+
 def test_quality_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     got = quality.score_documents(docs_of(spark, ODD), none, "source", "lang").collect()
