@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 from collections import defaultdict
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -165,11 +166,45 @@ def test_decontamination_tolerates_substitutions(spark, benchmark_rows):
     assert decontamination.contaminated(docs.where("false"), items).count() == 0 == decontamination.contaminated(docs, items.where("false")).count()
 
 
-def test_masks_find_any_three_substitutions_in_fifteen():
-    from itertools import combinations
-
-    for gone in combinations(range(15), 3):
-        assert any(not any(c == "1" and a + i in gone for i, c in enumerate(m)) for m in decontamination.MASKS for a in range(16 - len(m)))
+@pytest.mark.parametrize("size", range(1, 30))
+def test_masks_find_all_substitutions_of_a_fifth(size):
+    """From 30 tokens on, a stretch splits into ones of 15 and of 15 to 29 tokens, one of which is no worse."""
+    masks = decontamination.masks_of(size, 0.8)
+    windows = [sum(1 << (a + i) for i, c in enumerate(m) if c == "1") for m in masks for a in range(size - len(m) + 1)]
+    for gone in combinations(range(size), size // 5):
+        bits = sum(1 << i for i in gone)
+        assert any(not w & bits for w in windows), gone
+
+
+def longest_alike(item, text):
+    """Over all shifts: is there a stretch of 12 tokens, or the whole item, equal in 0.8 of its places?"""
+    least = min(12, len(item))
+    for shift in range(-len(item) + 1, len(text)):
+        lo, hi = max(0, -shift), min(len(item), len(text) - shift)
+        same = [item[i] == text[i + shift] for i in range(lo, hi)]
+        for x in range(len(same)):
+            for y in range(x + least, len(same) + 1):
+                if 10 * sum(same[x:y]) >= 8 * (y - x):
+                    return True
+    return False
+
+
+def test_decontamination_matches_brute_force(spark):
+    """Few different tokens, items of 1 to 24 tokens, any number of them changed."""
+    r = random.Random(11)
+    word = lambda: f"t{r.randrange(60)}"
+    items = [(i, [word() for _ in range(1 + i)]) for i in range(24)] + [(30 + i, [word() for _ in range(r.randrange(4, 13))]) for i in range(20)]
+    docs = []
+    for d in range(150):
+        own = list(items[d % len(items)][1])
+        for at in r.sample(range(len(own)), r.randrange(0, len(own) // 4 + 2) % (len(own) + 1)):
+            own[at] = "other"
+        docs.append((d, [word() for _ in range(r.randrange(0, 15))] + own + [word() for _ in range(r.randrange(0, 15))]))
+    want = {(d, i) for d, text in docs for i, item in items if longest_alike(item, text)}
+    made = spark.createDataFrame([(d, " ".join(t)) for d, t in docs], "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(i, ", ".join(t)) for i, t in items], "item_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in decontamination.contaminated(made, asked).collect()} == want
+    assert 150 < len(want) < 150 * 44
 
 
 def test_search_matches_brute_force(spark):
