@@ -22,6 +22,9 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 #: Bytes of terms (letters and digits of ASCII, and all others than ASCII) with A-Z lower-cased; the rest is white space.
 TERMS = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256)], dtype=np.uint8)
+#: Bytes with A-Z lower-cased.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -174,3 +177,25 @@ def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     total = int(length.sum())
     base = np.repeat(start - np.concatenate(([0], np.cumsum(length)[:-1])), length)
     return base + np.arange(total)
+
+
+def shingle_sets(texts: pa.Array, words: int):
+    """(first row, hashes, bounds) of runs of texts: each text's distinct shingle hashes, sorted.
+
+    Lower-cases A-Z. A text of at most ``words`` words is one shingle, one without words none.
+    """
+    for a, b, raw, at in text_chunks(texts):
+        raw = LOWER[raw]
+        start, end, word_at = word_spans(raw, at)
+        seq = Sequence(span_hashes(raw, start, end))
+        n = np.diff(word_at)
+        many = np.maximum(n - words + 1, 0) * (n > words)
+        long = ragged(word_at[:-1], many)
+        short = np.flatnonzero((n > 0) & (n <= words))
+        text = np.concatenate([np.repeat(np.arange(b - a), many), short])
+        hashes = np.concatenate([seq.windows(words)[long], seq.runs(word_at[short], word_at[short + 1])])
+        order = np.lexsort((hashes, text))
+        text, hashes = text[order], hashes[order]
+        new = np.ones(len(text), dtype=bool)
+        new[1:] = (text[1:] != text[:-1]) | (hashes[1:] != hashes[:-1])
+        yield a, hashes[new], np.searchsorted(text[new], np.arange(b - a + 1))

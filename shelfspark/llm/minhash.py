@@ -32,7 +32,6 @@ from pyspark.sql.window import Window
 
 from shelfspark.llm import common as C
 from shelfspark.llm.components import components
-from shelfspark.llm.near_copies import shingle_sets
 
 WORDS = 4
 #: Linked sets have a Jaccard similarity of so many hundredths.
@@ -68,7 +67,7 @@ def signatures(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
 def _sketches(batches):
     """did, rk, doc_id, node (null for an empty set), n_shingles, sig."""
     for batch in batches:
-        for a, hashes, at in shingle_sets(batch.column("text"), WORDS):
+        for a, hashes, at in C.shingle_sets(batch.column("text"), WORDS):
             size = np.diff(at)
             full = np.flatnonzero(size)
             node, sig = np.zeros(len(size), np.uint64), np.zeros((0, COORDINATES), np.uint64)
@@ -178,7 +177,7 @@ def _compare(matches: int, percent: int, words: int):
             out = []
             tile, node, side, known = (batch.column(c).to_pylist() for c in ("tile", "node", "side", "known"))
             sig = batch.column("sig").flatten().to_numpy().reshape(batch.num_rows, -1)
-            for a, hashes, at in shingle_sets(batch.column("text"), words):
+            for a, hashes, at in C.shingle_sets(batch.column("text"), words):
                 for k in range(len(at) - 1):
                     if tile[a + k] != held:
                         if own:

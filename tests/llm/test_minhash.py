@@ -74,7 +74,7 @@ def members(spark, texts):
     import pyarrow as pa
 
     rows = []
-    for _, hashes, at in minhash.shingle_sets(pa.array(texts), 4):
+    for _, hashes, at in minhash.C.shingle_sets(pa.array(texts), 4):
         sig = minhash.C.signed(minhash.signatures(hashes, at[:-1]))
         rows += [(0, len(rows) + k, s.tolist(), texts[len(rows) + k]) for k, s in enumerate(sig)]
     return spark.createDataFrame(rows, "root long, node long, sig array<long>, text string").repartition(3)

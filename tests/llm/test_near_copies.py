@@ -78,6 +78,17 @@ def test_a_large_group_in_tiles(spark):
     assert {x.node for x in found} == set(range(400)) and {x.root for x in found} == {0}
 
 
+def test_common_passages_make_no_group(spark):
+    """Texts that share a passage, pairwise at 0.3, meet in no list."""
+    common = " ".join(f"b{i}" for i in range(100))
+    rows = [(i, common + " " + " ".join(f"own{i}.{k}" for k in range(110))) for i in range(300)]
+    made = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    base = made.select(*near_copies.C.row_key(), "doc_id", "text")
+    nodes = base.mapInArrow(near_copies._sketch_rows, "did long, rk int, doc_id long, node long, fp long, n long, sig array<long>")
+    nodes = nodes.selectExpr("node", "struct(did, rk) AS first", "fp", "n", "sig")
+    assert near_copies._members(nodes, made).groupBy("root").count().where("count > 9").count() == 0
+
+
 def test_bit_sliced_radius():
     r = np.random.default_rng(2)
     prints = r.integers(0, 1 << 64, 130, dtype=np.uint64)
