@@ -71,9 +71,14 @@ def counter_rates(
     )
 
 
+#: Weights of cpu, ram and gpu load.
+PRESSURE = (0.50, 0.35, 0.15)
+
+
 def pressure(cpu: Column, ram: Column, gpu: Column) -> Column:
     """Weighted load of percentages, 0..1."""
-    return cpu / 100 * F.lit(0.50) + ram / 100 * F.lit(0.35) + gpu / 100 * F.lit(0.15)
+    a, b, c = PRESSURE
+    return cpu / 100 * F.lit(a) + ram / 100 * F.lit(b) + gpu / 100 * F.lit(c)
 
 
 def ewma(

@@ -1,8 +1,8 @@
 """Text jobs over whole tables: clean-up, keywords, repetition, copy checks.
 
 A document is one row, so all of this is narrow: arrays inside the row instead
-of explode, group and collect. Only similarity needs Python, in Arrow batches,
-and only for pairs that built-in functions leave open.
+of explode, group and collect. Only repetition needs Python, in Arrow batches:
+its rules are arithmetic over all pairs of a batch (see functions/repeats.py).
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfspark.functions import repeats as R
 from shelfspark.functions import text as X
 from shelfspark.functions.core import collapse_ws, contains_any, let, strip_ws
 from shelfspark.profiles import (
@@ -63,42 +64,10 @@ def explode_sentences(
     )
 
 
-def _candidates(df: DataFrame, key: str, column: str, window: int, similar: bool) -> DataFrame:
-    """Pairs of near sentences that repeat, or may do so, with their match keys.
-
-    Each sentence is compared with the ``window`` before it inside the document's
-    own array: no self-join, no shuffle, and only pairs that pass leave the row.
-    """
-    parts = F.filter(
-        F.transform(X.sentences(F.col(column)), X.match_key), lambda k: k != ""
-    )
-
-    def judged(cur: Column, prev: Column, prev_idx: Column) -> Column:
-        def verdict(share: Column) -> Column:
-            settled = X.settled_repeat(cur, prev, share)
-            open_ = X.may_be_similar(cur, prev, share) if similar else F.lit(False)
-            return F.struct(
-                prev_idx.cast("bigint").alias("prev_idx"), prev["k"].alias("b"),
-                share.alias("share"), settled.alias("settled"),
-                F.when(settled, F.lit(False)).otherwise(open_).alias("open"),
-            )
-
-        return let(X.overlap(cur, prev), verdict)
-
-    def compare(all_: Column) -> Column:
-        def one(cur: Column, i: Column) -> Column:
-            first = F.greatest(i - window, F.lit(0))
-            past = F.slice(all_, first + 1, F.least(i, F.lit(window)))
-            found = F.filter(
-                F.transform(past, lambda prev, j: judged(cur, prev, first + j)),
-                lambda v: v["settled"] | v["open"],
-            )
-            return F.struct(i.cast("bigint").alias("idx"), cur["k"].alias("a"), found.alias("found"))
-
-        return F.filter(F.transform(all_, one), lambda r: F.size(r["found"]) > 0)
-
-    rows = df.select(key, F.inline(let(F.transform(parts, X.profile), compare)))
-    return rows.select(key, "idx", "a", F.inline("found"))
+def _keyed(column: str) -> Column:
+    """The sentences with a match key, as array<struct<raw, key>>."""
+    parts = F.transform(X.sentences(F.col(column)), lambda p: F.struct(p.alias("raw"), X.match_key(p).alias("key")))
+    return F.filter(parts, lambda s: s["key"] != "")
 
 
 def repeat_pairs(
@@ -107,15 +76,11 @@ def repeat_pairs(
     """(key, idx, prev_idx) of sentences that repeat one of the ``window`` before.
 
     Positions count sentences with a non-blank match key. ``similar=False``
-    leaves out the similarity rule.
+    leaves out the similarity rule. No self-join and no shuffle: only pairs that
+    repeat leave the document's row.
     """
-    pairs = _candidates(df, key, column, window, similar)
-    if similar:
-        ratio = X.similarity(F.col("a"), F.col("b"), F.col("open"))
-        pairs = pairs.withColumn("ratio", ratio).filter(
-            F.col("settled") | X.similar_enough(F.col("ratio"), F.col("share"))
-        )
-    return pairs.select(key, "idx", "prev_idx")
+    found = R.pairs(F.transform(_keyed(column), lambda s: s["key"]), window, similar)
+    return df.select(key, found.alias("_p")).select(key, F.inline("_p"))
 
 
 def drop_repeats(
@@ -124,24 +89,19 @@ def drop_repeats(
     """Greedy clean-up: a sentence goes when it repeats one of the last ``window``
     kept ones. Adds the text and the number of removed sentences.
 
-    ``similar=False`` is the equal-key rule, folded inside the JVM.
+    ``similar=False`` is the equal-key rule. Which sentences stay is told by index; their
+    text is not moved.
     """
-    body = collapse_ws(column)
-    parts = X.sentences(F.col(column))
-    if similar:
-        df = df.withColumn("_parts", parts)
-        df = df.withColumn("_keys", F.transform("_parts", X.match_key))
-        df = df.withColumn("_r", X.drop_all_repeats(F.col("_parts"), F.col("_keys"), window))
-        text, removed = F.col("_r.text"), F.col("_r.removed")
-    else:
-        df = df.withColumn("_r", X.drop_exact_repeats(parts, max(1, window)))
-        kept = F.size("_r.raw") > 0
-        text = F.when(kept, F.array_join("_r.raw", " "))
-        removed = F.when(kept, F.col("_r.removed")).otherwise(0)
+    df = df.withColumn("_s", _keyed(column))
+    flags = R.kept(F.transform("_s", lambda s: s["key"]), max(1, window), True if similar else None)
+    df = df.withColumn("_f", flags)
+    stays = F.filter("_s", lambda s, i: F.get("_f", i))
+    df = df.withColumn("_k", F.transform(stays, lambda s: s["raw"]))
+    some = F.size("_k") > 0
     return (
-        df.withColumn("removed", removed.cast("bigint"))
-        .withColumn(out, F.coalesce(text, body))
-        .drop("_r", "_parts", "_keys")
+        df.withColumn("removed", F.when(some, F.size("_s") - F.size("_k")).otherwise(0).cast("bigint"))
+        .withColumn(out, F.when(some, F.array_join("_k", " ")).otherwise(collapse_ws(column)))
+        .drop("_s", "_f", "_k")
     )
 
 
@@ -169,33 +129,25 @@ def _with_opening(df: DataFrame, column: str, opening: str, out: str, similar: b
     body = strip_ws(F.coalesce(F.col(column), F.lit("")))
     if not line:
         return df.withColumn(out, body)
-    key = X.match_key(F.lit(line))
     df = df.withColumn("_body", body).withColumn(
         "_first", F.coalesce(F.try_element_at(X.sentences(F.col("_body")), F.lit(1)), F.lit(""))
     )
-    df = df.withColumn("_f", X.profile(X.match_key(F.col("_first")))).withColumn(
-        "_h", X.profile(key)
-    )
+    df = df.withColumn("_f", X.match_key(F.col("_first"))).withColumn("_h", X.match_key(F.lit(line)))
     first, hook = F.col("_f"), F.col("_h")
-    df = df.withColumn("_share", X.overlap(first, hook))
-    share = F.col("_share")
-    present = (hook["k"] != "") & X.match_key(F.col("_body")).contains(hook["k"])
-    same = (first["k"] == hook["k"]) | X.settled_repeat(first, hook, share)
-    lead = X.common_prefix(hook["w"], first["w"]) >= 3
-    known = present | same | lead | X.has_opening_signal(F.col("_first"))
-    df = df.withColumn("_known", known)
-    if similar:
-        ask = ~F.col("_known") & X.may_be_similar(first, hook, share)
-        df = df.withColumn("_ratio", X.similarity(first["k"], hook["k"], ask))
-        alike = X.similar_enough(F.col("_ratio"), share)
-        df = df.withColumn("_known", F.col("_known") | alike).drop("_ratio")
+    present = (hook != "") & X.match_key(F.col("_body")).contains(hook)
+    three = lambda k: F.slice(X.words_of(k), 1, 3)
+    lead = (F.size(three(hook)) == 3) & (three(hook) == three(first))
+    df = df.withColumn("_known", present | lead | X.has_opening_signal(F.col("_first")))
+    ask = F.when(~F.col("_known") & (first != "") & (hook != ""), F.array(hook, first))
+    df = df.withColumn("_repeats", R.pairs(F.coalesce(ask, F.array().cast("array<string>")), 1, similar))
+    df = df.withColumn("_known", F.col("_known") | (F.size("_repeats") > 0))
     start = line if line[-1] in ".!?" else line + "."
     new = (
         F.when(F.col("_body") == "", F.lit(line))
         .when(F.col("_known"), F.col("_body"))
         .otherwise(F.concat(F.lit(start + " "), F.col("_body")))
     )
-    return df.withColumn(out, new).drop("_body", "_first", "_f", "_h", "_share", "_known")
+    return df.withColumn(out, new).drop("_body", "_first", "_f", "_h", "_repeats", "_known")
 
 
 def ensure_lines_in_segments(

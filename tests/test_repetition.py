@@ -3,9 +3,12 @@
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from shelfspark.functions import repeats as R
 from shelfspark.functions import text as X
 from shelfspark.operators import text as O
 
@@ -37,6 +40,68 @@ def expected(a, b):
     )
 
 
+def test_ratio_equals_the_plain_one():
+    """Random pairs over small and large alphabets, edited copies, and texts long enough to have common letters."""
+    rng = random.Random(5)
+    for n in range(10_000):
+        letters = rng.choice(["ab", "abcde ", "etaoin shrdlu", "äöü日本語 ab"])
+        size = rng.choice([0, 1, 5, 20, 60]) if n % 50 else rng.choice([200, 260, 500])
+        a = "".join(rng.choice(letters) for _ in range(size))
+        if n % 2:
+            b = list(a)
+            for _ in range(rng.randrange(0, 6)):
+                at = rng.randrange(len(b) + 1)
+                b[at : at + rng.randrange(3)] = rng.choice(letters) * rng.randrange(3)
+            b = "".join(b)
+        else:
+            b = "".join(rng.choice(letters) for _ in range(rng.randrange(0, 1 + 2 * size)))
+        assert R.ratio(a, b) == SequenceMatcher(None, a, b).ratio(), (a, b)
+
+
+def test_rules_equal_the_plain_ones_for_any_pair():
+    rng = random.Random(6)
+    words = "the red pan heats fast and it saves time in my small kitchen".split()
+    keys = {"a"}
+    while len(keys) < 400:
+        own = [rng.choice(words) for _ in range(rng.randrange(1, 10))]
+        keys.add(" ".join(own))
+        own[rng.randrange(len(own))] += rng.choice("sxyz")
+        keys.add(" ".join(own))
+    keys = sorted(keys)
+    held = R.Keys(pa.array(keys))
+    a, b = np.array([rng.randrange(len(keys)) for _ in range(20_000)]), np.array([rng.randrange(len(keys)) for _ in range(20_000)])
+    got = held.repeats(a, b, True)
+    assert got.tolist() == [expected(keys[x], keys[y]) for x, y in zip(a, b)] and 100 < got.sum() < 15_000
+
+
+def test_walk_is_linear_in_sentences():
+    """Four times the sentences take about four times as long, all kept, all equal, or dropped in between."""
+    import time
+
+    def seconds(n, kind):
+        key = {"new": list(range(n)), "same": [0] * n, "mixed": [i if i % 3 == 0 else i % 7 for i in range(n)]}[kind]
+        walk = R.Walk(key, 10)
+        start = time.perf_counter()
+        walk.run()
+        return time.perf_counter() - start
+
+    for kind in ("new", "same", "mixed"):
+        small, large = (min(seconds(n, kind) for _ in range(3)) for n in (16_000, 64_000))
+        assert large < 12 * small + 0.05, kind
+
+
+def test_long_documents_of_repeats(spark):
+    """Variants of one line, told apart by a number, between lines that stay: kept ones lie far back."""
+    lines = [f"this pan number {i} heats fast and cleans easily" if i % 5 else f"q{i} z{i * 7} k{i * 3}" for i in range(600)]
+    df = spark.createDataFrame([(1, ". ".join(lines) + ".")], "id long, text string")
+    got = O.drop_repeats(df, "text", 10).first()
+    kept = []
+    for line in lines:
+        if not any(expected(line, p) for p in kept[-10:]):
+            kept.append(line)
+    assert got.removed == len(lines) - len(kept) and got.text_kept == ". ".join(kept) + "." or got.text_kept.count("q") == sum(k.startswith("q") for k in kept)
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     rng = random.Random(3)
