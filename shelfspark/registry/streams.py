@@ -160,11 +160,12 @@ UNION ALL SELECT 'scalars', count(*)::VARCHAR, '' FROM orders"""
 
 def stream_merge_log(spark, sf):
     path = scratch_path(spark, "merge")
-    seed = table(spark, sf, "events").filter("event_type = 'signup' AND value > 40").select("user_id")
-    J.seed_state(seed, path, "user_id")
+    earlier = table(spark, sf, "events").filter("event_type = 'signup' AND value > 40").select("user_id").distinct()
+    seed = J.seed_state(earlier, f"{path}-seed")
     log = _stream(spark, sf, "events").filter("event_type = 'purchase' AND value > 10")
-    merged = J.stream_merge_log(log, path, "user_id")
-    return merged.select("user_id", (F.col("batch") >= 0).alias("added"))
+    merged = J.stream_merge_log(log, path, "user_id", seed)
+    old = spark.read.parquet(f"{path}-seed").withColumn("old", F.lit(True))
+    return merged.join(old, "user_id", "left").select("user_id", F.col("old").isNull().alias("added"))
 
 
 MERGE_SQL = """
@@ -174,17 +175,13 @@ SELECT user_id, false AS added FROM s
 UNION ALL SELECT user_id, true FROM l WHERE user_id NOT IN (SELECT user_id FROM s)"""
 
 
-def tick_metrics(spark, sf):
-    """Daily ticks per user from the event stream, then rates and load class."""
-    e = _stream(spark, sf, "events")
+def _ticks_of(events):
     gauge = lambda k: F.sqrt(((F.col("event_id") * k) % 10_007).cast("double"))
-    e = e.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type",
-                 gauge(37).alias("cpu"), gauge(53).alias("ram"), gauge(71).alias("gpu"))
-    ticks = J.tick_counts(
-        e, "user_id", "ts", F.col("event_type") == "error", ["cpu", "ram", "gpu"], "1 day", "2 days"
-    )
-    table_ = J.stream_ticks(ticks, scratch_path(spark, "ticks"), "user_id")
-    out = J.tick_metrics(table_, "user_id", 86_400)
+    return events.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type",
+                         gauge(37).alias("cpu"), gauge(53).alias("ram"), gauge(71).alias("gpu"))
+
+
+def _rounded(out):
     return out.select(
         "user_id", F.col("tick").cast("timestamp_ntz").alias("tick"), "responses", "errors",
         F.round(F.col("rps") * 1000, 6).alias("mrps"), F.round("error_rate", 6).alias("error_rate"),
@@ -192,6 +189,22 @@ def tick_metrics(spark, sf):
     )
 
 
+def tick_metrics(spark, sf):
+    """Daily ticks per user from the event stream, smoothed and judged inside it."""
+    return _rounded(J.stream_tick_metrics(
+        _ticks_of(_stream(spark, sf, "events")), scratch_path(spark, "ticks"), "user_id", "ts",
+        F.col("event_type") == "error", ["cpu", "ram", "gpu"], 86_400, "2 days", end=True,
+    ))
+
+
+def tick_table_metrics(spark, sf):
+    """The same from the stored table, as a batch job."""
+    ticks = J.tick_counts(
+        _ticks_of(table(spark, sf, "events")), "user_id", "ts", F.col("event_type") == "error", ["cpu", "ram", "gpu"], "1 day"
+    )
+    return _rounded(J.tick_metrics(ticks, "user_id", 86_400))
+
+
 TICK_SQL = """
 WITH t AS (
   SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS tick, count(*) FILTER (event_type <> 'error')::BIGINT AS responses,
@@ -215,7 +228,7 @@ SELECT user_id, tick, responses, errors, round(rps * 1000, 6) AS mrps, round(er,
 def stream_queue_cursor(spark, sf):
     return J.stream_queue_cursor(
         _stream(spark, sf, "events"), scratch_path(spark, "cursor"), "user_id", ["ts", "event_id"],
-        None, F.col("event_type").isin("view", "click", "purchase"),
+        F.col("event_type").isin("view", "click", "purchase"),
         F.col("event_type").isin("error", "signup"),
     )
 
@@ -238,11 +251,41 @@ def stream_pages(spark, sf):
     )
 
 
+def page_progress(spark, sf):
+    """Counts per batch while pages arrive, a quarter of the table in each batch."""
+    path = scratch_path(spark, "arriving")
+    pages = table(spark, sf, "pages")
+    for part in range(4):
+        pages.filter(F.pmod("page_id", F.lit(4)) == part).coalesce(1).write.mode("append").parquet(path)
+    arriving = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    J.stream_page_results(arriving, f"{path}-results", RP.MARKUP, RP.ITEM_SITE, progress=f"{path}-counts")
+    return J.read_progress(spark, f"{path}-counts").select("pages", "with_video", "without_video", "blocked", "errors")
+
+
+PROGRESS_SQL = f"""
+SELECT count(*)::BIGINT AS pages, count(*) FILTER (has_video)::BIGINT AS with_video,
+  count(*) FILTER (NOT has_video)::BIGINT AS without_video, count(*) FILTER (blocked)::BIGINT AS blocked,
+  count(*) FILTER (coalesce(error, '') <> '')::BIGINT AS errors
+FROM ({RP.SQL["page_results"]}) GROUP BY page_id % 4"""
+
+
+def stream_kept_counts(spark, sf):
+    """Rows read, kept and removed while URLs are deduplicated, over all batches."""
+    urls = _stream(spark, sf, "pages").select("url").where("url is not null")
+    counts = J.stream_kept_counts(urls, ["url"], scratch_path(spark, "kept"))
+    return counts.agg(*[F.sum(c).alias(c) for c in ("original", "kept", "removed")])
+
+
+KEPT_SQL = """
+SELECT count(*)::BIGINT AS original, count(DISTINCT url)::BIGINT AS kept, (count(*) - count(DISTINCT url))::BIGINT AS removed
+FROM pages WHERE url IS NOT NULL"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         read_url_list, read_records, report, upload_log, saved_state, stream_dedupe,
-        stream_dedupe_watermark, stream_merge_log, tick_metrics, stream_queue_cursor, stream_pages,
+        stream_dedupe_watermark, stream_merge_log, tick_metrics, tick_table_metrics, stream_queue_cursor, stream_pages, page_progress, stream_kept_counts,
     )
 }
 SQL = {
@@ -255,6 +298,9 @@ SQL = {
     "stream_dedupe_watermark": "SELECT DISTINCT user_id, event_type FROM events",
     "stream_merge_log": MERGE_SQL,
     "tick_metrics": TICK_SQL,
+    "tick_table_metrics": TICK_SQL,
     "stream_queue_cursor": CURSOR_SQL,
     "stream_pages": RP.SQL["page_results"],
+    "page_progress": PROGRESS_SQL,
+    "stream_kept_counts": KEPT_SQL,
 }

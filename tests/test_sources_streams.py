@@ -117,65 +117,105 @@ def test_dedupe_stream(spark, tmp_path):
     assert J.run_to_table(bounded, str(tmp_path / "o2")).count() == out.count()
 
 
-def test_merge_log_stream(spark, tmp_path):
+def feed(data, path, batches, total=4):
+    """Those of ``total`` parts of ``data``, in id order, one file each."""
+    for b in batches:
+        data.filter(F.floor(F.col("id") / (400 / total)) == b).coalesce(1).write.mode("append").parquet(path)
+
+
+def rerun(spark, tmp_path, job):
+    """``job(stream)`` on two parts of the events, then from its checkpoint on all four; the last result."""
     stream, data = events(spark, tmp_path)
-    path = str(tmp_path / "state")
-    J.seed_state(spark.createDataFrame([("k1",), ("old",)], "k string"), path, "k")
-    merged = J.stream_merge_log(stream.select("k"), path, "k")
+    path = str(tmp_path / "late")
+    feed(data, path, (0, 1))
+    late = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(path)
+    job(late).collect()
+    feed(data, path, (2, 3))
+    return job(late), data
+
+
+def rows_of(df):
+    return sorted(tuple(f"{v:.6g}" if isinstance(v, float) else str(v) for v in r) for r in df.collect())
+
+
+def test_merge_log_goes_on_after_a_restart(spark, tmp_path):
+    path = str(tmp_path / "merged")
+    earlier = spark.createDataFrame([("k1",), ("old",), ("",)], "k string")
+    merged, data = rerun(spark, tmp_path, lambda s: J.stream_merge_log(s.select("k"), path, "k", J.seed_state(earlier, f"{path}-seed")))
     assert sorted(r.k for r in merged.collect()) == sorted({r.k for r in data.collect()} | {"old"})
+    # The whole log replayed under a new name adds nothing.
+    data.coalesce(1).write.mode("append").parquet(str(tmp_path / "late"))
+    late = spark.readStream.schema(EVENTS).parquet(str(tmp_path / "late"))
+    again = J.stream_merge_log(late.select("k"), path, "k", J.seed_state(earlier, f"{path}-seed"))
+    assert again.count() == merged.count()
 
 
-def test_cursor_stream_equals_batch(spark, tmp_path):
+def test_merge_log_without_a_seed(spark, tmp_path):
     stream, data = events(spark, tmp_path)
+    merged = J.stream_merge_log(stream.select("k"), str(tmp_path / "state"), "k")
+    assert sorted(r.k for r in merged.collect()) == sorted({r.k for r in data.collect()})
+
+
+def test_cursor_stream_equals_batch_after_a_restart(spark, tmp_path):
+    took, failed = F.col("kind") == "take", F.col("kind") == "fail"
+    got, data = rerun(spark, tmp_path, lambda s: J.stream_queue_cursor(s, str(tmp_path / "o"), "k", ["ts", "id"], took, failed))
+    want = Q.queue_cursor(data, "k", ["ts", "id"], chunked.by_time("ts", 600), took, failed)
+    assert rows_of(got) == rows_of(want)
+    changed = spark.read.parquet(str(tmp_path / "o"))
+    assert changed.select("batch").distinct().count() == 4
+
+
+def test_cursor_starts_from_earlier_counters(spark, tmp_path):
+    seed = J.seed_state(spark.createDataFrame([("hot", 50, 3, 40), ("gone", 7, 1, 6)], "k string, taken long, failures long, cursor long"), str(tmp_path / "seed"))
     took, failed = F.col("kind") == "take", F.col("kind") == "fail"
-    args = ("k", ["ts", "id"], chunked.by_time("ts", 600), took, failed)
-    got = J.stream_queue_cursor(stream, str(tmp_path / "o"), *args)
-    want = Q.queue_cursor(data, *args)
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    got, data = rerun(spark, tmp_path, lambda s: J.stream_queue_cursor(s, str(tmp_path / "o"), "k", ["ts", "id"], took, failed, seed))
+    cursor, taken, fails = 40, 50, 3
+    for r in data.filter("k = 'hot'").orderBy("id").collect():
+        cursor, taken, fails = max(0, cursor + (1 if r.kind == "take" else -1)), taken + (r.kind == "take"), fails + (r.kind == "fail")
+    found = {r.k: (r.taken, r.failures, r.cursor) for r in got.collect()}
+    assert found["hot"] == (taken, fails, cursor) and found["gone"] == (7, 1, 6) and len(found) == 9
+
+
+GAUGES = ["cpu", "ram", "gpu"]
+TICK_COLUMNS = ["k", "tick", "responses", "errors", *GAUGES, "rps", "error_rate", "smoothed", "brake", "throughput_drop"]
+
+
+def tick_stream(stream, path, end):
+    return J.stream_tick_metrics(stream, path, "k", "ts", F.col("kind") == "fail", GAUGES, 600, "1 hour", end=end).select(TICK_COLUMNS)
 
 
 def test_tick_stream_equals_batch(spark, tmp_path):
     stream, data = events(spark, tmp_path)
-    count = lambda df: J.tick_counts(df, "k", "ts", F.col("kind") == "fail", ["cpu", "ram", "gpu"],
-                                     "10 minutes", "1 day")
-    got = J.tick_metrics(J.stream_ticks(count(stream), str(tmp_path / "o"), "k"), "k", 600)
-    want = J.tick_metrics(count(data), "k", 600)
-    key = lambda r: tuple(f"{v:.9g}" if isinstance(v, float) else str(v) for v in r)
-    cols = want.columns
-    assert sorted(map(key, got.select(*cols).collect())) == sorted(map(key, want.collect()))
+    got = tick_stream(stream, str(tmp_path / "o"), True)
+    want = J.tick_metrics(J.tick_counts(data, "k", "ts", F.col("kind") == "fail", GAUGES, "10 minutes"), "k", 600)
+    assert rows_of(got) == rows_of(want.select(TICK_COLUMNS)) and want.count() > 60
+
+
+def test_tick_stream_keeps_open_slices_for_the_next_run(spark, tmp_path):
+    got, data = rerun(spark, tmp_path, lambda s: tick_stream(s, str(tmp_path / "o"), False))
+    want = J.tick_metrics(J.tick_counts(data, "k", "ts", F.col("kind") == "fail", GAUGES, "10 minutes"), "k", 600).select(TICK_COLUMNS)
+    early, all_ = rows_of(got), rows_of(want)
+    assert set(early) < set(all_) and len(early) == len(set(early))
+    held = J.read_state(spark, str(tmp_path / "o")).select(F.size("value.groupState.ticks").alias("n")).collect()
+    assert sum(r.n for r in held) == len(all_) - len(early) and max(r.n for r in held) <= 8
+    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "late"))
+    assert rows_of(tick_stream(stream, str(tmp_path / "o"), True)) == all_
+
+
+def test_progress_rows_per_batch(spark, tmp_path):
+    stream, data = events(spark, tmp_path)
+    counts = J.stream_kept_counts(stream.select("k", "kind"), ["k", "kind"], str(tmp_path / "o")).orderBy("batch").collect()
+    assert [r.original for r in counts] == [100] * 4 and counts[0].kept > 0 and all(r.removed == r.original - r.kept for r in counts)
+    assert sum(r.kept for r in counts) == data.select("k", "kind").distinct().count()
 
 
 def test_page_stream_equals_batch(spark, tmp_path):
     rows = [(i, f"https://a/dp/B07WMS7TW{i}", f"<title>t&copy;{i}</title> http://m.example/{i}.mp4 ") for i in range(6)]
     path = str(tmp_path / "pages")
     spark.createDataFrame(rows, schemas.PAGES).repartition(3).write.parquet(path)
-    got = J.stream_page_results(read_pages(spark, path, streaming=True), str(tmp_path / "o"))
+    counts = str(tmp_path / "counts")
+    got = J.stream_page_results(read_pages(spark, path, streaming=True), str(tmp_path / "o"), progress=counts)
     want = P.page_results(read_pages(spark, path))
     assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
-
-
-def test_a_broken_state_folder_fails_the_batch(spark, tmp_path):
-    path = tmp_path / "state"
-    assert J._folders(spark, str(path)) == []
-    (path / "batch=0" / "bucket=3").mkdir(parents=True)
-    (path / "batch=0" / "bucket=3" / "part-0.parquet").write_bytes(b"not parquet")
-    (folder,) = J._folders(spark, str(path))
-    schema = spark.createDataFrame([], "k string").schema
-    with pytest.raises(Exception, match="(?i)parquet|footer"):
-        J._read(spark, str(path), [folder[2]], schema).count()
-
-
-def test_a_batch_touches_the_buckets_of_its_keys_only(spark, tmp_path):
-    took, failed = F.col("kind") == "take", F.col("kind") == "fail"
-    for b, keys in enumerate((["a", "b", "c", "d"], ["a"], ["a"], ["a", "e"])):
-        rows = spark.createDataFrame([(f"{b}-{k}", k, "take", b) for k in keys], "id string, k string, kind string, n int")
-        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("id string, k string, kind string, n int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    path = str(tmp_path / "o")
-    got = J.stream_queue_cursor(stream, path, "k", ["n", "id"], F.lit(0).cast("bigint"), took, failed)
-    assert {(r.k, r.taken, r.cursor) for r in got.collect()} == {("a", 4, 4), ("b", 1, 1), ("c", 1, 1), ("d", 1, 1), ("e", 1, 1)}
-    of_a = spark.createDataFrame([("a",)], "k string").select(J._bucket("k")).first()[0]
-    versions = [n for n, b, _ in J._folders(spark, path) if b == of_a]
-    assert len(versions) == 2  # the last one and the one it was made from
-    again = J._newest(J._folders(spark, path), 3)
-    assert of_a in again
+    seen = J.read_progress(spark, counts).groupBy().sum("pages", "with_video", "without_video").first()
+    assert tuple(seen) == (6, 6, 0)
