@@ -28,12 +28,12 @@ def clean_html(df: DataFrame, html: str = "html", out: str = "clean_text") -> Da
 
 # ---- links -----------------------------------------------------------------
 def _tags(links: LinkProfile) -> Column:
-    """Array of the page's list, list-item and link tags, in page order.
+    """Array of the page's list, list-item and link tags (and the lists that bound items), in page order.
 
     A link carries its attributes and text up to the closing tag; one that is not
     closed before the next link or list tag is its opening tag alone.
     """
-    tags = "|".join(sorted({links.list_tag, links.up_tag}))
+    tags = "|".join(sorted({links.list_tag, links.up_tag, *LISTS}))
     inner = rf"(?:(?!<a\b|</?(?:{tags})\b).)*?"
     pattern = rf"(?is)<(?:a\b[^>]*>(?:{inner}</a\s*>)?|/?(?:{tags})\b[^>]*>)"
     body = F.col("html")
@@ -42,41 +42,76 @@ def _tags(links: LinkProfile) -> Column:
     return extract_all(body, pattern, 0)
 
 
+#: Lists, inside which an item ends where the next one starts.
+LISTS = ("ol", "ul")
+ITEM = "li"
+#: Links gathered in one array before they move to the array of full ones.
+_RUN = 64
+
+
+def _started(held: Column, tag: Column, mark: Column) -> Column:
+    """The open elements, innermost first, after a start tag.
+
+    An item ends an item that is open in the same list.
+    """
+    names = F.transform(held, lambda e: e["tag"])
+    at = F.array_position(names, ITEM).cast("int")
+    lists = [F.array_position(names, x).cast("int") for x in LISTS]
+    inside = (at > 0) & F.forall(F.array(*lists), lambda n: (n == 0) | (n > at))
+    left = F.when((tag == ITEM) & inside, _beyond(held, at)).otherwise(held)
+    return F.concat(F.array(F.struct(tag.alias("tag"), mark.alias("mark"))), left)
+
+
+def _ended(held: Column, tag: Column) -> Column:
+    """The open elements after an end tag: its element closes, with all that is open inside.
+
+    An item's end does not reach beyond its list; an end without a start counts for nothing.
+    """
+    names = F.transform(held, lambda e: e["tag"])
+    at = F.array_position(names, tag).cast("int")
+    lists = [F.array_position(names, x).cast("int") for x in LISTS]
+    cut = (tag == ITEM) & F.exists(F.array(*lists), lambda n: (n > 0) & (n < at))
+    return F.when((at == 0) | cut, held).otherwise(_beyond(held, at))
+
+
+def _beyond(held: Column, at: Column) -> Column:
+    return F.slice(held, at + 1, F.greatest(F.size(held) - at, F.lit(0)))
+
+
 def _open_tags(links: LinkProfile) -> Column:
     """Array of (pos, link, list_marks, up_marks): every link with the number of marked
     lists and list items that are open around it.
 
-    One fold over the page's own tags with a stack of marks for each kind: nothing
-    leaves the row but finished links. A closing tag without an opening one is ignored.
+    One fold over the page's own tags with a stack of open elements, as a parser builds
+    them: end tags that a page leaves out are implied. Links gather in runs of ``_RUN``, so
+    no long array is copied at each of them.
     """
-    flags = "array<boolean>"
-    found = "array<struct<pos:int,link:string,list_marks:int,up_marks:int>>"
+    link_type = "struct<pos:int,link:string,list_marks:int,up_marks:int>"
     start = F.struct(
-        F.array().cast(flags).alias("list"), F.array().cast(flags).alias("up"), F.array().cast(found).alias("out")
+        F.array().cast("array<struct<tag:string,mark:boolean>>").alias("held"),
+        F.array().cast(f"array<{link_type}>").alias("run"), F.array().cast(f"array<array<{link_type}>>").alias("full"),
     )
-
-    def stack(held: Column, name: Column, tag: str, mark: Column) -> Column:
-        return F.when(name == tag, F.concat(F.array(mark), held)).when(
-            name == f"/{tag}", F.slice(held, F.lit(2), F.greatest(F.size(held) - 1, F.lit(0)))
-        ).otherwise(held)
-
-    open_marks = lambda held: F.size(F.filter(held, lambda m: m))
+    marked = lambda held, tag: F.size(F.filter(held, lambda e: (e["tag"] == tag) & e["mark"]))
 
     def step(acc: Column, t: Column) -> Column:
-        kind, tag = t["kind"], t["tag"]
+        kind, tag, held = t["kind"], t["tag"], acc["held"]
         link = F.struct(
             t["pos"].alias("pos"), tag.alias("link"),
-            open_marks(acc["list"]).alias("list_marks"), open_marks(acc["up"]).alias("up_marks"),
+            marked(held, links.list_tag).alias("list_marks"), marked(held, links.up_tag).alias("up_marks"),
         )
+        classes = H.attr(tag, "class")
+        mark = ((kind == links.list_tag) & classes.contains(links.list_class)) | ((kind == links.up_tag) & classes.contains(links.up_class))
+        is_link, full = kind == "a", F.size(acc["run"]) == _RUN
+        run = F.when(is_link & full, F.array(link)).when(is_link, F.concat(acc["run"], F.array(link))).otherwise(acc["run"])
         return F.struct(
-            stack(acc["list"], kind, links.list_tag, H.attr(tag, "class").contains(links.list_class)).alias("list"),
-            stack(acc["up"], kind, links.up_tag, H.attr(tag, "class").contains(links.up_class)).alias("up"),
-            F.when(kind == "a", F.concat(acc["out"], F.array(link))).otherwise(acc["out"]).alias("out"),
+            F.when(is_link, held).when(kind.startswith("/"), _ended(held, kind.substr(F.lit(2), F.length(kind)))).otherwise(_started(held, kind, mark)).alias("held"),
+            run.alias("run"),
+            F.when(is_link & full, F.concat(acc["full"], F.array(acc["run"]))).otherwise(acc["full"]).alias("full"),
         )
 
     kind = lambda t: F.lower(F.regexp_extract(t, r"^<(/?[A-Za-z][A-Za-z0-9]*)", 1))
     tags = F.transform(_tags(links), lambda t, i: F.struct(i.alias("pos"), kind(t).alias("kind"), t.alias("tag")))
-    return F.aggregate(tags, start, step)["out"]
+    return F.aggregate(tags, start, step, lambda acc: F.flatten(F.concat(acc["full"], F.array(acc["run"]))))
 
 
 def page_links(

@@ -106,7 +106,7 @@ _ORIGIN = r"regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)"
 LINK_TOKENS_SQL = rf"""
 WITH n AS (
   SELECT page_id, url, regexp_extract_all(regexp_extract(html, '(?is)<nav\b[^>]*>.*?</nav>'),
-    '(?is)<(?:a\b[^>]*>.*?</a\s*>|/?(?:li|ul)\b[^>]*>)') AS tags FROM pages),
+    '(?is)<(?:a\b[^>]*>.*?</a\s*>|/?(?:li|ol|ul)\b[^>]*>)') AS tags FROM pages),
 t AS (
   SELECT page_id, url, unnest(tags) AS tag, generate_subscripts(tags, 1) - 1 AS pos FROM n),
 d AS (

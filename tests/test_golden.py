@@ -428,5 +428,42 @@ def test_links_of_untidy_lists(spark):
     )
     got = P.page_links(df, LinkProfile(), UrlProfile(), in_scope_only=False).orderBy("pos").collect()
     assert [(r.branch_url[-3:], r.branch_name, r.depth, r.is_up_link) for r in got] == [
-        ("a/1", "", 0, True), ("b/2", "in", 1, True), ("c/3", "out", 0, False),
+        ("a/1", "", 0, True), ("b/2", "in", 1, False), ("c/3", "out", 0, False),
     ]
+
+
+UP, IN = '<li class="zg-browse-up">', '<ul class="zg-browse">'
+
+
+@pytest.mark.parametrize(("html", "want"), [
+    # The next item ends the one before, in the same list only.
+    (f"{IN}{UP}<a>1</a><li><a>2</a></ul><a>3</a>", [(0, True), (0, False), (0, False)]),
+    (f"{IN}{UP}<a>1</a>{IN}<li><a>2</a><li><a>3</a></ul><a>4</a><li><a>5</a></ul>", [(0, True), (1, True), (1, True), (0, True), (0, False)]),
+    # The end of a list ends its open items; the end of an item does not reach out of its list.
+    (f"{IN}{UP}{IN}</li><a>1</a></ul><a>2</a></li><a>3</a></ul><a>4</a>", [(1, True), (0, True), (0, False), (0, False)]),
+    (f"{IN}{UP}<ol><li><a>1</a></ul><a>2</a>", [(0, True), (0, False)]),
+    (f"{IN}<ol>{UP}<a>1</a><li><a>2</a></ol><a>3</a></ul></ul></li><a>4</a>", [(0, True), (0, False), (0, False), (0, False)]),
+    (f"{IN}{IN}{IN}<li><a>1</a>", [(2, False)]),
+])
+def test_implied_end_tags(spark, html, want):
+    for i in range(1, 10):
+        html = html.replace(f"<a>{i}<", f'<a href="/gp/bestsellers/x/{i}">{i}<')
+    got = P.page_links(pages_of(spark, html), LinkProfile(), UrlProfile(), in_scope_only=False).orderBy("pos").collect()
+    assert [(r.depth, r.is_up_link) for r in got] == want
+
+
+def test_many_links_of_one_page(spark):
+    """More links than fit one run, in page order; four times the links take about four times as long."""
+    import time
+
+    def seconds(n):
+        df = pages_of(spark, IN + "".join(f'<li><a href="/gp/bestsellers/x/{i}">{i}</a>' for i in range(n))).cache()
+        df.count()
+        start = time.perf_counter()
+        got = P.page_links(df, LinkProfile(), UrlProfile(), in_scope_only=False).select("branch_name", "depth").collect()
+        took = time.perf_counter() - start
+        assert [(r.branch_name, r.depth) for r in got] == [(str(i), 0) for i in range(n)]
+        return took
+
+    seconds(100)
+    assert seconds(12_000) < 10 * seconds(3_000) + 1
