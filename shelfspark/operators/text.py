@@ -31,13 +31,18 @@ def cut_noise(df: DataFrame, column: str, out: str, tokens=X.NOISE_TOKENS, longe
 
 
 def strip_links(
-    df: DataFrame, column: str, out: str, keywords: Column | None = None, ascii_only: bool = False
+    df: DataFrame, column: str, out: str, keywords: Column | None = None, ascii_only: bool = False,
+    longest: int = X.MAX_BODY, paragraphs: int = X.PARAGRAPHS, most: int = X.MAX_KEYWORDS, longest_tag: int = X.MAX_TAG,
 ) -> DataFrame:
-    """Text without links, with a keyword tail; the ASCII form is re-paragraphed."""
+    """Text without links, with a keyword tail; the ASCII form is re-paragraphed.
+
+    Limits, of all of which 0 means none: characters of the result, paragraphs (of the ASCII
+    form), keywords in the tail, characters of a tag.
+    """
     body = X.without_links(F.col(column), ascii_only)
     if ascii_only:
-        body = let(body, lambda b: X.paragraphs(b))
-    return df.withColumn(out, X.with_tail(body, keywords))
+        body = let(body, lambda b: X.paragraphs(b, paragraphs))
+    return df.withColumn(out, X.with_tail(body, keywords, longest, most, longest_tag))
 
 
 def suffix_title(df: DataFrame, column: str, out: str, **options) -> DataFrame:
@@ -237,21 +242,31 @@ def split_tokens(df: DataFrame, key: str, column: str) -> DataFrame:
 
 
 def compose_description(
-    df: DataFrame, column: str, prefix: str = "", out: str = "description_out", body_max: int = 1500
+    df: DataFrame, column: str, prefix: str = "", out: str = "description_out", body_max: int = 1500,
+    longest: int = X.MAX_BODY, noise_max: int = X.NOISE_MAX,
 ) -> DataFrame:
-    """Prefix line and noise-free body, links removed."""
-    body = F.trim(F.left(X.cut_noise(F.col(column)), F.lit(body_max)))
+    """Prefix line and noise-free body, links removed.
+
+    Limits in characters, of all of which 0 means none: the body, the result, the noise-free text.
+    """
+    body = X.cut_noise(F.col(column), longest=noise_max)
+    body = F.trim(F.left(body, F.lit(body_max)) if body_max else body)
     parts = F.filter(F.array(F.lit(prefix.strip()), body), lambda p: p != "")
     return df.withColumn(
-        out, X.with_tail(X.without_links(F.array_join(parts, "\n\n")), None)
+        out, X.with_tail(X.without_links(F.array_join(parts, "\n\n")), None, longest)
     )
 
 
 def template_description(
     df: DataFrame, title: str, column: str, keywords: Column | None = None, prefix: str = "",
-    out: str = "description_out",
+    out: str = "description_out", longest: int = X.MAX_BODY, paragraphs: int = X.PARAGRAPHS,
+    most: int = X.MAX_KEYWORDS, longest_tag: int = X.MAX_TAG,
 ) -> DataFrame:
-    """Description from the title and the first four sentences of the text."""
+    """Description from the title and the first four sentences of the text.
+
+    Limits, of all of which 0 means none: characters of the result, paragraphs, keywords in
+    the tail, characters of a tag.
+    """
     join = lambda a, n: F.array_join(F.slice(a, n, 2), " ")
 
     def assemble(points: Column) -> Column:
@@ -266,12 +281,12 @@ def template_description(
         )
 
     body = let(X.sentences(F.col(column), X.PLAIN_END, weak=False), assemble)
-    body = let(X.without_links(body, ascii_only=True), lambda b: X.paragraphs(b))
-    text = X.with_tail(body, keywords)
+    body = let(X.without_links(body, ascii_only=True), lambda b: X.paragraphs(b, paragraphs))
+    text = X.with_tail(body, keywords, longest, most, longest_tag)
     lead = prefix.strip()
     if lead:
-        text = let(text, lambda t: X.rstrip(F.left(
-            F.when(F.lower(t).contains(lead.lower()), t).otherwise(
-                strip_ws(F.concat(F.lit(lead + "\n\n"), t))
-            ), F.lit(X.MAX_BODY))))
+        text = let(text, lambda t: F.when(F.lower(t).contains(lead.lower()), t).otherwise(
+            strip_ws(F.concat(F.lit(lead + "\n\n"), t))
+        ))
+        text = X.rstrip(F.left(text, F.lit(longest)) if longest else text)
     return df.withColumn(out, text)

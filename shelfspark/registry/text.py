@@ -148,6 +148,42 @@ STRIP_ASCII_SQL = (
 )
 
 
+# ---- the same without the limits of length and number ------------------------------
+def _uncut(sql: str) -> str:
+    """The SQL of a cut form without its limits."""
+    for limit in ("2200", "5000", "1500"):
+        sql = sql.replace(limit, "2000000000")
+    return sql.replace("ps[1:4]", "ps")
+
+
+def cut_noise_whole(spark, sf):
+    return O.cut_noise(_docs(spark, sf), "text", "body", NOISE, 0).select("doc_id", "body")
+
+
+def strip_links_whole(spark, sf):
+    words = F.array(F.lit("Steel Pan!"), F.lit("steel pan"), F.lit("é"), F.lit("#Pots & Pans"), F.lit("-"))
+    return O.strip_links(_with_links(spark, sf), "text", "body", words, longest=0, most=0, longest_tag=0).select("doc_id", "body")
+
+
+def strip_links_ascii_whole(spark, sf):
+    out = O.strip_links(_with_links(spark, sf), "text", "body", ascii_only=True, longest=0, paragraphs=0)
+    return out.select("doc_id", "body")
+
+
+def compose_description_whole(spark, sf):
+    out = O.compose_description(
+        _docs(spark, sf), "text", " Deal of the day ", "description", body_max=0, longest=0, noise_max=0
+    )
+    return out.select("doc_id", "description")
+
+
+def template_description_whole(spark, sf):
+    docs = _docs(spark, sf).withColumn("title", F.substring_index("text", " ", 3))
+    words = X.keywords(F.lit("Steel Pan, The Best"), F.col("text"))
+    out = O.template_description(docs, "title", "text", words, "Watch till the end", "description", longest=0, paragraphs=0)
+    return out.select("doc_id", "description")
+
+
 def suffix_title(spark, sf):
     """Titles from document starts; some already end in a suffix variant."""
     first = F.substring_index("text", "\n", 1)
@@ -509,6 +545,7 @@ QUERIES = {
         ensure_lines,
         word_budget, json_from_text, jsonl_log, classify_errors, retry_decision, tokens,
         compose_description, template_description,
+        cut_noise_whole, strip_links_whole, strip_links_ascii_whole, compose_description_whole, template_description_whole,
     )
 }
 SQL = {
@@ -532,4 +569,9 @@ SQL = {
     "tokens": TOKENS_SQL,
     "compose_description": COMPOSE_SQL,
     "template_description": TEMPLATE_SQL,
+    "cut_noise_whole": _uncut("WITH " + _cut_sql("text") + "SELECT doc_id, body FROM cut"),
+    "strip_links_whole": _uncut(STRIP_LINKS_SQL),
+    "strip_links_ascii_whole": _uncut(STRIP_ASCII_SQL),
+    "compose_description_whole": _uncut(COMPOSE_SQL),
+    "template_description_whole": _uncut(TEMPLATE_SQL),
 }
