@@ -36,13 +36,21 @@ def crawl_priority(depth: Column) -> Column:
 
 
 # ---- counters and load ------------------------------------------------------------
-def _slices(df: DataFrame, ts: str, seconds: float | None) -> Column | None:
-    """Time chunk of a fixed or measured length; null for prepared rows."""
-    if chunked.CHUNK in df.columns:
-        return None
+def _slices(df: DataFrame, ts: str, seconds: float | None) -> Column:
+    """Time chunk of a fixed or measured length."""
     return chunked.by_time(ts, seconds) if seconds else chunked.by_quantiles(df, ts)
 
 
+def _rates(now: tuple[str, str, str], before: tuple[str, str, str]) -> tuple[Column, Column]:
+    """(responses per second, error rate) between two ticks of (time, responses, errors); null without a tick before."""
+    (t, r, e), (t0, r0, e0) = now, before
+    seconds = (epoch_micros(t) - epoch_micros(t0)) / F.lit(1e6)
+    dr = F.greatest(F.lit(0), F.col(r) - F.col(r0))
+    de = F.greatest(F.lit(0), F.col(e) - F.col(e0))
+    has = F.col(t0).isNotNull()
+    return F.when(has, dr / F.greatest(F.lit(0.2), seconds)), F.when(has, de / F.greatest(F.lit(1), dr + de))
+
+
 def counter_rates(
     ticks: DataFrame,
     source: str,
@@ -55,20 +63,11 @@ def counter_rates(
 
     ``order`` starts with the timestamp. A source's first tick has no rates.
     """
-    ts = order[0]
-    df = chunked.previous(
-        ticks, [source], order, _slices(ticks, ts, slice_seconds),
-        {"_t": ts, "_r": responses, "_e": errors},
-    )
-    seconds = (epoch_micros(ts) - epoch_micros("_t")) / F.lit(1e6)
-    dr = F.greatest(F.lit(0), F.col(responses) - F.col("_r"))
-    de = F.greatest(F.lit(0), F.col(errors) - F.col("_e"))
-    has = F.col("_t").isNotNull()
-    return (
-        df.withColumn("rps", F.when(has, dr / F.greatest(F.lit(0.2), seconds)))
-        .withColumn("error_rate", F.when(has, de / F.greatest(F.lit(1), dr + de)))
-        .drop("_t", "_r", "_e")
-    )
+    now = (order[0], responses, errors)
+    before = ("_t", "_r", "_e")
+    df = chunked.swept(ticks, [source], order, _slices(ticks, order[0], slice_seconds), [dict(zip(before, now, strict=True))])
+    rps, error_rate = _rates(now, before)
+    return df.withColumn("rps", rps).withColumn("error_rate", error_rate).drop(*before)
 
 
 #: Weights of cpu, ram and gpu load.
@@ -89,11 +88,9 @@ def ewma(
     alpha: float = 0.35,
     out: str = "smoothed",
     slice_seconds: float | None = None,
-    base: DataFrame | None = None,
 ) -> DataFrame:
     """Exponentially smoothed value per source, starting from 0."""
-    chunk = _slices(df, order[0], slice_seconds)
-    return chunked.smoothed(df, [source], order, chunk, value, alpha, out, base)
+    return chunked.smoothed(df, [source], order, _slices(df, order[0], slice_seconds), value, alpha, out)
 
 
 def load_class(
@@ -131,16 +128,18 @@ def load_metrics(
 ) -> DataFrame:
     """Rates, smoothed pressure and load class of counter ticks in one go.
 
-    Rows are cut and shuffled once; every step windows the same chunks.
+    One pass over the chunks gives the two ticks before each and the smoothed pressure; the
+    rate of the tick before follows from its own two.
     """
     x = pressure(F.col("cpu"), F.col("ram"), F.col("gpu"))
-    base = chunked.prepare(
-        ticks.withColumn("pressure", x), [source], _slices(ticks, order[0], slice_seconds)
+    now, one, two = (order[0], "responses", "errors"), ("_t", "_r", "_e"), ("_t2", "_r2", "_e2")
+    df = chunked.swept(
+        ticks.withColumn("pressure", x), [source], order, _slices(ticks, order[0], slice_seconds),
+        [dict(zip(one, now, strict=True)), dict(zip(two, now, strict=True))], ("pressure", 0.35, "smoothed"),
     )
-    df = counter_rates(base, source, order)
-    df = chunked.previous(df, [source], order, None, {"previous_rps": "rps"})
-    df = ewma(df, source, order, "pressure", base=base)
-    return chunked.finish(load_class(df, source, order))
+    rps, error_rate = _rates(now, one)
+    df = df.withColumns({"rps": rps, "error_rate": error_rate, "previous_rps": _rates(one, two)[0]}).drop(*one, *two)
+    return load_class(df, source, order)
 
 
 # ---- segment timing ---------------------------------------------------------------

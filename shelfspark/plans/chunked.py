@@ -15,9 +15,11 @@ an executor loss gives the same rows.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +31,6 @@ CHUNK, GROUP = "_chunk", "_group"
 
 KEY = "_key"
 ROWS_PER_CHUNK = 1_000_000
-_STRIDE = 64
 
 
 def _div(value: Column, width: Column | int) -> Column:
@@ -47,37 +48,58 @@ def by_time(column: str, seconds: float) -> Column:
 
 
 def by_quantiles(df: DataFrame, column: str, rows: int = ROWS_PER_CHUNK) -> Column:
-    """Chunk between approximate quantiles of an order column (number or timestamp).
+    """Chunk between quantiles of an order column (number or timestamp), taken from a sample.
 
     A chunk holds about ``rows`` rows of the whole table, hence no more of any key,
-    wherever the values lie: an outlier, a burst or ids like hashes do not matter. One
-    small aggregate over one column; a bound for each ``rows`` rows reaches the driver.
+    wherever the values lie: an outlier, a burst or ids like hashes do not matter. The
+    sample (by hash of the value, ``SAMPLE`` rows for each chunk) is sorted by Spark; its
+    bounds, a number for each ``rows`` rows of the table, are broadcast and searched by
+    bisection. The plan does not grow with the table.
     """
     kind = dict(df.dtypes)[column]
     value = epoch_micros(column) if kind.startswith("timestamp") else F.col(column)
-    n = df.select(column).agg(F.count(column)).first()[0]
-    parts = math.ceil(n / rows)
-    if parts < 2:
+    n = df.agg(F.count(column)).first()[0]
+    if n <= rows:
         return F.lit(0).cast("bigint")
-    shares = [i / parts for i in range(1, parts)]
-    bounds = sorted(set(df.select(F.percentile_approx(value, shares, max(10_000, 50 * parts))).first()[0]))
-    # Bounds below a value: whole runs of _STRIDE bounds first, then the rest of one run.
-    runs = [bounds[i : i + _STRIDE] for i in range(0, len(bounds), _STRIDE)]
-    below = lambda known, x: F.size(F.filter(known, lambda b: b < x))
-    tops = F.array(*[F.lit(r[-1]) for r in runs])
-    table = F.array(*[F.array(*[F.lit(b) for b in r]) for r in runs])
-    full = below(tops, value)
-    inner = F.coalesce(below(F.get(table, full), value), F.lit(0))
-    return F.coalesce(full * _STRIDE + F.greatest(inner, F.lit(0)), F.lit(0)).cast("bigint")
+    rate, span = min(1.0, SAMPLE / rows), 1 << 30
+    sample = df.select(value.alias("v")).where(F.col("v").isNotNull() & (F.pmod(F.xxhash64("v"), F.lit(span)) < int(rate * span)))
+    step = max(1, round(rows * rate))
+    runs = sample.orderBy("v").mapInArrow(_thinned(max(1, step // 4)), f"v {sample.schema['v'].dataType.simpleString()}, n long").collect()
+    bounds, held = [], 0
+    for r in sorted((r.v, r.n) for r in runs):
+        held += r[1]
+        if held >= step:
+            bounds, held = [*bounds, r[0]], 0
+    shared = df.sparkSession.sparkContext.broadcast(np.unique(np.array(bounds)))
 
+    @F.arrow_udf("bigint")
+    def chunk(values: pa.Array) -> pa.Array:
+        known = values.is_valid().to_numpy(zero_copy_only=False)
+        out = np.zeros(len(values), np.int64)
+        out[known] = np.searchsorted(shared.value, values.drop_null().to_numpy(zero_copy_only=False), "left")
+        return pa.array(out)
 
-def prepare(df: DataFrame, keys: Sequence[str], chunk: Column) -> DataFrame:
-    """Attach key and chunk once, so that several steps in a row share one shuffle."""
-    return keyed(df.withColumn(CHUNK, chunk), keys)[0]
+    return chunk(value)
 
 
-def finish(df: DataFrame) -> DataFrame:
-    return df.drop(KEY, CHUNK)
+#: Sampled rows for each chunk.
+SAMPLE = 64
+
+
+def _thinned(step: int):
+    """Of sorted values every ``step``-th and the last, with the number of values up to it."""
+
+    def rows(batches):
+        since, last = 0, None
+        for batch in batches:
+            if batch.num_rows:
+                at = np.arange(step - 1 - since % step, batch.num_rows, step)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(np.full(len(at), step))], names=["v", "n"])
+                since, last = (since + batch.num_rows) % step, batch.column(0).slice(batch.num_rows - 1)
+        if since:
+            yield pa.RecordBatch.from_arrays([last, pa.array([since])], names=["v", "n"])
+
+    return rows
 
 
 def keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -86,11 +108,7 @@ def keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return (df.withColumn(KEY, F.struct(*keys)), [KEY]) if keys else (df, [])
 
 
-def _ready(
-    df: DataFrame, keys: Sequence[str], chunk: Column | None
-) -> tuple[DataFrame, list[str]]:
-    if chunk is None:  # prepared by the caller
-        return df, [KEY] if KEY in df.columns else []
+def _ready(df: DataFrame, keys: Sequence[str], chunk: Column) -> tuple[DataFrame, list[str]]:
     return keyed(df.withColumn(CHUNK, chunk), keys)
 
 
@@ -162,143 +180,172 @@ def running(
     return out.select(*columns, *added)
 
 
-def previous(
+def swept(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    chunk: Column | None,
-    values: dict[str, str],
+    chunk: Column,
+    back: Sequence[dict[str, str]] = (),
+    smooth: tuple[str, float, str] | None = None,
 ) -> DataFrame:
-    """Add the value of each column in the row before, null for a key's first row."""
-    columns = df.columns
-    df, keys = _ready(df, keys, chunk)
-    payload = F.struct(*[F.col(v).alias(n) for n, v in values.items()])
-    last = df.groupBy(*keys, CHUNK).agg(F.max_by(payload, F.struct(*order)).alias("_last"))
-    last = last.withColumn(GROUP, _div(F.col(CHUNK), FAN))
-    # The last row of the nearest earlier chunk: within the group of chunks, else
-    # the last row of the nearest earlier group.
-    groups = last.groupBy(*keys, GROUP).agg(F.max_by("_last", CHUNK).alias("_glast"))
-    groups = groups.withColumn(
-        "_glast", F.lag("_glast").over(Window.partitionBy(*keys).orderBy(GROUP))
-    )
-    last = last.withColumn(
-        "_plast", F.lag("_last").over(Window.partitionBy(*keys, GROUP).orderBy(CHUNK))
-    )
-    carried = _join_back(last.drop("_last"), groups, [*keys, GROUP]).select(
-        *keys, CHUNK, F.coalesce("_plast", "_glast").alias("_carry")
-    )
-    local = Window.partitionBy(*keys, CHUNK).orderBy(*order)
-    out = df.withColumn("_prev", F.lag(payload).over(local)).withColumn(
-        "_rn", F.row_number().over(local)
-    )
-    out = _join_back(out, carried, [*keys, CHUNK])
-    prev = F.when(F.col("_rn") == 1, F.col("_carry")).otherwise(F.col("_prev"))
-    out = out.withColumn("_prev", prev)
-    return out.select(
-        *columns,
-        *[F.col(f"_prev.{n}").alias(n) for n in values],
-    )
+    """Values of the rows before, and s = (1-alpha)*s + alpha*x, per key from 0, in one pass.
 
+    ``back[0]`` maps new columns to those of the row before, ``back[1]`` (the same columns)
+    to those of the row before that; null where a key has none. ``smooth`` is (x, alpha, s); a null x
+    counts as 0.
 
-def smoothed(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    chunk: Column | None,
-    value: str,
-    alpha: float,
-    name: str,
-    base: DataFrame | None = None,
-) -> DataFrame:
-    """Add s = (1-alpha)*s + alpha*x per key, starting from 0.
-
-    ``base`` may name an earlier form of ``df`` (same rows, prepared alike) that
-    chunk summaries are taken from, so that later joins are not run twice.
-
-    Older rows weigh (1-alpha)^k. Past ``depth`` rows that is under 1e-20 of the
-    input, below what a double keeps, so a frame of ``depth`` rows (chunks) folds
-    to the same number as the whole history.
+    Rows are sorted once per (key, chunk) and walked in Arrow batches. What a chunk leaves to
+    the next (its last rows, its own s and the weight of what came before it) is found by
+    the same walk over the needed columns alone, and handed on from chunk to chunk in a walk over one
+    row a chunk; no history is cut off.
     """
-    keep = 1.0 - alpha
-    depth = max(1, math.ceil(math.log(1e-20) / math.log(keep)))
-    columns = df.columns
+    columns, kinds = df.columns, dict(df.dtypes)
     df, keys = _ready(df, keys, chunk)
-    local = Window.partitionBy(*keys, CHUNK).orderBy(*order)
-    frame = local.rowsBetween(-(depth - 1), Window.currentRow)
-
-    def fold(values: Column) -> Column:
-        return F.aggregate(
-            values, F.lit(0.0), lambda s, x: s * F.lit(keep) + x * F.lit(alpha)
-        )
-
-    def windowed(rows: DataFrame) -> DataFrame:
-        return rows.select(
-            "*",
-            fold(F.collect_list(F.coalesce(F.col(value), F.lit(0.0))).over(frame)).alias("_own"),
-            F.row_number().over(local).alias("_rn"),
-        )
-
-    own = windowed(df)
-    # Each chunk ends with its own smoothed value and shrinks what came before.
-    ends = (own if base is None else windowed(base)).groupBy(*keys, CHUNK).agg(
-        F.max_by("_own", "_rn").alias("_end"), F.max("_rn").alias("_chunk_rows")
-    )
-    # Every chunk has a row at least, so ``depth`` chunks cover ``depth`` rows.
-    ends = ends.withColumn(GROUP, _div(F.col(CHUNK), FAN))
-    carry = _carry(ends, keys, depth, keep)
-    out = _join_back(own, carry, [*keys, CHUNK])
-    value_col = F.col("_own") + F.coalesce(F.col("_carry"), F.lit(0.0)) * F.pow(
-        F.lit(keep), F.col("_rn")
-    )
-    return out.select(*columns, value_col.alias(name))
-
-
-def _carry(ends: DataFrame, keys: Sequence[str], depth: int, keep: float) -> DataFrame:
-    """Smoothed value just before each chunk, from at most ``depth`` earlier chunks."""
-
-    def fold(pairs: Column) -> Column:
-        return F.aggregate(
-            pairs,
-            F.struct(F.lit(0.0).alias("s"), F.lit(1.0).alias("w")),
-            lambda acc, p: F.struct(
-                (acc["s"] * F.pow(F.lit(keep), p["n"]) + p["e"]).alias("s"),
-                (acc["w"] * F.pow(F.lit(keep), p["n"])).alias("w"),
-            ),
-        )
-
-    pair = F.struct(F.col("_end").alias("e"), F.col("_chunk_rows").alias("n"))
-    inner = Window.partitionBy(*keys, GROUP).orderBy(CHUNK)
-    inside = fold(F.collect_list(pair).over(inner.rowsBetween(-depth, -1)))
-    tail = ends.withColumn(
-        "_back", F.row_number().over(Window.partitionBy(*keys, GROUP).orderBy(F.desc(CHUNK)))
-    ).filter(F.col("_back") <= depth)
-    groups = tail.groupBy(*keys, GROUP).agg(
-        fold(
-            F.array_sort(
-                F.collect_list(
-                    F.struct(
-                        F.col(CHUNK).alias("c"), F.col("_end").alias("e"), F.col("_chunk_rows").alias("n")
-                    )
-                )
-            )
-        ).alias("_f")
-    )
-    groups = groups.select(
-        *keys, GROUP,
-        F.struct(F.col("_f.s").alias("e"), F.col("_f.w").alias("w")).alias("_p"),
-    )
-    across = Window.partitionBy(*keys).orderBy(GROUP).rowsBetween(-depth, -1)
-    groups = groups.select(
-        *keys, GROUP,
-        F.aggregate(
-            F.collect_list("_p").over(across),
-            F.lit(0.0),
-            lambda s, p: s * p["w"] + p["e"],
-        ).alias("_gs"),
-    )
-    out = ends.select(*keys, CHUNK, GROUP, inside.alias("_in"))
-    out = _join_back(out, groups, [*keys, GROUP])
-    return out.select(
-        *keys, CHUNK,
-        (F.coalesce(F.col("_gs"), F.lit(0.0)) * F.col("_in.w") + F.col("_in.s")).alias("_carry"),
+    place = [*keys, CHUNK]
+    held = {v: f"_b{i}" for i, v in enumerate(back[0].values())} if back else {}
+    value, alpha, name = smooth or (None, 0.0, None)
+    x = F.coalesce(F.col(value).cast("double"), F.lit(0.0)) if smooth else F.lit(0.0)
+    flags = [F.col(f"{KEY}.{f.name}").isNull() for f in df.schema[KEY].dataType.fields] if keys else []
+    mark = F.xxhash64(*place, *flags).alias("_mark")
+    sortable = [F.col(c).alias(f"_o{i}") for i, c in enumerate(order)]
+    own = df.select(*place, mark, *sortable, *[F.col(v).alias(n) for v, n in held.items()], x.alias("_x"))
+    by = [f"_o{i}" for i in range(len(order))]
+    place_kind = [f"`{c}` {own.schema[c].dataType.simpleString()}" for c in place]
+    last = [f"{n}{d} {kinds[v]}" for v, n in held.items() for d in ("l", "s")]
+    ends = own.repartition(*place).sortWithinPartitions(*place, *by).mapInArrow(
+        _ends(place, list(held.values()), alpha), ", ".join([*place_kind, *last, "_n long", "_s double"])
     )
+    mark = F.xxhash64(*keys, *flags).alias("_mark") if keys else F.lit(0).cast("long").alias("_mark")
+    ends = ends.select("*", mark)
+    ends = (ends.repartition(*keys) if keys else ends.coalesce(1)).sortWithinPartitions(*place)
+    carry = ends.mapInArrow(_carried(place, list(held.values()), alpha), ", ".join([*place_kind, *last, "_s double"]))
+    mark = F.xxhash64(*place, *flags).alias("_mark")
+    joined = df.repartition(*place).join(carry, place, "left").select("*", mark, x.alias("_x")).sortWithinPartitions(*place, *order)
+    added = [(n, held[v], d, kinds[v]) for d, names in zip(("l", "s"), back) for n, v in names.items()]
+    source = {n: v for v, n in held.items()}
+    schema = [f"`{c}` {k}" for c, k in kinds.items()] + [f"`{n}` {k}" for n, _, _, k in added] + ([f"`{name}` double"] if smooth else [])
+    return joined.mapInArrow(_walked(columns, source, added, alpha, name), ", ".join(schema))
+
+
+def _starts(marks: np.ndarray, before: int | None) -> np.ndarray:
+    out = np.ones(len(marks), dtype=bool)
+    out[1:] = marks[1:] != marks[:-1]
+    out[0] = before is None or marks[0] != before
+    return out
+
+
+def _shifted(column: pa.Array, start: np.ndarray, at_start: pa.Array, before: pa.Array | None) -> pa.Array:
+    """The value one row back; ``at_start`` where a group starts, ``before`` from the batch before."""
+    head = before if before is not None else pa.nulls(1, column.type)
+    return pc.if_else(pa.array(start), at_start, pa.concat_arrays([head, column.slice(0, len(column) - 1)]))
+
+
+def _smooth(x: list[float], start: list[bool], at_start: list[float], s: float, alpha: float) -> list[float]:
+    keep, out = 1.0 - alpha, []
+    for value, new, first in zip(x, start, at_start, strict=True):
+        s = (first if new else s) * keep + value * alpha
+        out.append(s)
+    return out
+
+
+def _ends(place: list[str], held: list[str], alpha: float):
+    """One row for each chunk of sorted rows: its last two rows, their number, its own s."""
+
+    def rows(batches):
+        mark, n, s, last = None, 0, 0.0, None
+        names = [*place, *(f"{h}{d}" for h in held for d in ("l", "s")), "_n", "_s"]
+
+        def row(batch, i, second, count, value):
+            cells = [batch.column(c).slice(i, 1) for c in place]
+            for h in held:
+                cells += [batch.column(h).slice(i, 1), second[h]]
+            return pa.RecordBatch.from_arrays([*cells, pa.array([count]), pa.array([value])], names=names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            marks = batch.column("_mark").to_numpy()
+            start = _starts(marks, mark)
+            smoothed = _smooth(batch.column("_x").to_pylist(), start.tolist(), [0.0] * batch.num_rows, s, alpha)
+            firsts = np.flatnonzero(start).tolist()
+            if last is not None and start[0]:
+                yield row(*last)
+            for k, i in enumerate(firsts if firsts and firsts[0] == 0 else [0, *firsts]):
+                stop = firsts[np.searchsorted(firsts, i, "right")] if np.searchsorted(firsts, i, "right") < len(firsts) else batch.num_rows
+                n = stop - i if start[i] else n + stop - i
+                earlier = {h: batch.column(h).slice(stop - 2, 1) if stop - 2 >= i else (last[0].column(h).slice(last[1], 1) if not start[i] else pa.nulls(1, batch.column(h).type)) for h in held}
+                last = (batch, stop - 1, earlier, n, smoothed[stop - 1])
+                if stop < batch.num_rows:
+                    yield row(*last)
+            mark, s = int(marks[-1]), smoothed[-1]
+        if last is not None:
+            yield row(*last)
+
+    return rows
+
+
+def _carried(place: list[str], held: list[str], alpha: float):
+    """What comes before each chunk, from rows of chunks sorted by key: the last two rows, and s."""
+
+    def rows(batches):
+        mark, s, last = None, 0.0, {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            marks = batch.column("_mark").to_numpy()
+            start = _starts(marks, mark)
+            sizes = batch.column("_n").to_numpy()
+            before = []
+            for new, n, e in zip(start.tolist(), sizes.tolist(), batch.column("_s").to_pylist(), strict=True):
+                s = 0.0 if new else s
+                before.append(s)
+                s = s * (1.0 - alpha) ** n + e
+            cells = []
+            for h in held:
+                # A chunk of one row leaves that row and the last one before it.
+                ends, seconds = batch.column(f"{h}l"), batch.column(f"{h}s")
+                none = pa.nulls(batch.num_rows, ends.type)
+                lasts = _shifted(ends, start, none, last.get((h, "l")))
+                seconds = pc.if_else(pa.array(sizes == 1), lasts, seconds)
+                cells += [lasts, _shifted(seconds, start, none, last.get((h, "s")))]
+                last[h, "l"], last[h, "s"] = ends.slice(batch.num_rows - 1), seconds.slice(batch.num_rows - 1)
+            mark = int(marks[-1])
+            names = [*place, *(f"{h}{d}" for h in held for d in ("l", "s")), "_s"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in place), *cells, pa.array(before)], names=names)
+
+    return rows
+
+
+def _walked(columns: list[str], source: dict[str, str], added: list[tuple], alpha: float, name: str | None):
+    """Rows sorted by chunk, with the columns of the rows before and the smoothed value."""
+
+    def rows(batches):
+        mark, s, last = None, 0.0, {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            marks = batch.column("_mark").to_numpy()
+            start = _starts(marks, mark)
+            made = {}
+            for h, v in source.items():
+                one = _shifted(batch.column(v), start, batch.column(f"{h}l"), last.get((h, "l")))
+                made[h, "l"], made[h, "s"] = one, _shifted(one, start, batch.column(f"{h}s"), last.get((h, "s")))
+                last[h, "l"], last[h, "s"] = batch.column(v).slice(batch.num_rows - 1), one.slice(batch.num_rows - 1)
+            cells = [batch.column(c) for c in columns] + [made[h, d] for _, h, d, _ in added]
+            if name is not None:
+                smoothed = _smooth(batch.column("_x").to_pylist(), start.tolist(), batch.column("_s").to_pylist(), s, alpha)
+                cells, s = [*cells, pa.array(smoothed)], smoothed[-1]
+            mark = int(marks[-1])
+            yield pa.RecordBatch.from_arrays(cells, names=[*columns, *(n for n, *_ in added), *([name] if name else [])])
+
+    return rows
+
+
+def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, values: dict[str, str]) -> DataFrame:
+    """Add the value of each column in the row before, null for a key's first row."""
+    return swept(df, keys, order, chunk, [values])
+
+
+def smoothed(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, value: str, alpha: float, name: str) -> DataFrame:
+    """Add s = (1-alpha)*s + alpha*x per key, starting from 0; a null x counts as 0."""
+    return swept(df, keys, order, chunk, smooth=(value, alpha, name))

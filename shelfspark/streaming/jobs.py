@@ -181,10 +181,9 @@ def tick_metrics(ticks: DataFrame, source: str, seconds: float) -> DataFrame:
         F.col("errors") / F.greatest(F.lit(1), F.col("responses") + F.col("errors")),
     )
     df = df.withColumn("x", S.pressure(F.col("cpu"), F.col("ram"), F.col("gpu")))
-    base = chunked.prepare(df, [source], chunked.by_time("tick", seconds * TICKS_PER_CHUNK))
-    df = chunked.previous(base, [source], ["tick"], None, {"previous_rps": "rps"})
-    df = S.ewma(df, source, ["tick"], "x", base=base)
-    return chunked.finish(S.load_class(df, source, ["tick"]))
+    chunk = chunked.by_time("tick", seconds * TICKS_PER_CHUNK)
+    df = chunked.swept(df, [source], ["tick"], chunk, [{"previous_rps": "rps"}], ("x", 0.35, "smoothed"))
+    return S.load_class(df, source, ["tick"])
 
 
 def _partial_slices(source: str, gauges: list[str], micros: int):
