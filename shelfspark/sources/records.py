@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from shelfspark.functions.core import coalesce_fields, let, strip_ws
 from shelfspark.operators.queues import dedupe_first
+from shelfspark.sources.arrays import read_elements
 
 _STRICT = {"allowSingleQuotes": "false"}
 
@@ -37,12 +38,19 @@ def decode_records(df: DataFrame, payload: str, schema: T.StructType, key: str)
 def read_records(
     spark: SparkSession, path: str, schema: T.StructType, key: str
 ) -> DataFrame:
-    """Rows of JSON-array files. A file is one value, so a big table should come
-    as many files (or as JSON lines, which Spark splits)."""
-    files = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), "value"
-    )
-    return decode_records(files, "value", schema, key)
+    """Rows of JSON-array files of any size: a file is split between tasks.
+
+    Files that are no array, elements that are no object and rows with a blank key are dropped.
+    """
+    elements, _, _ = read_elements(spark, path)
+    rows = elements.where("shape = 'array'").select("file", "ord", _value("element").alias("_e")).filter(F.col("_e").startswith("{"))
+    rows = rows.withColumn("_r", F.from_json("_e", schema, _STRICT))
+    return rows.select("file", "ord", "_r.*").filter(F.length(F.trim(F.col(key).cast("string"))) > 0)
+
+
+def _value(element: str) -> Column:
+    """An element's text: that of a string without quotes, an object as JSON."""
+    return F.get(F.from_json(F.concat(F.lit("["), F.col(element), F.lit("]")), "array<string>", _STRICT), 0)
 
 
 def decode_url_lists(df: DataFrame, payload: str) -> DataFrame:
@@ -96,21 +104,44 @@ def decode_url_lists(df: DataFrame, payload: str) -> DataFrame:
     return out.filter(F.col("url") != "").withColumn("ord", F.col("ord").cast("bigint"))
 
 
+def _first_of(element: Column, first: str, second: str) -> Column:
+    return coalesce_fields(F.get_json_object(element, f"$.{first}"), F.get_json_object(element, f"$.{second}"))
+
+
 def read_url_list(spark: SparkSession, path: str) -> DataFrame:
-    """Unique URLs of list files, first seen first (files by name)."""
-    files = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), "value"
+    """Unique URLs of list files in any of the five shapes, first seen first (files by name).
+
+    Arrays (plain, or the only value of "results" or "urls") and files of lines are split
+    between tasks; an object with more keys is one value.
+    """
+    elements, objects, lines = read_elements(spark, path)
+    e = F.col("_e")
+    listed = F.when(e.startswith("{"), _first_of(e, "product_url", "url")).otherwise(F.trim(F.coalesce(e, F.lit(""))))
+    urls = (
+        F.when(F.col("shape") == "array", listed)
+        .when(F.col("shape") == "urls", F.trim(F.coalesce(e, F.lit(""))))
+        .when(e.startswith("{"), _first_of(e, "url", "product_url"))
+    )
+    found = elements.withColumn("_e", _value("element")).select("file", F.lit(0).cast("long").alias("block"), "ord", urls.alias("url"))
+    if objects:
+        whole = spark.read.text(objects, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+        found = found.union(decode_url_lists(whole, "value").select("file", F.lit(0).cast("long"), "ord", "url"))
+    if lines:
+        found = found.union(_lines(spark, lines))
+    return dedupe_first(found.where("url <> ''"), "url", ["file", "block", "ord"], out="url").drop("block")
+
+
+def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, block, ord, url): lines in order, by split and row in it."""
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("ord"),
+        strip_ws(F.regexp_replace("value", "^\ufeff", "")).alias("url"),
     )
-    return dedupe_first(decode_url_lists(files, "value"), "url", ["file", "ord"], out="url")
 
 
 def read_url_lines(spark: SparkSession, path: str) -> DataFrame:
     """Unique URLs of plain line files of any size: files are split, and the order
     is (file, split start, row in split)."""
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("ord"),
-        F.trim(F.regexp_replace("value", "^﻿", "")).alias("url"),
-    )
-    return dedupe_first(lines, "url", ["file", "block", "ord"], out="url").drop("block")
+    return dedupe_first(_lines(spark, path), "url", ["file", "block", "ord"], out="url").drop("block")

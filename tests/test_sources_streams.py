@@ -1,8 +1,8 @@
-import pytest
 """Files in, files out, and streams that arrive in several batches."""
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from shelfspark import schemas
@@ -91,6 +91,53 @@ def test_state_defaults_and_round_trip(spark, tmp_path):
     assert [(r.url, r.error) for r in back["errors"].collect()] == [("b", "x")]
 
 
+NASTY = [
+    {"branch_name": 'a "quoted, [{" \\', "branch_url": "u,1"}, "x, [", 7, None, [1, {"a": [2, "]}"]}], {"branch_name": "\\\\", "branch_url": "é,日,本"},
+    {"branch_name": "n" * 300 + ",", "branch_url": "long"}, {}, {"branch_url": " "}, {"branch_url": "last", "depth": 3},
+]
+
+
+@pytest.mark.parametrize("size", [64, 100_000])
+@pytest.mark.parametrize("indent", [None, 2])
+def test_arrays_are_split_between_tasks(spark, tmp_path, size, indent):
+    """The same rows however small the splits are, in strings, brackets and escapes."""
+    rows = NASTY * 4
+    write(tmp_path / "a.json", "\ufeff " + json.dumps(rows, indent=indent, ensure_ascii=False) + "\n")
+    write(tmp_path / "b.json", json.dumps(rows[:5]))
+    for i, text in enumerate(['{"branch_url":"u"}', "not, json", "", "[]", '[{"branch_url":"u"}', '["a]', '[1]]']):
+        write(tmp_path / f"bad{i}.json", text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    try:
+        elements, objects, lines = records.read_elements(spark, str(tmp_path))
+        got = sorted((r.file.rsplit("/", 1)[1], r.ord, r.element) for r in elements.collect())
+        want = [("a.json", i, x) for i, x in enumerate(rows)] + [("b.json", i, x) for i, x in enumerate(rows[:5])]
+        assert [(f, o, json.loads(t)) for f, o, t in got] == want
+        assert len(objects) == 4 and [f.rsplit("/", 1)[1] for f in lines] == ["bad1.json"]
+        if size == 64:
+            assert spark.read.text(str(tmp_path / "a.json"), lineSep=",").rdd.getNumPartitions() > 20
+        kept = records.read_records(spark, str(tmp_path), schemas.BRANCH, "branch_url")
+        urls = [x["branch_url"] for x in rows if isinstance(x, dict) and x.get("branch_url", " ").strip()]
+        assert [r.branch_url for r in kept.orderBy("file", "ord").collect()][: len(urls)] == urls
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_split_url_lists(spark, tmp_path):
+    made = [f"http://a/{i},{i}" for i in range(200)]
+    write(tmp_path / "1.json", json.dumps({"results": [{"url": u, "x": [1, 2]} for u in made[:80]]}))
+    write(tmp_path / "2.json", json.dumps({"urls": made[60:150]}, indent=1))
+    write(tmp_path / "3.json", json.dumps({"n": 3, "urls": made[140:160]}))
+    write(tmp_path / "4.txt", "\r\n".join(made[150:]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50")
+    try:
+        got = [r.url for r in records.read_url_list(spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(got) == sorted(made)
+
+
 EVENTS = "id long, k string, kind string, ts timestamp, cpu double, ram double, gpu double"
 
 
