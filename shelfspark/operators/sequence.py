@@ -143,14 +143,39 @@ def load_metrics(
 
 
 # ---- segment timing ---------------------------------------------------------------
-def _ordered_lines(text: str, order: str) -> Column:
-    return F.array_join(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))),
-            lambda s: s["t"],
-        ),
-        " ",
+#: Characters of text in one piece of a scene.
+PIECE = 100_000
+
+
+def _in_pieces(
+    lines: DataFrame, keys: Sequence[str], order: str, texts: Sequence[str], size: int, chunk_width: int
+) -> DataFrame:
+    """Adds ``piece`` (from 1): neighbours whose ``texts`` fill ``size`` characters, by a running length.
+
+    A piece exceeds ``size`` by less than one row.
+    """
+    length = sum((F.length(F.coalesce(F.col(t), F.lit(""))) + 1 for t in texts), F.lit(0)).cast("bigint")
+    ran = chunked.running(
+        lines.withColumn("_len", length), keys, [order], chunked.by_id(order, chunk_width), sums={"_run": F.col("_len")}
     )
+    piece = F.floor((F.col("_run") - F.col("_len")) / F.lit(size)) + 1
+    return ran.withColumn("piece", piece.cast("bigint")).drop("_len", "_run")
+
+
+def _joined(text: Column, order: str, sep: str = " ") -> Column:
+    """Texts of a group in order; null ones are left out."""
+    entries = F.array_sort(F.collect_list(F.when(text.isNotNull(), F.struct(F.col(order).alias("o"), text.alias("t")))))
+    return F.array_join(F.transform(entries, lambda e: e["t"]), sep)
+
+
+def join_pieces(segments: DataFrame, key: str) -> DataFrame:
+    """Scenes with their whole text in one value, where that is wanted and fits."""
+    rest = [c for c in segments.columns if c not in (key, "scene_index", "piece", "line", "focus")]
+    solid = lambda c: F.nullif(F.col(c), F.lit(""))
+    texts = [F.trim(_joined(F.col("line"), "piece")).alias("line")]
+    if "focus" in segments.columns:
+        texts = [_joined(solid("focus"), "piece", " | ").alias("focus"), F.trim(_joined(solid("line"), "piece")).alias("line")]
+    return segments.groupBy(key, "scene_index").agg(*[F.max(c).alias(c) for c in rest], *texts)
 
 
 def assign_scenes(
@@ -185,32 +210,27 @@ def split_even(
     total: Column,
     scenes: int,
     chunk_width: int = 8_192,
+    piece_size: int = PIECE,
 ) -> DataFrame:
-    """Even scenes of a script, of equal length, with the joined text of each; a
+    """Even scenes of a script, of equal length, with their text in pieces; a
     lone line over six seconds gets a stock closing line. Blank lines do not count; a
     script without other lines gets stock lines.
 
-    ``total`` is the script length in seconds. The joined text is one output
-    value per scene; use ``assign_scenes`` where a scene must not be joined.
+    ``total`` is the script length in seconds. A scene's text comes as rows (scene_index,
+    piece, line) of about ``piece_size`` characters each; ``join_pieces`` puts it together.
     """
     timed = lines.withColumn("_total", total.cast("double"))
     df = assign_scenes(
         timed.filter(F.trim(text) != ""), key, order, scenes, chunk_width
     )
-    segments = df.groupBy(key, "scene_index").agg(
-        _ordered_lines(text, "line_no").alias("line"),
-        F.max("_total").alias("_total"),
-        F.max("scenes").alias("_n"),
-    )
+    df = _in_pieces(df, [key, "scene_index"], "line_no", [text], piece_size, chunk_width)
     lone = (F.col("_n") < 2) & (F.col("_total") >= 6)
-    first = F.struct("scene_index", F.trim("line").alias("line"))
-    stock = F.struct(
-        F.lit(2).cast("bigint").alias("scene_index"), F.lit(FALLBACK_CLOSE).alias("line")
-    )
-    segments = segments.select(
-        key, "_total", F.when(lone, 2).otherwise(F.col("_n")).alias("_n"),
-        F.inline(F.when(lone, F.array(first, stock)).otherwise(F.array(first))),
+    pieces = df.groupBy(key, "scene_index", "piece").agg(
+        _joined(F.col(text), "line_no").alias("line"), F.max("_total").alias("_total"), F.max("scenes").alias("_n")
     )
+    head = {"scene_index": F.lit(2).cast("bigint"), "piece": F.lit(1).cast("bigint"), "line": F.lit(FALLBACK_CLOSE)}
+    close = pieces.filter(lone & (F.col("scene_index") == 1) & (F.col("piece") == 1)).withColumns(head)
+    segments = pieces.unionByName(close).withColumn("_n", F.when(lone, 2).otherwise(F.col("_n")))
     return _even(segments, key).unionByName(stock_scenes(timed, key, text))
 
 
@@ -288,7 +308,7 @@ def allocate_weighted(
         "duration_sec",
         F.when(last, F.round(F.col("_total") - F.col("start_sec"), 3)).otherwise(F.col("duration_sec")),
     ).drop("_n", "_total")
-    return out.unionByName(stock_scenes(every.withColumn("_total", total.cast("double")), key, "line"))
+    return out.unionByName(stock_scenes(every.withColumn("_total", total.cast("double")), key, "line").drop("piece"))
 
 
 def stock_scenes(rows: DataFrame, key: str, line: str) -> DataFrame:
@@ -300,20 +320,19 @@ def stock_scenes(rows: DataFrame, key: str, line: str) -> DataFrame:
     scene = lambda i, text: F.struct(F.lit(i).cast("bigint").alias("scene_index"), F.lit(text).alias("line"))
     first, second = scene(1, FALLBACK_LINE), scene(2, FALLBACK_CLOSE)
     two = F.col("_total") >= 6
-    found = blank.select(key, "_total", F.when(two, 2).otherwise(1).alias("_n"), F.inline(F.when(two, F.array(first, second)).otherwise(F.array(first))))
+    found = blank.select(
+        key, "_total", F.when(two, 2).otherwise(1).alias("_n"), F.lit(1).cast("bigint").alias("piece"),
+        F.inline(F.when(two, F.array(first, second)).otherwise(F.array(first))),
+    )
     return _even(found, key)
 
 
 def _even(segments: DataFrame, key: str) -> DataFrame:
     """``_n`` scenes of equal length over ``_total``."""
     step = F.col("_total") / F.col("_n")
-    return _bounds(
-        segments, key,
-        start=step * (F.col("scene_index") - 1),
-        end=F.when(F.col("scene_index") == F.col("_n"), F.col("_total")).otherwise(
-            step * F.col("scene_index")
-        ),
-    )
+    last = F.col("scene_index") == F.col("_n")
+    end = F.when(last, F.col("_total")).otherwise(step * F.col("scene_index"))
+    return _bounds(segments, key, step * (F.col("scene_index") - 1), end, "piece")
 
 
 def compress_groups(
@@ -322,28 +341,25 @@ def compress_groups(
     max_segments: int,
     total: Column,
     focus: str | None = None,
+    chunk_width: int = 8_192,
+    piece_size: int = PIECE,
 ) -> DataFrame:
     """At most ``max_segments`` segments per script: neighbours are merged, their
-    lengths summed, their texts joined; shorter scripts pass unchanged.
+    lengths summed, their texts put in line; shorter scripts pass unchanged.
 
-    Segments carry scene_index 1..n, so groups follow from the index and a count.
+    Segments carry scene_index 1..n, so groups follow from the index and a count. A merged
+    segment's texts come as rows (scene_index, piece, focus, line) of about ``piece_size``
+    characters each; ``join_pieces`` puts them together.
     """
     want = max(1, max_segments)
     df = segments.withColumn("_total", total.cast("double"))
-    if focus is None:
-        df, focus = df.withColumn("_focus", F.lit("")), "_focus"
+    df = df.withColumn("_f", F.trim(F.lit("") if focus is None else F.col(focus))).withColumn("_t", F.trim("line"))
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     df = df.join(counts, key)
     size = F.when(F.col("_n") > want, F.ceil(F.col("_n") / want)).otherwise(1)
     df = df.withColumn("_size", size).withColumn(
         "_seg", (F.floor((F.col("scene_index") - 1) / F.col("_size")) + 1).cast("bigint")
     )
-    item = F.struct(
-        F.col("scene_index").alias("o"), F.trim("line").alias("t"), F.trim(focus).alias("f")
-    )
-    texts = lambda c, f, sep: F.array_join(
-        F.filter(F.transform(c, lambda s: s[f]), lambda t: t != ""), sep
-    )
     merged = df.groupBy(key, "_seg").agg(
         F.sum("duration_sec").alias("_sum"),
         F.min_by("start_sec", "scene_index").alias("_first"),
@@ -351,7 +367,7 @@ def compress_groups(
         F.max("_total").alias("_total"),
         F.max("_n").alias("_n"),
         F.max(F.ceil(F.col("_n") / F.col("_size"))).alias("_groups"),
-        F.array_sort(F.collect_list(item)).alias("_items"),
+        F.max(F.col("_t") != "").alias("_spoken"),
         F.min("start_sec").alias("_start"), F.max("end_sec").alias("_end"),
     )
     guess = F.greatest(F.lit(0.1), F.col("_last") - F.col("_first"))
@@ -365,10 +381,9 @@ def compress_groups(
     end = F.least(F.col("_total"), F.col("_run"))
     last = F.col("_seg") == F.col("_groups")
     r_start = F.round(start, 3)
-    line = texts(F.col("_items"), "t", " ")
-    return merged.select(
+    timed = merged.select(
         key,
-        F.col("_seg").alias("scene_index"),
+        "_seg",
         F.when(small, F.col("_start")).otherwise(r_start).alias("start_sec"),
         F.when(small, F.col("_end"))
         .when(last, F.round("_total", 3))
@@ -378,8 +393,17 @@ def compress_groups(
         .when(last, F.round(F.col("_total") - r_start, 3))
         .otherwise(F.round(end - start, 3))
         .alias("duration_sec"),
-        texts(F.col("_items"), "f", " | ").alias("focus"),
-        F.when((line == "") & ~small, F.lit(FALLBACK_LINE)).otherwise(line).alias("line"),
+        (~F.coalesce("_spoken", F.lit(False)) & ~small).alias("_silent"),
+    )
+    pieces = _in_pieces(df.select(key, "_seg", "scene_index", "_t", "_f"), [key, "_seg"], "scene_index", ["_t", "_f"], piece_size, chunk_width)
+    solid = lambda c: F.nullif(F.col(c), F.lit(""))
+    pieces = pieces.groupBy(key, "_seg", "piece").agg(
+        _joined(solid("_f"), "scene_index", " | ").alias("focus"), _joined(solid("_t"), "scene_index").alias("line")
+    )
+    stock = F.col("_silent") & (F.col("piece") == 1)
+    return pieces.join(timed, [key, "_seg"]).select(
+        key, F.col("_seg").alias("scene_index"), "piece", "start_sec", "end_sec", "duration_sec", "focus",
+        F.when(stock, F.lit(FALLBACK_LINE)).otherwise(F.col("line")).alias("line"),
     )
 
 

@@ -109,7 +109,7 @@ UNION ALL SELECT conv_id, 2, {TOTAL / 2}, {TOTAL}, {TOTAL / 2}, {focus}'{FALLBAC
 
 
 def split_even(spark, sf):
-    out = S.split_even(_lines(spark, sf), "conv_id", "turn", "text", F.lit(TOTAL), 3)
+    out = S.join_pieces(S.split_even(_lines(spark, sf), "conv_id", "turn", "text", F.lit(TOTAL), 3, piece_size=120), "conv_id")
     return out
 
 
@@ -180,7 +180,7 @@ al AS (
 
 
 def compress_groups(spark, sf):
-    return S.compress_groups(_allocated(spark, sf), "conv_id", 3, F.lit(TOTAL))
+    return S.join_pieces(S.compress_groups(_allocated(spark, sf), "conv_id", 3, F.lit(TOTAL), piece_size=120), "conv_id")
 
 
 COMPRESS_SQL = "WITH " + _ALLOC + f""",

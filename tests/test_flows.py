@@ -61,6 +61,26 @@ def test_scripts_without_usable_lines_get_stock_lines(spark):
     assert sorted((r.id, r.scene_index) for r in even) == [(1, 1), (2, 1)]
 
 
+def test_scene_texts_come_in_pieces(spark):
+    """A hot script of many lines: no cell exceeds the piece by more than a line; joined, nothing is lost."""
+    rows = [(1, i, f"line {i}" if i % 7 else " ") for i in range(900)] + [(2, 0, "alone")]
+    lines = spark.createDataFrame(rows, "id long, n long, line string").repartition(4)
+    even = S.split_even(lines, "id", "n", "line", F.lit(60.0), 3, chunk_width=50, piece_size=100)
+    texts = {(r.id, r.scene_index): r.line for r in S.join_pieces(even, "id").collect()}
+    solid = [t for i, _, t in rows if i == 1 and t.strip()]
+    size = -(-len(solid) // 3)
+    assert [texts[1, k + 1] for k in range(3)] == [" ".join(solid[k * size : (k + 1) * size]) for k in range(3)]
+    cells = even.filter("id = 1").collect()
+    assert max(len(r.line) for r in cells) < 110 and len(cells) > 60 and texts[2, 1] == "alone" and len(texts) == 5
+    timed = S.allocate_weighted(lines, "id", "n", ["line"], F.lit(600.0), 0.4)
+    merged = S.compress_groups(timed.withColumn("f", F.concat(F.lit("f"), "scene_index")), "id", 4, F.lit(600.0), "f", chunk_width=50, piece_size=100)
+    assert max(len(r.line) + len(r.focus) for r in merged.collect()) < 130
+    whole = {(r.id, r.scene_index): r for r in S.join_pieces(merged, "id").collect()}
+    size = -(-len(solid) // 4)
+    assert [whole[1, k + 1].line for k in range(4)] == [" ".join(solid[k * size : (k + 1) * size]) for k in range(4)]
+    assert whole[1, 1].focus == " | ".join(f"f{i}" for i in range(1, size + 1)) and whole[1, 4].end_sec == 600.0
+
+
 def test_choose_opening(spark):
     df = spark.createDataFrame([("", " ", None, "First one. Two.")], "a string, b string, c string, s string")
     pick = flows.choose_opening(F.col("a"), F.col("b"), F.col("c"), F.col("s"))
