@@ -10,22 +10,9 @@ TABLES = (
 ).split()
 
 
-# Tables of long texts, with the columns that tell their rows apart.
-_TEXTS = {"pages": ["page_id"], "documents": ["doc_id"], "conversations": ["conv_id", "turn"]}
-#: A job may set this to deal such tables out over so many partitions; unset, nothing is.
-SPREAD = "spark.shelfspark.spread"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A stored table as it is.
-
-    Small test tables are one row group each, so one task; where a job sets ``SPREAD``
-    (the bench does), tables of long texts are dealt out by row. A large table has splits
-    enough and is better off without.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    parts = spark.conf.get(SPREAD, None)
-    return df.repartition(int(parts), *_TEXTS[name]) if parts and name in _TEXTS else df
+    """A stored table as it is, a file or a folder of files."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 # ---- SQL fragments of the oracle (RE2 syntax) ------------------------------

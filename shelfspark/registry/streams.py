@@ -16,9 +16,9 @@ from shelfspark.streaming import jobs as J
 
 
 def _stream(spark, sf, name):
-    """The table's file as a file stream."""
+    """The table's files as a file stream; the pattern fits a single file too."""
     schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque*")
 
 
 # ---- sources -------------------------------------------------------------------
