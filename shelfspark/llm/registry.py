@@ -6,7 +6,6 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from shelfspark.llm import (
     decontamination,
     language_id,
@@ -109,7 +108,6 @@ QUERIES = {
     "op11_lexical_search": op11_lexical_search,
     "op12_whitening": op12_whitening,
     "op13_minhash": op13_minhash,
-    "pipeline": corpus_pipeline.run,
 }
 
 _RULED = "\n".join(
