@@ -32,6 +32,14 @@ URL_RULES = [
     Rule("block", "com", "/de/"),
 ]
 
+#: What op5 blocks where no rule fits, as globs over host and path, and as patterns for its SQL.
+BLOCK_GLOBS = {
+    "*casino-*/**": "[^/]*casino-[^/]*/(?s:.*)",
+    "*-pills.*/**": r"[^/]*-pills\.[^/]*/(?s:.*)",
+    "*spam-*/**": "[^/]*spam-[^/]*/(?s:.*)",
+    "**.exe": r"(?s:.*)\.exe",
+}
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -59,7 +67,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filters.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+    return url_filters.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES, tuple(BLOCK_GLOBS))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,6 +122,7 @@ _RULED = "\n".join(
     f"WHEN (host = '{r.host}' OR host LIKE '%.{r.host}') AND starts_with(path, '{r.path}') THEN '{r.name}'"
     for r in sorted(URL_RULES, key=lambda r: -len(r.name))
 )
+_CAUGHT = " OR ".join(f"regexp_full_match(host || path, '{p}')" for p in BLOCK_GLOBS.values())
 _BLOCKED = ", ".join(f"'{r.name}'" for r in URL_RULES if r.verdict == "block")
 
 SQL: dict[str, str] = {
@@ -191,6 +200,6 @@ WITH rests AS (
 ), ruled AS (
   SELECT page_id, host, path, CASE {_RULED} END AS rule FROM parts
 )
-SELECT page_id, host, path, rule, CASE WHEN rule IN ({_BLOCKED}) THEN 'block' ELSE 'allow' END AS verdict FROM ruled
+SELECT page_id, host, path, rule, CASE WHEN rule IN ({_BLOCKED}) OR (rule IS NULL AND ({_CAUGHT})) THEN 'block' ELSE 'allow' END AS verdict FROM ruled
 """,
 }

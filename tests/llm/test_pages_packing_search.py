@@ -1,5 +1,6 @@
 """URL rules, fixity audit, packing, decontamination and search against plain versions."""
 
+import os
 import random
 import re
 import zlib
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from shelfspark.llm import decontamination, packing, topk_search, url_filters, warc_audit
+from shelfspark.llm import decontamination, packing, registry, topk_search, url_filters, warc_audit
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PAGE = "page_id long, url string, html string, host string, rule string"
@@ -57,6 +58,14 @@ def test_url_rules(spark):
     assert url_filters.filter_urls(pages_of(spark, []), rules).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="test tables are not here")
+def test_globs_judge_pages_without_a_rule(spark):
+    got = registry.QUERIES["op5_url_filters"](spark, "/root/testdata/sf0.01").collect()
+    blocked = [r for r in got if r.rule is None and r.verdict == "block"]
+    assert blocked and all("casino-" in r.host or "-pills." in r.host or "spam-" in r.host or r.path.endswith(".exe") for r in blocked)
+    assert any(r.rule is None and r.verdict == "allow" for r in got)
+
+
 def fixity_rows():
     return [(i, f"http://h/{i}", f"<p>{i}</p>\r\n\r\n" * (i % 5)) for i in range(0, 9000, 3)] + [(5, None, None), (-4000, "u", "x"), (None, "n", "loose"), (7, "a", "b"), (7, "a", "c")]
 
