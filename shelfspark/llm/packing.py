@@ -3,7 +3,7 @@
 Texts become token ids, end with id 0, and only those longer than a sequence are cut. All
 planning happens on the counts of the piece lengths: at most ``capacity`` numbers, however
 many pieces there are. Lengths are taken from the longest down. The gap that one leaves is
-looked up among single lengths, sums of two and sums of three; a combination that fills it
+looked up in an index of single lengths, sums of two and sums of three; a combination that fills it
 exactly is used as often as its counts allow, in one step. What has no exact complement is
 packed best-fit, longest first, into the smallest gap that takes it.
 
@@ -194,12 +194,54 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids:
     return base.mapInArrow(_piece_rows(tokenizer, capacity, with_ids), schema + (", ids array<int>" if with_ids else ""))
 
 
+class Sums:
+    """Sums of one, two and three lengths, by sum, under counts of what is ``left`` of each length.
+
+    Built once over the lengths that are there; what is used up since is passed over. A
+    triple stands as a length and the sum of a pair, so its entries are at most a square of
+    the capacity, as those of pairs are.
+    """
+
+    def __init__(self, left: np.ndarray):
+        self.left, capacity = left, len(left) - 1
+        there = np.flatnonzero(left)
+        i, j = np.tril_indices(len(there))
+        first, total = there[i], there[i] + there[j]
+        self._pairs, self._pair_at = self._sorted(first, total, capacity)
+        two = np.flatnonzero(np.diff(self._pair_at))
+        first = np.repeat(there, len(two))
+        self._triples, self._triple_at = self._sorted(first, first + np.tile(two, len(there)), capacity)
+
+    @staticmethod
+    def _sorted(first: np.ndarray, total: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+        first, total = first[total <= capacity], total[total <= capacity]
+        order = np.lexsort((-first, total))
+        return first[order], np.searchsorted(total[order], np.arange(capacity + 2))
+
+    def single(self, total: int) -> bool:
+        return total > 0 and self.left[total] > 0
+
+    def pairs(self, total: int) -> np.ndarray:
+        """Larger lengths of the pairs that make ``total``, largest first."""
+        a = self._pairs[self._pair_at[total] : self._pair_at[total + 1]]
+        return a[(self.left[a] > 0) & (self.left[total - a] > 0)]
+
+    def triples(self, total: int) -> np.ndarray:
+        """Lengths that make ``total`` with some pair, largest first."""
+        a = self._triples[self._triple_at[total] : self._triple_at[total + 1]]
+        return a[self.left[a] > 0]
+
+
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
-    """Patterns ({length: times}, sequences) that use up ``counts`` pieces of each length."""
+    """Patterns ({length: times}, sequences) that use up ``counts`` pieces of each length.
+
+    Longest first, each with the single lengths, pairs and triples whose sums fill its gap
+    exactly, as many times as there are pieces for; what is left by best fit.
+    """
     left = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in counts.items():
         left[length] = n
-    out: list[tuple[dict[int, int], int]] = []
+    sums, out = Sums(left), []
 
     def use(*lengths: int) -> None:
         pattern: dict[int, int] = {}
@@ -211,30 +253,22 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[in
                 left[x] -= n * m
             out.append((pattern, n))
 
-    def pairs(total: int) -> np.ndarray:
-        """Larger halves of the sums of two that make ``total`` and are there, largest first."""
-        half = np.arange(total - 1, (total - 1) // 2, -1)
-        return half[(left[half] > 0) & (left[total - half] > 0)] if total > 1 else half[:0]
-
     for length in range(capacity, 0, -1):
         gap = capacity - length
-        if not left[length]:
-            continue
-        if not gap:
+        if left[length] and not gap:
             use(length)
-            continue
-        use(length, gap)
-        for a in pairs(gap) if left[length] else ():
-            use(length, int(a), gap - int(a))
+        if left[length] and sums.single(gap):
+            use(length, gap)
+        for a in sums.pairs(gap).tolist() if left[length] else ():
+            use(length, a, gap - a)
             if not left[length]:
                 break
-        for a in range(gap - 2, 0, -1) if left[length] else ():
-            if left[a]:
-                for b in pairs(gap - a):
-                    if b <= a:
-                        use(length, a, int(b), gap - a - int(b))
-                    if not (left[a] and left[length]):
-                        break
+        for a in sums.triples(gap).tolist() if left[length] else ():
+            for b in sums.pairs(gap - a).tolist() if left[a] else ():
+                if b <= a:
+                    use(length, a, b, gap - a - b)
+                if not (left[a] and left[length]):
+                    break
             if not left[length]:
                 break
     return out + _best_fit(left, capacity)

@@ -139,6 +139,30 @@ def test_pieces_match_the_tokenizer(spark):
     assert packing.pack(df.where("false"), TOKENIZER).count() == 0
 
 
+def test_sums_of_one_two_and_three_lengths():
+    r = random.Random(4)
+    for capacity in (1, 2, 9, 40):
+        left = np.zeros(capacity + 1, dtype=np.int64)
+        for _ in range(capacity // 2 + 1):
+            left[r.randrange(1, capacity + 1)] = r.randrange(1, 4)
+        sums, there = packing.Sums(left), np.flatnonzero(left).tolist()
+        for gone in (None, there[0]):
+            if gone is not None:
+                left[gone] = 0
+            there = np.flatnonzero(left).tolist()
+            for total in range(capacity + 1):
+                pairs = {a for a in there for b in there if b <= a and a + b == total}
+                assert sums.single(total) == (total in there) and sums.pairs(total).tolist() == sorted(pairs, reverse=True)
+                triples = {a for a in there for b in there for c in there if a + b + c == total}
+                assert triples <= set(sums.triples(total).tolist()) <= set(there)
+
+
+def test_exact_complements_come_before_best_fit():
+    made = packing.plan({6: 2, 4: 1, 3: 1, 1: 1, 5: 3, 2: 1}, 10)
+    assert ({6: 1, 4: 1}, 1) in made and ({6: 1, 3: 1, 1: 1}, 1) in made and ({5: 2}, 1) in made
+    assert sum(n for _, n in made) == 4
+
+
 def test_word_table_starts_anew_when_full():
     words = packing.Words(TOKENIZER, limit=10)
     tok = words.tokenizer
