@@ -6,7 +6,9 @@ The sum over a query's components of the better product bounds every score in th
 Sixteen blocks make a shelf, queries stand in groups, and one row of a join is a group
 against a shelf: each query takes the shelf's blocks from the best bound down, keeps its k
 best, and stops where the bounds fall below the k-th. A first wave meets one shelf of each
-group; its k-th scores are the bars from which the second wave, all other shelves, starts.
+group; its k-th scores are the bars of the second wave. There groups meet the bounds of the other
+shelves first, without their vectors; a shelf is brought only to the groups of which some query's
+bound reaches its bar.
 
 Bounds that equal the k-th score are scored, so ties are whole. Neither side is broadcast
 or gathered: shelves and groups have a fixed size and their number grows.
@@ -114,8 +116,7 @@ def _search(k: int, size: int):
                 q, own = _read(row["qv"], dim), np.frombuffer(row["qids"], dtype=np.int64)
                 ids = np.frombuffer(row["ids"], dtype=np.int64)
                 raw, hi, lo = (_read(row[c], dim) for c in ("v", "hi", "lo"))
-                up, down, hi, lo = _exact(np.maximum(q, 0), np.minimum(q, 0), hi, lo)
-                bound = up @ hi.T + down @ lo.T
+                bound = _bounds(q, hi, lo)
                 q, v = _exact(q, raw)
                 bar = np.frombuffer(row["bar"], dtype=np.int64) if row.get("bar") else np.full(len(own), _NONE)
                 floor = bar.copy()
@@ -149,6 +150,24 @@ def _search(k: int, size: int):
     return rows
 
 
+def _bounds(q: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """The most that each query can score in each block."""
+    up, down, hi, lo = _exact(np.maximum(q, 0), np.minimum(q, 0), hi, lo)
+    return up @ hi.T + down @ lo.T
+
+
+def _worth(batches):
+    """(group, shelf) where some query of the group may reach its bar."""
+    for batch in batches:
+        kept = []
+        for row in batch.to_pylist():
+            q, hi, lo = (_read(row[c], row["dim"]) for c in ("qv", "hi", "lo"))
+            if (_bounds(q, hi, lo).max(axis=1) >= np.frombuffer(row["bar"], dtype=np.int64)).any():
+                kept.append((row["group"], row["shelf"]))
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*kept, strict=True)], names=["group", "shelf"])
+
+
 def _bars(batches):
     """k-th best scores in the order of a group's queries."""
     for batch in batches:
@@ -189,7 +208,12 @@ def top_k(
     seen = named.join(reached, "query_id").groupBy("group").agg(F.collect_list(F.struct("query_id", "bar")).alias("seen"))
     bars = C.stage(groups.select("group", "ids").join(seen, "group", "left").mapInArrow(_bars, "group long, bar binary"), "bars")
     others = F.explode(F.filter(F.sequence(F.lit(0), F.lit(places - 1)), lambda i: i != F.col("home"))).alias("at")
-    rest = asked.join(bars, "group").select("dim", "qids", "qv", "bar", others).join(stocked, ["dim", "at"]).mapInArrow(_search(k, block), schema)
+    barred = asked.join(bars, "group")
+    edges = stocked.select("dim", "at", "shelf", "hi", "lo")
+    worth = barred.select("group", "dim", "qv", "bar", others).join(edges, ["dim", "at"]).mapInArrow(_worth, "group long, shelf long")
+    # Written first: both sides of the join that brings the vectors are plain shuffles then.
+    met = C.stage(worth, "worth").join(barred.select("group", "qids", "qv", "bar"), "group")
+    rest = met.join(shelves, "shelf").mapInArrow(_search(k, block), schema)
     # A query stands in one group, so no pair comes from both waves.
     every = first.select("query_id", "vec_id", "score").union(rest)
     return _best(every, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -326,7 +326,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 5, per_clas
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that ``score_documents`` does not predict toxic."""
+    """The rows of ``docs`` that ``score_documents`` does not predict toxic.
+
+    Null and empty texts and texts without a known term get the score of an empty text;
+    repeated rows stay or go together, rows without doc_id are told apart by text; without
+    labels of both classes, or without rows, all rows stay.
+    """
     settings = {"folds": 5, "per_class": 6000, "examples": 2048, "k": 15} | options
     bad = _rows_scored(docs, labels, **settings).where("predicted = 1").select(F.col("did").alias("_did"), F.col("rk").alias("_rk"))
     keyed = docs.withColumns(dict(zip(("_did", "_rk"), C.row_key(), strict=True)))

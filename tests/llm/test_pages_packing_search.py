@@ -257,6 +257,17 @@ def test_search_matches_brute_force(spark):
     assert topk_search.top_k(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_shelves_out_of_reach_are_not_brought():
+    """Of two shelves only that whose bound reaches the bar meets the group."""
+    import pyarrow as pa
+
+    blob = lambda rows: np.array(rows, dtype=np.int64).tobytes()
+    row = lambda shelf, hi, lo, bar: {"group": 5, "shelf": shelf, "dim": 2, "qv": blob([[3, -2], [1, 1]]), "hi": blob(hi), "lo": blob(lo), "bar": blob(bar)}
+    rows = [row(1, [[2, 9], [1, 1]], [[0, 1], [0, 0]], [5, 12]), row(2, [[2, 9]], [[0, 1]], [4, 99]), row(3, [[2, 9]], [[0, 1]], [5, 11])]
+    batch = pa.RecordBatch.from_pylist(rows)
+    assert [(r["group"], r["shelf"]) for b in topk_search._worth([batch]) for r in b.to_pylist()] == [(5, 2), (5, 3)]
+
+
 def test_search_with_large_components_is_exact(spark):
     rows = [(i, [float(2**20 + i), float(-(2**21) - 3 * i)]) for i in range(50)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
