@@ -124,5 +124,5 @@ def script_segments(
     )
     timed = S.allocate_weighted(
         lines, key, "idx", ["sentence"], F.col("_total"), min_seconds
-    ).join(df.select(key, "_total"), key)
+    ).join(df.select(key, "_total"), key).checkpoint()
     return S.compress_groups(timed, key, scenes, F.col("_total"))
