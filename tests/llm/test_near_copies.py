@@ -100,3 +100,48 @@ def test_bit_sliced_radius():
 
 def test_without_rows(spark):
     assert kept(spark, []) == []
+
+
+def test_simhashes_by_plain_counting():
+    r = np.random.default_rng(4)
+    sizes = [1, 2, 254, 255, 256, 700, 3]
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    hashes = r.integers(0, 1 << 64, at[-1], dtype=np.uint64)
+    got = near_copies.simhashes(hashes, at)
+    for w in range(near_copies.PRINT_WORDS):
+        h = near_copies.C.mix(hashes + np.uint64(w * 0x9E3779B97F4A7C15 % (1 << 64))) if w else hashes
+        for s, (a, b) in enumerate(zip(at, at[1:], strict=False)):
+            bits = [sum(int(x) >> k & 1 for x in h[a:b]) * 2 > b - a for k in range(64)]
+            assert int(got[s, w]) == sum(1 << k for k in range(64) if bits[k])
+
+
+def test_candidates_meet_by_their_simhashes_alone(spark):
+    """Every pair at 0.8 is in one group of near SimHashes, in blocks of any size; a row has no other key."""
+    r = np.random.default_rng(5)
+    sets = []
+    for size in [4, 5, 8, 12, 13, 40, 200, 900] * 6:
+        base = r.integers(0, 1 << 64, size, dtype=np.uint64)
+        sets += [base, base[: -(-size * 4 // 5)], np.append(base, r.integers(0, 1 << 64, size // 4, dtype=np.uint64))]
+    at = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+    prints = near_copies.simhashes(np.concatenate(sets), at)
+    rows = [(i, len(s), near_copies.C.signed(prints[i]).tolist()) for i, s in enumerate(sets)]
+    nodes = spark.createDataFrame(rows, "node long, n long, sig array<long>")
+    from shelfspark.llm.components import components
+
+    for block in (5, 1000):
+        root = {x.node: x.root for x in components(near_copies.near_prints(nodes, block)).collect()}
+        for i in range(0, len(sets), 3):
+            for j, k in ((i, i + 1), (i, i + 2)):
+                few, many = sorted((len(sets[j]), len(sets[k])))
+                if few * 5 >= many * 4 and few < many:
+                    assert root[j] == root[k] == i
+        assert len(set(root.values())) == len({v // 3 for v in root.values()})
+
+
+def test_radius_bounds_the_chance():
+    from math import comb
+
+    for bits, p in ((128, 0.1612), (512, 0.1612), (512, 0.1875)):
+        k = near_copies.radius(bits, p)
+        tail = [sum(comb(bits, i) * p**i * (1 - p) ** (bits - i) for i in range(m + 1, bits + 1)) for m in (k - 1, k)]
+        assert tail[1] <= 5e-7 < tail[0] * 1.001
