@@ -252,13 +252,16 @@ def stream_pages(spark, sf):
 
 
 def page_progress(spark, sf):
-    """Counts per batch while pages arrive, a quarter of the table in each batch."""
+    """Counts per batch while pages arrive, a quarter of the table, in as many files as it has tasks, in each batch."""
     path = scratch_path(spark, "arriving")
     pages = table(spark, sf, "pages")
+    results = None
     for part in range(4):
-        pages.filter(F.pmod("page_id", F.lit(4)) == part).coalesce(1).write.mode("append").parquet(path)
-    arriving = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    J.stream_page_results(arriving, f"{path}-results", RP.MARKUP, RP.ITEM_SITE, progress=f"{path}-counts")
+        pages.filter(F.pmod("page_id", F.lit(4)) == part).write.mode("append").parquet(path)
+        if results is None:
+            results = J.observed_results(spark.readStream.schema(pages.schema).parquet(path), RP.MARKUP, RP.ITEM_SITE)
+        # All files that are new are one batch; the query goes on from its checkpoint.
+        J.run_stream(results, f"{path}-results", progress=f"{path}-counts")
     return J.read_progress(spark, f"{path}-counts").select("pages", "with_video", "without_video", "blocked", "errors")
 
 

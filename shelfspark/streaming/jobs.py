@@ -342,17 +342,21 @@ def read_state(spark: SparkSession, path: str, operator: int = 0) -> DataFrame:
 
 
 # ---- pages --------------------------------------------------------------------------------
+def observed_results(pages: DataFrame, page=P.PAGE, site=P.SITE) -> DataFrame:
+    """Page results that are counted while they are written: pages, those with and without
+    media, blocked pages and pages with an error."""
+    return P.page_results(pages, page, site).observe(
+        "pages", F.count(F.lit(1)).alias("pages"), F.count_if("has_video").alias("with_video"),
+        F.count_if(~F.col("has_video")).alias("without_video"), F.count_if("blocked").alias("blocked"),
+        F.count_if(F.coalesce("error", F.lit("")) != "").alias("errors"),
+    )
+
+
 def stream_page_results(
     pages: DataFrame, path: str, page=P.PAGE, site=P.SITE, progress: str | None = None
 ) -> DataFrame:
     """Page results as pages arrive.
 
-    With ``progress`` that table gets a row per batch while the stream runs: pages, those
-    with and without media, blocked pages and pages with an error.
+    With ``progress`` that table gets a row of counts per batch while the stream runs.
     """
-    results = P.page_results(pages, page, site).observe(
-        "pages", F.count(F.lit(1)).alias("pages"), F.count_if("has_video").alias("with_video"),
-        F.count_if(~F.col("has_video")).alias("without_video"), F.count_if("blocked").alias("blocked"),
-        F.count_if(F.coalesce("error", F.lit("")) != "").alias("errors"),
-    )
-    return run_to_table(results, path, progress=progress)
+    return run_to_table(observed_results(pages, page, site), path, progress=progress)

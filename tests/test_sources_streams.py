@@ -266,3 +266,24 @@ def test_page_stream_equals_batch(spark, tmp_path):
     assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
     seen = J.read_progress(spark, counts).groupBy().sum("pages", "with_video", "without_video").first()
     assert tuple(seen) == (6, 6, 0)
+
+
+def test_pages_of_a_batch_arrive_in_several_files(spark, tmp_path):
+    """A quarter of the table is one batch but not one file: its pages spread over tasks."""
+    from shelfspark.registry import streams
+
+    rows = [(i, f"https://shop.example/p/{i}", "<title>x</title>") for i in range(40)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5).write.parquet(str(tmp_path / "pages.parquet"))
+    seen = {}
+
+    def scratch(_, name):
+        seen[name] = str(tmp_path / name)
+        return seen[name]
+
+    given, streams.scratch_path = streams.scratch_path, scratch
+    try:
+        counts = streams.page_progress(spark, str(tmp_path)).collect()
+    finally:
+        streams.scratch_path = given
+    assert [r.pages for r in counts] == [10] * 4
+    assert len(spark.read.parquet(seen["arriving"]).inputFiles()) > 4
