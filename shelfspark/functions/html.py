@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import html as _html
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,12 +29,20 @@ BASIC_ENTITIES = (
 _ONLY_BASIC = r"&(?:amp|lt|gt|quot|#39);"
 
 
+#: A reference as Python's html.unescape finds it.
+_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
 def _entity_decoder():
     # A local function travels by value, so executors need no copy of this package.
-    def decode(text: pd.Series) -> pd.Series:
-        return text.map(_html.unescape, na_action="ignore")
+    def decode(found: pa.Array) -> pa.Array:
+        known = found.flatten().dictionary_encode()
+        plain = pa.array([_html.unescape(t) for t in known.dictionary.to_pylist()], pa.string())
+        sizes = pc.fill_null(pc.list_value_length(found), 0)
+        at = pa.array([0, *pc.cumulative_sum(sizes).to_pylist()], pa.int32())
+        return pa.ListArray.from_arrays(at, plain.take(known.indices), mask=pc.is_null(found))
 
-    return F.pandas_udf(decode, T.StringType())
+    return F.arrow_udf(decode, T.ArrayType(T.StringType()))
 
 
 _decode_entities = _entity_decoder()
@@ -42,9 +51,10 @@ _decode_entities = _entity_decoder()
 def unescape(text: Column, full: bool = True) -> Column:
     """HTML entity decoding.
 
-    The basic five are replaced natively. Text that holds any other entity, or
-    one that only appears after replacement order matters, is sent through one
-    Arrow batch function; all other rows send null, so almost nothing crosses.
+    The basic five are replaced natively. Of text that holds any other entity, or
+    one that only appears after replacement order matters, the references alone are sent
+    through one Arrow batch function and put back between the pieces of the text, so that bodies
+    do not cross; all other rows send null.
     """
     native = text
     for entity, char in BASIC_ENTITIES:
@@ -54,7 +64,12 @@ def unescape(text: Column, full: bool = True) -> Column:
     rest = F.regexp_replace(text, _ONLY_BASIC, " ")
     # "&amp;lt;" must stay one step decoded: leave such chains to the exact decoder.
     hard = rest.rlike("&[#A-Za-z]") | text.rlike("(?i)&amp;#?[a-z0-9]+;?")
-    return F.coalesce(_decode_entities(F.when(hard, text)), native)
+    decoded = _decode_entities(F.when(hard, F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0))))
+    # One piece more than references.
+    put_back = F.array_join(F.zip_with(
+        F.split(text, _REFERENCE, -1), decoded, lambda piece, char: F.concat(piece, F.coalesce(char, F.lit("")))
+    ), "")
+    return F.when(decoded.isNotNull(), put_back).otherwise(native)
 
 
 def unescape_all(texts: Column) -> Column:

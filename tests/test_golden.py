@@ -467,3 +467,19 @@ def test_many_links_of_one_page(spark):
 
     seconds(100)
     assert seconds(12_000) < 10 * seconds(3_000) + 1
+
+
+def test_only_references_leave_for_the_decoder(spark):
+    """Texts equal Python's own decoding; what the Arrow function gets is references, not bodies."""
+    import html
+
+    from shelfspark.functions import html as H
+
+    texts = [
+        None, "", "plain", "&amp;", "&amp;lt;", "&eacute;&eacute", "a &euro; b &#8364; c &#x20AC", "&notit; &notin;", "&&amp;amp;&#0;&#x80;",
+        "end &nbsp;", "&nbsp; start", "a=1&b=2&copy=3", "&" + "x" * 40 + ";", "&lt;b&gt; &Auml;\n&\t&#;", "\U0001f600&\U0001f600\U0001f600;&ouml;", "&#xD800;|&#99999999;|&hellip",
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", H.unescape(F.col("t")).alias("u")).collect()
+    assert {r.i: r.u for r in rows} == {i: t if t is None else html.unescape(t) for i, t in enumerate(texts)}
+    found = spark.createDataFrame([(["&amp;", "&nbsp;"],), ([],), (None,)], "r array<string>").select(H._decode_entities("r").alias("d"))
+    assert [r.d for r in found.collect()] == [["&", "\u00a0"], [], None]
