@@ -211,7 +211,7 @@ def _smoother(gauges: list[str], micros: int, alpha: float):
         rps, smoothed, ticks, sums = state.get if state.exists else (None, 0.0, [], [])
         open_ = dict(zip(ticks, (sums[i : i + len(values)] for i in range(0, len(sums), len(values))), strict=True))
         for part in rows:
-            for tick, *more in part[["tick_us", *values]].itertuples(index=False):
+            for tick, *more in zip(*(part[c].tolist() for c in ("tick_us", *values)), strict=True):
                 held = open_.get(tick)
                 open_[tick] = list(map(float, more)) if held is None else [a + b for a, b in zip(held, more, strict=True)]
         past = state.getCurrentWatermarkMs() * 1000
@@ -228,8 +228,9 @@ def _smoother(gauges: list[str], micros: int, alpha: float):
             # A timer may not lie behind the watermark.
             state.setTimeoutTimestamp(max(-(-(min(open_) + micros) // 1000), state.getCurrentWatermarkMs() + 1))
         if out:
-            table = pd.DataFrame(out, columns=["source", "tick_us", "responses", "errors", *gauges, "rps", "previous_rps", "smoothed"])
-            yield table.astype({c: "float64" for c in (*gauges, "rps", "previous_rps", "smoothed")})
+            whole, real = ["source", "tick_us", "responses", "errors"], [*gauges, "rps", "previous_rps", "smoothed"]
+            columns = dict(zip([*whole, *real], zip(*out, strict=True), strict=True))
+            yield pd.DataFrame({c: np.array(v, dtype="float64") if c in real else list(v) for c, v in columns.items()})
 
     return closed
 
