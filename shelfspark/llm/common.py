@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -34,6 +35,23 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int = 4 << 20):
+    """Jobs started inside hand rows to Python in batches of about ``size`` bytes.
+
+    The session's own limit counts rows (10,000), which says nothing of long texts; a smaller
+    limit in bytes stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    if before is None or not before.isdigit() or int(before) > size:
+        spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def documents_of(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text and ``more`` only: further columns cannot clash with derived ones."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more)

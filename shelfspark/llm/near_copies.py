@@ -319,7 +319,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Texts that are null or without words are one group.
     """
     base = C.documents_of(docs).select(*C.row_key(), "doc_id", "text")
-    rows = C.stage(base.mapInArrow(_sketch_rows, "did long, rk int, doc_id long, node long, fp long, n long, sig array<long>"), "sketches")
+    with C.small_batches(docs.sparkSession):
+        rows = C.stage(base.mapInArrow(_sketch_rows, "did long, rk int, doc_id long, node long, fp long, n long, sig array<long>"), "sketches")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "did", "rk")
     nodes = C.stage(rows.groupBy("node").agg(F.min(order).alias("first"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("sig").alias("sig")), "nodes")
     groups = components(links(C.stage(_members(nodes, docs), "members")))

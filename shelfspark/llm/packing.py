@@ -344,7 +344,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bo
     empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = C.stage(pieces(docs, tokenizer, capacity, with_ids), "pieces")
+    with C.small_batches(docs.sparkSession):
+        rows = C.stage(pieces(docs, tokenizer, capacity, with_ids), "pieces")
     counts = {r[0]: r[1] for r in rows.groupBy("length").count().collect()}  # at most ``capacity`` rows
     runs = spark.sparkContext.broadcast(_runs(plan(counts, capacity), capacity))
     # One row for each length: at most ``capacity``.

@@ -282,10 +282,13 @@ def _rows_scored(docs: DataFrame, labels: DataFrame, folds: int, per_class: int,
     least = max(3, int(n_all) // 2000)
     best = counts.where(F.col("n") >= least).select("gram", chi.alias("chi"))
     # As many as differ in a sample of 2 x per_class texts, whatever the table's size.
-    grams = np.array([r[0] for r in best.where(F.col("chi") >= LEAST_CHI).orderBy("gram").collect()], dtype=np.int64)
+    # Here and below whole texts go to Python: in batches of bounded size.
+    with C.small_batches(spark):
+        grams = np.array([r[0] for r in best.where(F.col("chi") >= LEAST_CHI).orderBy("gram").collect()], dtype=np.int64)
     terms = Terms(grams.view(np.uint64))
     kinds = "did long, rk int, doc_id long, held_out boolean, terms array<int>, times array<int>"
-    vectors = C.stage(base.mapInArrow(_vectors(share(terms)), kinds), "vectors")
+    with C.small_batches(spark):
+        vectors = C.stage(base.mapInArrow(_vectors(share(terms)), kinds), "vectors")
     total = vectors.count()
     df = np.zeros(max(1, len(grams)))
     for r in vectors.select("terms").mapInArrow(_document_counts(len(df)), "t int, n long").groupBy("t").agg(F.sum("n")).collect():  # one row a term

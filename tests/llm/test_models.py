@@ -2,6 +2,7 @@
 
 import os
 import random
+import uuid
 import zlib
 
 import numpy as np
@@ -251,3 +252,28 @@ def test_toxicity_posting_lists_have_the_blocks_of_each_term():
     assert index.entry_block[index.entry_at[2] : index.entry_at[3]].tolist() == [1]
     places, _ = index.neighbours(np.array([2]), np.array([1.0]), 5)
     assert places.tolist() == [64, 65, 66, 67, 68]
+
+
+def test_toxicity_hands_texts_to_python_in_small_batches(spark, tmp_path, monkeypatch):
+    """3,000 texts of 12 kB in one task are 36 MB: no batch of them is near that."""
+    seen, plain = str(tmp_path), toxicity._vectors
+
+    def watched(model):
+        rows = plain(model)
+
+        def noted(batches):
+            for batch in batches:
+                with open(f"{seen}/{uuid.uuid4().hex}", "w") as f:
+                    f.write(str(batch.nbytes))
+                yield batch
+
+        return lambda batches: rows(noted(batches))
+
+    monkeypatch.setattr(toxicity, "_vectors", watched)
+    docs = spark.range(3000).coalesce(1).selectExpr("id as doc_id", "repeat(concat('text ', id, ' '), 1200) as text")
+    labels = spark.range(3000).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    assert toxicity.score_documents(docs, labels).count() == 3000
+    sizes = [int(p.read_text()) for p in tmp_path.iterdir()]
+    assert sum(sizes) > 20_000_000 and max(sizes) < 8_000_000
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == before
