@@ -8,8 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfspark.functions.core import any_of, coalesce_fields, epoch_micros, to_float
 from shelfspark.plans import chunked
@@ -407,6 +411,88 @@ def compress_groups(
     )
 
 
+def _running(values: Column) -> Column:
+    """Running sums of an array of doubles, the first value first."""
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def sums(lists: pa.Array) -> pa.Array:
+        at = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)))
+        x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        own = [np.cumsum(x[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(np.concatenate([np.zeros(0), *own])))
+
+    return sums(values)
+
+
+def scenes_of_lines(
+    scripts: DataFrame, key: str, lines: str, total: Column, scenes: int, min_seconds: float, piece_size: int = PIECE
+) -> DataFrame:
+    """``allocate_weighted`` and ``compress_groups`` for scripts that hold their lines in an array.
+
+    Times, merging, pieces and stock lines are those of the two; all of it stays in the
+    script's row, so no line is shuffled.
+    """
+    want = max(1, scenes)
+    solid = F.filter(F.transform(lines, lambda s: F.trim(s)), lambda s: s != "")
+    df = scripts.select(key, total.cast("double").alias("_total"), solid.alias("_t"))
+    stock = F.when(F.col("_total") >= 6, F.array(F.lit(FALLBACK_LINE), F.lit(FALLBACK_CLOSE))).otherwise(F.array(F.lit(FALLBACK_LINE)))
+    blank = F.size("_t") == 0
+    df = df.select(key, "_total", blank.alias("_blank"), F.when(blank, stock).otherwise(F.col("_t")).alias("_t"))
+    weight = lambda t: F.greatest(F.lit(0.8), F.regexp_count(t, F.lit(r"(?U)\S+")) * F.lit(0.35))
+    df = df.withColumns({"_n": F.size("_t").cast("bigint"), "_w": F.transform("_t", weight), "_len": F.transform("_t", lambda t: (F.length(t) + 2).cast("double"))})
+    df = df.withColumns({"_run": _running("_w"), "_upto": _running("_len")})
+
+    floor = F.lit(max(0.4, float(min_seconds)))
+    all_, n = F.col("_total"), F.col("_n")
+    low = F.when(n * floor > all_, F.greatest(F.lit(0.1), all_ / n)).otherwise(floor)
+    df = df.withColumn("_low", low)
+    df = df.withColumns({"_budget": F.greatest(F.lit(0.0), all_ - n * F.col("_low")), "_sum": F.get("_run", F.size("_run") - 1)})
+
+    def timed(run: Column, i: Column) -> Column:
+        at = lambda i, w: F.least(all_, F.col("_low") * i + F.col("_budget") * (w / F.col("_sum")))
+        step, last = all_ / n, i + 1 == n
+        begin = F.when(F.col("_blank"), step * i).when(i == 0, F.lit(0.0)).otherwise(at(i, run - F.get("_w", i)))
+        end = F.when(last, all_).when(F.col("_blank"), step * (i + 1)).otherwise(at(i + 1, run))
+        rest = F.when(last & ~F.col("_blank"), F.round(all_ - F.round(begin, 3), 3)).otherwise(F.round(end - begin, 3))
+        return F.struct(F.round(begin, 3).alias("a"), F.round(end, 3).alias("b"), rest.alias("d"))
+
+    size = F.when(n > want, F.ceil(n / want)).otherwise(1).cast("bigint")
+    df = df.withColumns({"_at": F.transform("_run", timed), "_size": size})
+    df = df.withColumn("_groups", F.ceil(n / F.col("_size")).cast("bigint"))
+
+    def merged(seg: Column) -> Column:
+        own = F.slice("_at", ((seg - 1) * F.col("_size") + 1).cast("int"), F.col("_size").cast("int"))
+        length = F.aggregate(own, F.lit(0.0), lambda s, x: s + x["d"])
+        guess = F.greatest(F.lit(0.1), F.element_at(own, -1)["b"] - F.element_at(own, 1)["a"])
+        return F.when(length > 0, length).otherwise(guess)
+
+    # At most ``scenes`` of a script: their running sum is taken anew for each.
+    df = df.withColumn("_dur", F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("_groups")), merged))
+
+    def scene(dur: Column, i: Column) -> Column:
+        run = F.aggregate(F.slice("_dur", F.lit(1), i + 1), F.lit(0.0), lambda s, x: s + x)
+        start, end, last = F.least(all_, run - dur), F.least(all_, run), i + 1 == F.col("_groups")
+        own, small = F.get("_at", i), n <= want
+        first = i * F.col("_size")
+        return F.struct(
+            (i + 1).cast("bigint").alias("scene_index"),
+            F.when(small, own["a"]).otherwise(F.round(start, 3)).alias("start_sec"),
+            F.when(small, own["b"]).when(last, F.round(all_, 3)).otherwise(F.round(end, 3)).alias("end_sec"),
+            F.when(small, own["d"]).when(last, F.round(all_ - F.round(start, 3), 3)).otherwise(F.round(end - start, 3)).alias("duration_sec"),
+            F.slice("_t", (first + 1).cast("int"), F.col("_size").cast("int")).alias("_t"),
+            F.transform(
+                F.slice("_upto", (first + 1).cast("int"), F.col("_size").cast("int")), lambda upto: upto - F.coalesce(F.get("_upto", (first - 1).cast("int")), F.lit(0.0))
+            ).alias("_upto"),
+        )
+
+    df = df.select(key, F.inline(F.transform("_dur", scene)))
+    # The piece of a line, by the characters before it.
+    place = F.transform("_upto", lambda upto, i: F.floor(F.coalesce(F.get("_upto", i - 1), F.lit(0.0)) / F.lit(piece_size)) + 1)
+    df = df.withColumn("_piece", place).withColumn("piece", F.explode(F.array_distinct("_piece")))
+    text = F.array_join(F.filter("_t", lambda t, i: F.get("_piece", i) == F.col("piece")), " ")
+    return df.select(key, "scene_index", F.col("piece").cast("bigint").alias("piece"), "start_sec", "end_sec", "duration_sec", F.lit("").alias("focus"), text.alias("line"))
+
+
 # ---- timing rules -------------------------------------------------------------------
 def timing_class(
     df: DataFrame,

@@ -109,7 +109,9 @@ def script_segments(
     """Clean script text cut into timed scenes.
 
     Repeats go, opening and closing lines are put in, repeats go again, the
-    sentences get times by weight and are merged down to ``scenes``.
+    sentences get times by weight and are merged down to ``scenes``. A script's lines stay
+    in its row, so nothing is shuffled; each row is a script of its own, also where its key
+    is null or repeated.
     """
     checkpoint_root(scripts.sparkSession)
     df = scripts.select(key, total.cast("double").alias("_total"), F.col(text).alias("_t0"))
@@ -118,11 +120,5 @@ def script_segments(
     df = O.drop_repeats(df, "_t0", 12, similar, out="_t1").select(key, "_total", "_t1").checkpoint()
     df = O.ensure_lines(df, "_t1", opening, closing, out="_t2", similar=similar)
     df = df.select(key, "_total", "_t2").checkpoint()
-    df = O.drop_repeats(df, "_t2", 14, similar, out="_t3").select(key, "_total", "_t3").checkpoint()
-    lines = df.select(
-        key, "_total", F.posexplode_outer(X.sentences(F.col("_t3"))).alias("idx", "sentence")
-    )
-    timed = S.allocate_weighted(
-        lines, key, "idx", ["sentence"], F.col("_total"), min_seconds
-    ).join(df.select(key, "_total"), key).checkpoint()
-    return S.compress_groups(timed, key, scenes, F.col("_total"))
+    df = O.drop_repeats(df, "_t2", 14, similar, out="_t3").select(key, "_total", X.sentences(F.col("_t3")).alias("_lines"))
+    return S.scenes_of_lines(df, key, "_lines", F.col("_total"), scenes, min_seconds)

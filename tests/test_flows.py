@@ -1,5 +1,7 @@
 """Whole jobs on small fixtures."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from shelfspark import schemas
@@ -85,3 +87,20 @@ def test_choose_opening(spark):
     df = spark.createDataFrame([("", " ", None, "First one. Two.")], "a string, b string, c string, s string")
     pick = flows.choose_opening(F.col("a"), F.col("b"), F.col("c"), F.col("s"))
     assert df.select(pick).first()[0] == "First one."
+
+
+def test_scripts_stay_in_their_rows(spark):
+    """The timed scenes equal those of the operators on tables of lines, and no line is shuffled."""
+    r = random.Random(5)
+    rows = [(i, float(t), [r.choice(["one", "two words", " ", "a longer line of more words", ""]) for _ in range(k)]) for i, (t, k) in enumerate([(5, 0), (9, 0), (20, 1), (20, 3), (3, 9), (60, 25), (40, 200), (7, 6)])]
+    df = spark.createDataFrame(rows, "id long, t double, lines array<string>")
+    lines = df.select("id", "t", F.posexplode_outer("lines").alias("n", "line"))
+    for scenes, size in ((3, 40), (1, 10_000), (6, 100)):
+        got = S.scenes_of_lines(df, "id", "lines", F.col("t"), scenes, 1.2, size)
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        timed = S.allocate_weighted(lines, "id", "n", ["line"], F.col("t"), 1.2).join(df.select("id", "t"), "id")
+        want = S.compress_groups(timed, "id", scenes, F.col("t"), piece_size=size)
+        assert got.columns == want.columns and got.dtypes == want.dtypes
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    out = flows.script_segments(df.withColumn("text", F.array_join("lines", ". ")), "id", "text", F.col("t"), 3)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
