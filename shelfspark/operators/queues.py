@@ -166,10 +166,12 @@ def pending(
     branch: Sequence[str] = (),
     order: Sequence[str] = ("ord",),
 ) -> DataFrame:
-    """Items (unique per branch, first kept) that are neither done nor skipped."""
+    """Items (unique per branch, first kept) that are neither done nor skipped.
+
+    Keys of done and skipped may be repeated.
+    """
     unique = top_n_per_key(items, [*branch, key], list(order), 1, "_rn").drop("_rn")
-    closed = done.select(key).unionByName(skipped.select(key)).distinct()
-    return unique.join(closed, key, "left_anti")
+    return unique.join(done.select(key).unionByName(skipped.select(key)), key, "left_anti")
 
 
 def recover_skipped(

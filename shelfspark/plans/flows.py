@@ -77,7 +77,11 @@ def publish_plan(
     _, remaining, _ = Q.recover_skipped(
         skipped, artifacts, items.select(key, F.col(position).alias("pos")), key=key
     )
-    queue = Q.pending(items, uploaded, remaining, key, [branch], [position])
+    # The queue is the same with keys of state and log that are repeated. It is written once:
+    # chunks are counted, sampled and ranked from it.
+    checkpoint_root(items.sparkSession)
+    done = state.select(key).unionByName(log.select(key).filter(F.length(F.col(key).cast("string")) > 0))
+    queue = Q.pending(items, done, remaining, key, [branch], [position]).checkpoint()
     closed = uploaded.withColumn("state", F.lit("done")).unionByName(
         remaining.select(key).withColumn("state", F.lit("skipped"))
     )

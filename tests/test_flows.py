@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from shelfspark import schemas
+from shelfspark.operators import queues as Q
 from shelfspark.operators import sequence as S
 from shelfspark.plans import flows
 from shelfspark.profiles import UrlProfile
@@ -104,3 +105,16 @@ def test_scripts_stay_in_their_rows(spark):
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     out = flows.script_segments(df.withColumn("text", F.array_join("lines", ". ")), "id", "text", F.col("t"), 3)
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_publish_plan_closes_items_without_grouping_their_keys(spark):
+    """Repeated keys of state and log change nothing; the queue is made once and ranked as written."""
+    items = spark.createDataFrame([("b", f"u{i}", i) for i in range(5)], "branch string, url string, pos long")
+    url = lambda *n: spark.createDataFrame([(None if i is None else f"u{i}" if i >= 0 else "",) for i in n], "url string")
+    skipped = url(2, 2, 3).withColumn("item_key", F.col("url"))
+    ready = spark.createDataFrame([("u3",), ("u3",)], "item_key string")
+    out = flows.publish_plan(items, url(0, 0, None), url(0, 1, 1, -1, None), skipped, ready, "2024-01-01 18:00:00")
+    assert [(r.url, r.slot_no) for r in out["plan"].orderBy("slot_no").collect()] == [("u3", 1), ("u4", 2)]
+    assert sorted(r.url or "" for r in out["uploaded"].collect()) == ["", "u0", "u1"]
+    assert "LeftAnti" not in out["plan"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in Q.pending(items, url(0, 0), url(1), "url", ["branch"], ["pos"])._jdf.queryExecution().optimizedPlan().toString()
