@@ -15,14 +15,15 @@ that no length gathers in one task, and meet the plan as a bounded broadcast.
 from __future__ import annotations
 
 import os
-import re
+import string
 import unicodedata
 import zlib
 from functools import lru_cache
-from itertools import repeat
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,8 +34,10 @@ CAPACITY = 2048
 #: Pieces of one length that are numbered together, about.
 SALT_ROWS = 1_000
 
-#: Letters (or bytes of letters beyond ASCII), then ASCII marks to the end.
-_TAILED = re.compile(rb"([A-Za-z\x80-\xff]+)([!-/:-@\[-`{-~]+)")
+#: Marks of ASCII. Behind letters they are a piece of their own to the tokenizer.
+MARKS = string.punctuation
+#: Bytes of texts that are encoded together, about.
+SLICE = 4 << 20
 
 
 def _lettered(word: bytes) -> bool:
@@ -47,87 +50,144 @@ def _lettered(word: bytes) -> bool:
     return text.isalpha() and text.lower().isalpha()
 
 
+def _folded(words: pa.StringArray) -> pa.StringArray:
+    """``words`` with A-Z lower-cased in those of ASCII, as the tokenizer would."""
+    # It finds its special tokens before it folds case.
+    folds = pc.and_not(pc.string_is_ascii(words), pc.match_substring(words, "<|"))
+    return pc.if_else(folds, pc.ascii_lower(words), words)
+
+
 class Words:
     """Token ids of words by a tokenizer whose splits never cross ASCII white space.
 
-    Words are encoded once and kept until ``limit`` of them are known; then the table
-    starts anew. Plain words go through the tokenizer many at a time: the ids of one end
-    where an id carries the tokenizer's word-end mark.
+    Letters with ASCII marks behind them are two pieces to the tokenizer, so both halves are
+    kept, not the word. Each is encoded once and kept until ``limit`` are known; then those met
+    again since the last time stay, if they are not more than half of ``limit``.
     """
 
     def __init__(self, path: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core already
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
-        size = self.tokenizer.get_vocab_size()
-        self.last = np.zeros(size, dtype=bool)
-        for token, i in self.tokenizer.get_vocab().items():
+        vocab = self.tokenizer.get_vocab()
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        for token, i in vocab.items():
             self.last[i] = token.endswith("</w>")
+        # a-z need no normalizing: the model alone gives the same ids, if it does for words of the vocabulary.
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        letters = sorted(x for t in vocab if (x := t.removesuffix("</w>").encode()).isalpha() and x.islower())
+        if not np.array_equal(*(self._ids(t, letters[::40]) for t in (self.plain, self.tokenizer))):
+            self.plain = self.tokenizer
         self._clear()
 
     def _clear(self) -> None:
         self.known: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 20, dtype=np.uint32)
-        self.start = np.zeros(1 << 16, dtype=np.int32)
-        self.size = np.zeros(1 << 16, dtype=np.int32)
+        self.start = np.zeros(1 << 16, dtype=np.int64)
+        self.size = np.zeros(1 << 16, dtype=np.int64)
+        #: Whether marks behind it are a piece of their own; whether it was met again.
+        self.apart = np.zeros(1 << 16, dtype=bool)
+        self.met = np.zeros(1 << 16, dtype=bool)
         self.filled = 0
+        self._put([b""], np.zeros(0, np.uint32), np.zeros(1, np.int64), True)
+
+    def _thin(self) -> None:
+        """Keep what was met again; nothing, if that is too much."""
+        kept = self.met[: len(self.known)].copy()
+        kept[0] = False  # the empty word is there anyhow
+        at = np.flatnonzero(kept)
+        words, ids, size, apart = list(compress(self.known, kept.tolist())), self._all(at), self.size[at], self.apart[at]
+        self._clear()
+        if 2 * len(words) <= self.limit:
+            self._put(words, ids, size, apart)
 
-    def _put(self, words: list[bytes], ids: np.ndarray, size: np.ndarray) -> None:
+    def _put(self, words: list[bytes], ids: np.ndarray, size: np.ndarray, apart: np.ndarray | bool) -> None:
         """Keep ``words`` with their ids, which stand one after the other."""
         first, last = len(self.known), len(self.known) + len(words)
         while self.filled + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while last > len(self.start):
-            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+            self.start, self.size, self.apart, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.apart, self.met))
         self.ids[self.filled : self.filled + len(ids)] = ids
         self.size[first:last] = size
         self.start[first:last] = self.filled + np.cumsum(size) - size
+        self.apart[first:last] = apart
         self.known.update(zip(words, range(first, last), strict=True))
         self.filled += len(ids)
 
-    def _at(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
+    def _all(self, at: np.ndarray) -> np.ndarray:
+        """The ids of what stands ``at`` there, one after the other."""
+        return self.ids[C.ragged(self.start[at], self.size[at])]
+
+    @staticmethod
+    def _ids(tokenizer, words: list[bytes]) -> np.ndarray:
+        return np.array(tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, dtype=np.uint32)
 
     def _learn(self, words: list[bytes]) -> None:
         """Encode ``words``, none of them known.
 
-        Letters with marks behind them are two pieces to the tokenizer; each half is learnt
-        once. Words of letters go through it together, all others one by one.
+        Words of letters go through the tokenizer together, as the ids of one end where an id
+        carries the tokenizer's word-end mark; all others go one by one.
         """
-        halves = [(w, m[1], m[2]) for w in words if (m := _TAILED.fullmatch(w)) and _lettered(m[1])]
-        composed = {w for w, _, _ in halves}
-        fresh = dict.fromkeys(w for w in words if w not in composed)
-        fresh |= dict.fromkeys(x for _, *both in halves for x in both if x not in self.known)
-        plain = [w for w in fresh if _lettered(w)]
-        if plain:
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(plain).decode()], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        plain = [w for w in words if w.isalpha()]
+        beyond = [w for w in words if not w.isascii() and _lettered(w)]
+        for tokenizer, own, folded in ((self.plain, plain, [w.lower() for w in plain]), (self.tokenizer, beyond, beyond)):
+            ids = self._ids(tokenizer, folded)
             ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(plain):
-                self._put(plain, ids, np.diff(ends, prepend=0))
-        rest = [w for w in fresh if w not in self.known]
+            if len(ends) == len(own):
+                self._put(own, ids, np.diff(ends, prepend=0), True)
+        rest = [w for w in words if w not in self.known]
         if rest:
-            texts = [w.decode("utf-8", "replace") for w in rest]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            self._put(rest, np.array([x for own in found for x in own], dtype=np.uint32), np.array([len(x) for x in found]))
-        if halves:
-            both = np.stack([self._at([x for _, x, _ in halves]), self._at([x for _, _, x in halves])], axis=1).ravel()
-            size = self.size[both].astype(np.int64)
-            ids = self.ids[C.ragged(self.start[both].astype(np.int64), size)]
-            self._put([w for w, _, _ in halves], ids, size.reshape(-1, 2).sum(axis=1))
-
-    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of ``words`` in order, and the number of ids of each."""
-        if len(self.known) > self.limit:
-            self._clear()
-        at = np.fromiter(map(self.known.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)]
+            size = np.array([len(x) for x in found])
+            self._put(rest, np.array([x for own in found for x in own], dtype=np.uint32), size, np.array([_lettered(w) for w in rest]))
+
+    def _at(self, words: pa.StringArray) -> np.ndarray:
+        """Where the ids of each of ``words`` stand, as whole words."""
+        coded = words.dictionary_encode()
+        own = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        at = np.fromiter(map(self.known.get, own, repeat(-1)), dtype=np.int64, count=len(own))
         missing = np.flatnonzero(at < 0)
+        self.met[at[at >= 0]] = True
         if len(missing):
-            self._learn(list(dict.fromkeys(words[i] for i in missing.tolist())))
-            at[missing] = self._at([words[i] for i in missing.tolist()])
-        size, start = self.size[at].astype(np.int64), self.start[at].astype(np.int64)
-        return (self.ids[C.ragged(start, size)] if len(words) else np.zeros(0, np.uint32)), size
+            new = [own[i] for i in missing.tolist()]
+            self._learn(new)
+            at[missing] = np.fromiter(map(self.known.__getitem__, new), dtype=np.int64, count=len(new))
+        return at[coded.indices.to_numpy()]
+
+    def _halves(self, words: pa.StringArray) -> np.ndarray:
+        """Two places for each of ``words``: of what stands before its last marks, and of these."""
+        heads = pc.ascii_rtrim(words, characters=MARKS)
+        both = np.stack([self._at(heads), np.zeros(len(words), np.int64)], axis=1)
+        size = pc.binary_length(heads).to_numpy()
+        marked = size < pc.binary_length(words).to_numpy()
+        apart = self.apart[both[:, 0]]
+        whole, tailed = np.flatnonzero(marked & ~apart), np.flatnonzero(marked & apart)
+        if len(whole):
+            both[whole, 0] = self._at(words.take(pa.array(whole)))
+        if len(tailed):
+            ends = words.take(pa.array(tailed))
+            # The same bytes, cut also where the heads end: every second one is the marks.
+            start = np.frombuffer(ends.buffers()[1], dtype=np.int32, count=len(ends) + 1)
+            cut = np.append(np.stack([start[:-1], start[:-1] + size[tailed]], axis=1).ravel(), start[-1]).astype(np.int32)
+            cut = pa.StringArray.from_buffers(2 * len(ends), pa.py_buffer(cut), ends.buffers()[2])
+            both[tailed, 1] = self._at(cut.take(pa.array(np.arange(1, 2 * len(ends), 2))))
+        return both
+
+    def encode(self, words: list[bytes] | pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of ``words`` in order, and the number of ids of each."""
+        if isinstance(words, list):
+            words = pa.array(words, pa.binary()).view(pa.string())
+        if len(self.known) > self.limit:
+            self._thin()
+        coded = words.dictionary_encode()
+        halves = self._halves(_folded(coded.dictionary))
+        ids, size = self._all(halves.ravel()), self.size[halves].sum(axis=1)
+        at = coded.indices.to_numpy()
+        return ids[C.ragged((np.cumsum(size) - size)[at], size[at])], size[at]
 
 
 @lru_cache(maxsize=1)
@@ -136,27 +196,23 @@ def words_of(path: str) -> Words:
     return Words(path)
 
 
-def _words(text: str | None) -> list[bytes]:
-    """Words of a text; A-Z of an ASCII text lower-cased, as the tokenizer would."""
-    raw = (text or "").encode("utf-8", "replace")
-    return (raw.lower() if raw.isascii() and b"<|" not in raw else raw).split()
+def _words(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+    """Words of all texts, and the number of each text."""
+    split = pc.ascii_split_whitespace(texts)
+    return split.flatten(), pc.list_value_length(split).to_numpy()
 
 
 def _piece_rows(path: str, capacity: int, with_ids: bool):
     def rows(batches):
         words = words_of(path)
         for batch in batches:
-            texts = batch.column("text")
+            texts = pc.fill_null(batch.column("text").cast(pa.string()), "")
+            bytes_to = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)
             first = 0
             while first < len(texts):
-                held, counts, total, last = [], [], 0, first
-                while last < len(texts) and (total < 1 << 19 or last == first):
-                    text = texts[last].as_py()
-                    own = _words(text)
-                    held += own
-                    counts.append(len(own))
-                    total += len(text or "")
-                    last += 1
+                before = int(bytes_to[first - 1]) if first else 0
+                last = max(first + 1, int(np.searchsorted(bytes_to, before + SLICE, "right")))
+                held, counts = _words(texts.slice(first, last - first))
                 ids, size = words.encode(held)
                 ends = np.concatenate(([0], np.cumsum(size)))[np.cumsum(counts)]
                 row, piece, start, length, crc, kept = [], [], [], [], [], []
@@ -183,6 +239,8 @@ def _piece_rows(path: str, capacity: int, with_ids: bool):
                     names=["did", "rk", "doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])],
                 )
                 first = last
+        # The process lives on beside later jobs: it keeps the word table, not the room for batches.
+        pa.default_memory_pool().release_unused()
 
     return rows
 

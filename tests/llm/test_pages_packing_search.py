@@ -9,6 +9,7 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -171,6 +172,34 @@ def test_word_table_starts_anew_when_full():
             assert words.encode(text.encode().split())[0].tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
+def test_word_table_learns_halves_once():
+    words = packing.Words(TOKENIZER)
+    held = [b"one", b"one,", b"one...", b"two,", b"two", b"it's", b"...", "caf\u00e9,".encode()]
+    for _ in range(2):
+        assert words.encode(held)[0].tolist() == words.tokenizer.encode(b" ".join(held).decode(), add_special_tokens=False).ids
+    assert set(words.known) == {b"", b"one", b"two", b"it's", b",", b"...", "caf\u00e9".encode()}
+
+
+def test_full_word_table_keeps_words_met_again():
+    words = packing.Words(TOKENIZER, limit=8)
+    for text in ("one two three four", "two three five six seven eight", "nine"):
+        assert words.encode(text.encode().split())[0].tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+    assert set(words.known) == {b"", b"two", b"three", b"nine"}
+
+
+def test_words_match_the_tokenizer_on_odd_texts():
+    r = random.Random(6)
+    parts = ["a", "The", "'s", "'ll", "\u00c9", "H\u0331", "\u0130", "\u03a3", "\u0301", "\u0338", "<", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", "1", "\u00bd", " ", " ", "\n", "\x1c", "\x85", "\u00a0", "\u2026", ",", "...", "\u65e5", "\x00", "\U0001f600"]
+    words = packing.Words(TOKENIZER, limit=100)
+    for _ in range(60):
+        texts = ["".join(r.choice(parts) for _ in range(r.randrange(40))) for _ in range(10)]
+        held, counts = packing._words(pa.array(texts))
+        ids, size = words.encode(held)
+        ends = np.concatenate(([0], np.cumsum(size)))[np.cumsum(counts)]
+        got = [x.tolist() for x in np.split(ids, ends[:-1])]
+        assert got == [words.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.fixture(scope="module")
 def benchmark_rows():
     r = random.Random(7)
